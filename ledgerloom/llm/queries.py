@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import mixing, rules, secrets, simhash
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op6_rule_ledger": rules.op6_rule_ledger,
+    "op7_water_filling": mixing.op7_water_filling,
+    "op8_secret_scan": secrets.op8_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_rule_ledger": rules.OP6_SQL,
+}
