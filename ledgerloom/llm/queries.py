@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing, rules, secrets, simhash
+from . import langid, mixing, pieces, quality, rules, secrets, simhash, vectors
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_string_kernel_language": langid.op3_string_kernel_language,
+    "op5_boosted_quality": quality.op5_boosted_quality,
     "op6_rule_ledger": rules.op6_rule_ledger,
     "op7_water_filling": mixing.op7_water_filling,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
+    "op10_int8_tiles": vectors.op10_int8_tiles,
 }
 
 ORACLES = {
     "op6_rule_ledger": rules.OP6_SQL,
+    "op10_int8_tiles": vectors.OP10_SQL,
 }
