@@ -32,18 +32,18 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
     taken = bytearray(size)
     taken[0] = 1
-    free = 1
+    # Nodes of as many children look for a place from where the last such one found it.
+    since = [1] * 257
     queue = [(0, root)]
     for state, node in queue:
         value[state] = node.get(-1, -1)
         kids = sorted(b for b in node if b >= 0)
         if not kids:
             continue
-        while taken[free]:
-            free += 1
-        at = max(free, kids[0] + 1)
+        at = max(since[len(kids)], kids[0] + 1)
         while taken[at] or any(taken[at - kids[0] + b] for b in kids[1:]):
             at += 1
+        since[len(kids)] = at
         base[state] = at - kids[0]
         for b in kids:
             child = at - kids[0] + b
