@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pieces, quality, rules, secrets, simhash, vectors
+from . import langid, mixing, ngrams, pieces, quality, rules, secrets, simhash, vectors, warc
 
 QUERIES = {
+    "op1_elias_fano_lm": ngrams.op1_elias_fano_lm,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_string_kernel_language": langid.op3_string_kernel_language,
+    "op4_warc_round_trip": warc.op4_warc_round_trip,
     "op5_boosted_quality": quality.op5_boosted_quality,
     "op6_rule_ledger": rules.op6_rule_ledger,
     "op7_water_filling": mixing.op7_water_filling,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_warc_round_trip": warc.OP4_SQL,
     "op6_rule_ledger": rules.OP6_SQL,
     "op10_int8_tiles": vectors.OP10_SQL,
 }

@@ -21,7 +21,7 @@ def best_score(text, scores):
     for i in range(len(text)):
         if text[i] not in scores:
             best[i + 1] = max(best[i + 1], best[i] + low)
-        for j in range(i + 1, len(text) + 1):
+        for j in range(i + 1, min(i + 4, len(text)) + 1):
             if text[i:j] in scores:
                 best[j] = max(best[j], best[i] + scores[text[i:j]])
     return best[-1]
