@@ -237,32 +237,35 @@ def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]")
     return "".join([*out, text[at:]])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 2.0, redacted: bool = False) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 2.0, redacted: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: its id, n_assign, n_access, n_hex, base_sha256, spans and n_added.
 
     A null text is empty: no span, the digest of an empty string. Offsets are code points, end
     exclusive. `least` is the log-likelihood ratio, in nats, from which a candidate is added.
-    redacted=True adds `redacted`, the text with every span replaced (null stays null).
-    Nothing depends on other rows, so hot keys don't matter. Other columns of docs are ignored.
+    redacted=True adds `redacted`, the text with every span replaced (null stays null); the columns
+    `keep` of docs follow the id. Nothing depends on other rows, so hot keys don't matter.
     """
     automata = model()
 
     def run(batches):
         for batch in slices(batches):
-            texts = pc.fill_null(batch.column(1), "").to_pylist()
+            whole = batch.column("_text")
+            texts = pc.fill_null(whole, "").to_pylist()
             found = scan(texts, automata, least)
             counts = [[sum(k == kind for k, _, _ in b) for b, _ in found] for kind in BASE_KINDS]
-            columns = [batch.column(0), *[pa.array(c, pa.int64()) for c in counts],
+            columns = [*batch.columns[:-1], *[pa.array(c, pa.int64()) for c in counts],
                        pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string()),
                        pa.array([joined(s) for _, s in found], pa.string()),
                        pa.array([len(s) - len(b) for b, s in found], pa.int64())]
             if redacted:
-                columns.append(pa.array([None if x is None else redact(x, s) for x, (_, s) in zip(batch.column(1).to_pylist(), found)], pa.string()))
+                columns.append(pa.array([None if x is None else redact(x, s) for x, (_, s) in zip(whole.to_pylist(), found)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    fields = f"{id_col} long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long" + ", redacted string" * redacted
-    names = [x.split()[0] for x in fields.split(", ")]
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, fields)
+    chosen = docs.select(F.col(id_col).cast("long").alias(id_col), *[F.col(c) for c in keep], F.col(text_col).alias("_text"))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
+    fields = [*kept, "n_assign long", "n_access long", "n_hex long", "base_sha256 string", "spans string", "n_added long", *["redacted string"] * redacted]
+    names = [*chosen.columns[:-1], *(x.split()[0] for x in fields[len(kept) :])]
+    return chosen.mapInArrow(run, ", ".join(fields))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
