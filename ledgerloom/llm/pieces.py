@@ -53,6 +53,27 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return base[:used], check[:used], value[:used]
 
 
+class _Places(dict):
+    """A unit's place, in the order in which units were first asked for."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        return n
+
+
+class Cache:
+    """Units met so far and their ids, end to end."""
+
+    def __init__(self):
+        self.place = _Places()
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, offsets: np.ndarray, ids: np.ndarray) -> None:
+        self.starts = np.concatenate((self.starts, len(self.ids) + offsets[:-1]))
+        self.sizes = np.concatenate((self.sizes, np.diff(offsets)))
+        self.ids = np.concatenate((self.ids, ids))
+
+
 @dataclass
 class Vocabulary:
     """Pieces with log scores; normal ones in the trie, byte pieces as fallback."""
@@ -97,8 +118,8 @@ class Vocabulary:
         marked = MARK + text.replace(" ", MARK)
         return (APART if self.newline_apart else WHOLE).findall(marked)
 
-    def segment(self, units: list[str]) -> list[tuple[int, ...]]:
-        """The best pieces of each unit; of equal scores the one with the longer last piece.
+    def segment(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of the best pieces of each unit; of equal scores the one with the longer last piece.
 
         Viterbi over all units at once: edges from the trie are relaxed by their start within the
         unit, so that each step is one numpy operation. A character that is no piece itself may be
@@ -114,10 +135,8 @@ class Vocabulary:
         is_end[begin + sizes] = True
         starts = np.flatnonzero(((flat & 0xC0) != 0x80) & ~is_end[:-1])
         width = np.diff(np.append(starts, len(flat)))
-        nexts = np.append(starts[1:], len(flat))
         # A character ends at the next start, or at the unit's end.
         width = np.minimum(width, np.repeat(begin + sizes, sizes + 1)[starts] - starts)
-        del nexts
         edge_from, edge_to, edge_id = [], [], []
         single = np.zeros(len(starts), bool)
         live, state, at = np.arange(len(starts)), np.zeros(len(starts), np.int64), starts.copy()
@@ -148,30 +167,41 @@ class Vocabulary:
             better = np.flatnonzero(total > best[b[s:e]])
             best[b[s:e][better]] = total[better]
             back[b[s:e][better]] = s + better
-        found: list[list[int]] = [[] for _ in units]
+        steps = []
         place, unit = (begin + sizes)[sizes > 0], np.flatnonzero(sizes > 0)
         while len(unit):
             edge = back[place]
-            for u, p, x, y in zip(unit.tolist(), piece[edge].tolist(), a[edge].tolist(), b[edge].tolist()):
-                if p >= 0:
-                    found[u].append(int(self.ids[p]))
-                else:
-                    found[u] += self.bytes_at[flat[x:y]][::-1].tolist()
+            steps.append((unit, edge))
             place = a[edge]
             on = place > begin[unit]
             place, unit = place[on], unit[on]
-        return [tuple(reversed(x)) for x in found]
-
-    def encode_all(self, texts: list[str], cache: dict[str, tuple[int, ...]]) -> list[np.ndarray]:
+        if not steps:
+            return np.zeros(len(units) + 1, np.int64), np.zeros(0, np.int32)
+        unit, edge = (np.concatenate(x[::-1]) for x in zip(*steps))  # leftmost pieces first
+        order = np.argsort(unit, kind="stable")
+        unit, edge = unit[order], edge[order]
+        # A piece is one id; a lone character is one id for each of its bytes.
+        long = np.where(piece[edge] >= 0, 1, b[edge] - a[edge])
+        owner = np.repeat(np.arange(len(edge)), long)
+        byte = a[edge][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(long) - long, long)
+        ids = np.where(piece[edge][owner] >= 0, self.ids[np.maximum(piece[edge][owner], 0)] if len(self.ids) else 0, self.bytes_at[flat[np.minimum(byte, len(flat) - 1)]])
+        return np.concatenate(([0], np.cumsum(np.bincount(unit, long, len(units)).astype(np.int64)))), ids.astype(np.int32)
+
+    def encode_all(self, texts: list[str], cache: Cache) -> list[np.ndarray]:
+        known = len(cache.starts)
         parts = [self.units(t) for t in texts]
-        new = list(set(itertools.chain.from_iterable(parts)) - cache.keys())
+        places = [np.fromiter(map(cache.place.__getitem__, p), np.int32, len(p)) for p in parts]
+        new = list(itertools.islice(cache.place, known, None))
         for i in range(0, len(new), 1 << 16):
-            block = new[i : i + (1 << 16)]
-            cache.update(zip(block, self.segment(block)))
-        return [np.fromiter(itertools.chain.from_iterable(map(cache.__getitem__, p)), np.int32) for p in parts]
+            cache.add(*self.segment(new[i : i + (1 << 16)]))
+        out = []
+        for p in places:
+            size = cache.sizes[p]
+            out.append(cache.ids[np.repeat(cache.starts[p] - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text], {})[0].tolist()
+        return self.encode_all([text], Cache())[0].tolist()
 
     def decode(self, ids) -> str:
         """Text of the pieces: bytes joined, marks as spaces, the first space dropped."""
@@ -183,7 +213,7 @@ APART = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 WHOLE = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", cached: int = 200_000) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", cached: int = 400_000) -> DataFrame:
     """One row per row of docs: id, token_ids, n_tokens, n_fallback (byte pieces) and round_trip.
 
     round_trip: decoding gives the text back. It is false only for texts that hold the mark U+2581
@@ -192,13 +222,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     """
 
     def run(batches):
-        cache: dict[str, tuple[int, ...]] = {}
+        cache = Cache()
         is_byte = np.zeros(len(vocabulary.pieces), bool)
         is_byte[vocabulary.bytes_at] = True
         for batch in slices(batches, 4 << 20):
             texts = batch.column(1).to_pylist()
-            if len(cache) > cached:
-                cache.clear()
+            if len(cache.place) > cached:
+                cache = Cache()
             ids = vocabulary.encode_all([t or "" for t in texts], cache)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.concatenate(ids)

@@ -49,7 +49,7 @@ def test_viterbi_is_optimal_and_decodes(seed):
     vocabulary, scores, pieces = small()
     rng = random.Random(seed)
     texts = ["".join(rng.choices("aabbcc xé中\n😀 ", k=rng.randint(0, 40))) for _ in range(200)] + ["abc" * 3000]
-    for t, ids in zip(texts, vocabulary.encode_all(texts, {})):
+    for t, ids in zip(texts, vocabulary.encode_all(texts, P.Cache())):
         ids = ids.tolist()
         assert vocabulary.decode(ids) == t
         if t:
