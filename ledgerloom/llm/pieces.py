@@ -213,7 +213,7 @@ APART = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 WHOLE = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", cached: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", cached: int = 250_000) -> DataFrame:
     """One row per row of docs: id, token_ids, n_tokens, n_fallback (byte pieces) and round_trip.
 
     round_trip: decoding gives the text back. It is false only for texts that hold the mark U+2581
@@ -225,7 +225,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
         cache = Cache()
         is_byte = np.zeros(len(vocabulary.pieces), bool)
         is_byte[vocabulary.bytes_at] = True
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 2 << 20):
             texts = batch.column(1).to_pylist()
             if len(cache.place) > cached:
                 cache = Cache()

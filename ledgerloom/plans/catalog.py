@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import audit, streams, telemetry  # noqa: F401  (each registers its queries)
+from .audit import ORACLES, QUERIES  # noqa: F401

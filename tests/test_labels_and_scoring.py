@@ -1,0 +1,164 @@
+"""Label contract, scoring and reports on small literal cases."""
+
+import copy
+import json
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import canonical as C
+from ledgerloom.operators import labels as L
+from ledgerloom.operators import scoring as S
+
+
+def field(value=None, raw=None, state=None, origin=None):
+    state = state or ("PRESENT" if value is not None else "ABSENT_IN_CONTEXT")
+    return {"value": value, "raw_text": raw, "availability": state, "origin": origin or ("EXTRACTED" if state == "PRESENT" else None)}
+
+
+def absent():
+    return {"fields": {name: field() for name in L.CONTRACT}}
+
+
+def mixed():
+    label = absent()
+    f = label["fields"]
+    f["issuer_name"] = field("Straße  AG", "Straße AG")
+    f["ticker"] = field("")
+    f["reporting_scope"] = field({"name": field("Fund A"), "scope_type": field("FUND_GROUP", origin="DERIVED"), "members": field([field("x"), field(state="AMBIGUOUS")])})
+    part = {"direction": field("FOR", "for"), "quantity": field({"amount": field("007"), "unit": field(state="UNREADABLE")}), "disclosed_management_alignment": field("OTHER", "as told")}
+    f["vote_components"] = field([part, copy.deepcopy(part)])
+    f["participation"] = field("VOTED", origin="DERIVED")
+    f["meeting_date"] = field("2024-02-29")
+    return label
+
+
+def rules(label):
+    return [r for _, r in L.problems(label)]
+
+
+def test_contract_accepts_and_refuses():
+    assert rules(absent()) == [] and rules(mixed()) == []
+    assert L.from_review(L.to_review(mixed())) == mixed()
+    for path, value, rule in [
+        (("ticker", "value"), 5, "not_text"), (("ticker", "availability"), "MAYBE", "unknown_availability"), (("ticker", "origin"), None, "no_origin"),
+        (("issuer_name", "raw_text"), 3, "wording_not_text"), (("meeting_date", "value"), "2024-2-29", "not_a_calendar_date"), (("meeting_date", "value"), "2023-02-29", "not_a_calendar_date"),
+        (("participation", "value"), "OTHER", "other_without_wording"), (("vote_components", "value"), [], "not_a_filled_list"), (("management_recommendation", "origin"), "EXTRACTED", "unresolved_but_filled"),
+    ]:
+        label = mixed()
+        label["fields"][path[0]][path[1]] = value
+        assert rule in rules(label), (path, rules(label))
+    label = mixed()
+    label["fields"]["extra"] = field()
+    assert rules(label) == ["keys"] and rules([]) == ["not_an_object"] and rules({"fields": 3}) == ["not_an_object"]
+
+
+def test_nonvote_goes_with_no_components():
+    label = absent()
+    label["fields"]["participation"] = field("DID_NOT_VOTE")
+    assert rules(label) == ["votes_and_participation_differ"]
+    label["fields"]["vote_components"] = {"value": [], "raw_text": None, "availability": "NOT_APPLICABLE", "origin": "DERIVED"}
+    assert rules(label) == []
+
+
+@pytest.mark.parametrize("text", ['{"a":1,"a":1}', "NaN", "[1,2] x", "", "{", '{"a":Infinity}', "[" * 100000])
+def test_strict_json_refuses(text):
+    with pytest.raises(C.NotStrict):
+        C.strict_loads(text)
+
+
+def test_four_encodings(spark):
+    value = {"b": "é\n", "a": [1, None, ""]}
+    told = {f: C.encode(value, f) for f in C.FORMS}
+    assert told["target"] == '{"a":[1,null,""],"b":"é\\n"}' and told["draft"].endswith('"\\u00e9\\n"}') and told["row"].startswith('{"b": ') and told["binding"].startswith('{"a": ')
+    rows = spark.createDataFrame([('{"b":1,"a":2}',), ("{",), (None,)], "t string").select(C.parsed(F.col("t"), "target").alias("p")).select("p.*").collect()
+    assert [(r.ok, r.canonical) for r in rows] == [(True, '{"a":2,"b":1}'), (False, None), (False, None)]
+
+
+def score(ref, answer, cells=("Straße AG", "for", "as told"), **kw):
+    return S.score(ref, "COMPLETE", json.dumps(answer), list(cells), **kw)
+
+
+def test_equal_in_the_loose_sense():
+    ref, answer = mixed(), mixed()
+    f = answer["fields"]
+    f["issuer_name"] = field(" STRASSE ag ", None)
+    f["reporting_scope"]["value"]["members"]["value"].reverse()
+    f["participation"] = field("OTHER", "w")
+    f["participation"]["origin"] = "EXTRACTED"
+    f["reporting_scope"]["value"]["scope_type"] = field("INDIVIDUAL_FUND")
+    got = score(ref, answer)
+    assert got["correct"] and not got["exact"] and got["derivation_errors"] == ["reporting_scope.scope_type", "participation"] and got["unsupported_quotes"] == ["participation"]
+    assert got["origin_errors"] == ["reporting_scope", "participation"]
+
+
+def test_differences_count():
+    ref, answer = mixed(), mixed()
+    answer["fields"]["ticker"] = field("T")
+    answer["fields"]["vote_components"]["value"].pop()
+    got = score(ref, answer)
+    assert got["primary_errors"] == ["ticker", "vote_components"] and not got["correct"]
+    assert score(ref, ref)["exact"] and score(ref, ref, cells=("Straße", " AG"))["unsupported_quotes"][0] == "issuer_name"
+    for status, text in (("LENGTH_STOP", json.dumps(ref)), ("COMPLETE", "{}"), ("COMPLETE", None)):
+        bad = S.score(ref, status, text, [])
+        assert not bad["format_valid"] and not any(bad["fields"].values()) and len(bad["fields"]) == 14
+
+
+def test_other_compares_its_wording():
+    ref, answer = mixed(), mixed()
+    for part in answer["fields"]["vote_components"]["value"]:
+        part["disclosed_management_alignment"] = field("OTHER", "else")
+    assert score(ref, answer)["primary_errors"] == ["vote_components"]
+    decision = {"reference_field_path": "fields.vote_components.value[0].disclosed_management_alignment", "prediction_field_path": "fields.vote_components.value[1].disclosed_management_alignment", "block_index": 0, "cell_index": 1, "column": "c", "passage": "as told", "reason": "r", "reference_sha256": "a", "answer_sha256": "b"}
+    cells = {(0, 1): "as told, or else"}
+    text = S.with_equivalences(ref, json.dumps(answer), cells, [decision, {**decision, "prediction_field_path": decision["reference_field_path"]}], ("a", "b"))
+    assert S.score(ref, "COMPLETE", text, [])["correct"]
+    for change in ({"reference_sha256": "z"}, {"passage": "absent"}, {"prediction_field_path": "fields.ticker"}, {"cell_index": 2}):
+        with pytest.raises(ValueError):
+            S.with_equivalences(ref, json.dumps(answer), cells, [decision | change], ("a", "b"))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.randoms(use_true_random=False))
+def test_order_and_space_never_matter(rng: random.Random):
+    ref, answer = mixed(), mixed()
+    values = [{"source_label": field(rng.choice("ab")), "value": field(rng.choice("xyz"))} for _ in range(rng.randint(1, 5))]
+    ref["fields"]["series_identifiers"] = field(values)
+    other = copy.deepcopy(values)
+    rng.shuffle(other)
+    for v in other:
+        v["value"]["value"] = f" {v['value']['value']}\n"
+    answer["fields"]["series_identifiers"] = field(other)
+    assert score(ref, answer)["correct"] and score(ref, answer)["origin_errors"] == []
+
+
+CASES = "id long, reference string, cells array<string>"
+
+
+def report(spark, answers, decisions, references=None):
+    refs = references or [json.dumps(mixed())] * 3
+    cases = spark.createDataFrame([(i, r, ["Straße AG", "for", "as told"]) for i, r in enumerate(refs)], CASES)
+    a = spark.createDataFrame(answers, "id long, status string, text string")
+    d = spark.createDataFrame(decisions, "id long, same_subject boolean")
+    states = S.case_states(cases, a, d)
+    return S.report(states).first().asDict(), {r.id: r.state for r in states.collect()}, states
+
+
+def test_report_states(spark):
+    good = json.dumps(mixed())
+    row, states, scored = report(spark, [(0, "COMPLETE", good), (1, "COMPLETE", "{"), (2, "COMPLETE", good)], [(0, False), (2, False)])
+    assert row["status"] == "COMPLETE" and (row["targets"], row["format_valid"], row["correct"], row["exact"]) == (3, 2, 2, 2) and row["field_ticker"] == 2 and row["origin_errors"] == 0
+    assert {r.field: (r.n_cases, r.n_correct) for r in S.field_accuracy(scored).collect()}["ticker"] == (3, 2)
+    row, states, _ = report(spark, [(0, "COMPLETE", good), (1, "COMPLETE", "{")], [])
+    assert row["status"] == "INCOMPLETE" and row["correct"] is None and states == {0: "PENDING", 1: "SCORED", 2: "MISSING"}
+    assert report(spark, [(i, "COMPLETE", good) for i in range(3)], [])[0]["status"] == "PENDING_REVIEW"
+    assert report(spark, [], [], ["{}", good])[0]["status"] == "INVALID_REFERENCES"
+
+
+def test_typed_label(spark):
+    df = spark.createDataFrame([(json.dumps(mixed()),), ("{",)], "t string")
+    rows = df.select(L.typed_label(F.col("t")).alias("l"), L.label_problems(F.col("t")).alias("p")).collect()
+    assert rows[0].l.fields.vote_components.value[0].quantity.value.amount.value == "007" and rows[0].p == [] and rows[1].p[0].rule == "json"
