@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import answers, ordered
+from ..operators import answers, ordered, runs
 from .audit import query
 
 
@@ -208,3 +208,66 @@ def publication_chain(t):
     owed = t("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).alias("owed"))
     nation = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return nation.join(held, "n_nationkey", "left").join(owed, "n_nationkey", "left").select("n_name", "r_name", "held", "owed")
+
+
+@query("""WITH e AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id % 2 = 0 GROUP BY doc_id), a AS (SELECT source, lang, count(*) AS n FROM documents d JOIN e USING (doc_id) GROUP BY ALL),
+b AS (SELECT source, lang, count(*) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL)
+SELECT *, 'before' AS side, 1::BIGINT AS copies FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'after', 1 FROM (FROM b EXCEPT FROM a)""")
+def state_diff(t):
+    """Rows by which two aggregated states differ, as multisets."""
+    d = t("documents").select("doc_id", "source", "lang")
+    even = d.join(t("labels").where("doc_id % 2 = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    count = lambda x: x.groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return runs.table_diff(count(even).withColumnRenamed("n", "size"), count(d.where("doc_id % 3 = 0")).withColumnRenamed("n", "size")).select("source", "lang", F.col("size").alias("n"), "side", F.col("n").alias("copies"))
+
+
+@query(f"""WITH f AS (SELECT *, value < 20 AS low, sum(CASE WHEN value < 20 THEN 0 ELSE 1 END) OVER ({_W}) AS island,
+  epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS us FROM events),
+c AS (SELECT event_id, us, sum(CASE WHEN low THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS below FROM f)
+SELECT event_id, CASE WHEN below >= 3 THEN 'HOST_MEMORY_LIMIT' WHEN us >= 2400000000000 THEN 'PHASE_TIMEOUT' WHEN us >= 1200000000000 THEN 'AGGREGATE_TIMEOUT' END AS reason FROM c""")
+def limit_reasons(t):
+    from pyspark.sql import Window
+
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = t("events").withColumn("us", us - F.min(us).over(Window.partitionBy("user_id")))
+    counted = ordered.runs_below(e, ["user_id"], list(ORDER), F.col("value") < 20, 3)
+    return counted.select("event_id", runs.limit_reason(F.col("below_count"), F.col("us"), F.col("us"), samples=3, phase_limit=2.4e12, total_limit=1.2e12).alias("reason"))
+
+
+@query("""WITH a AS (SELECT user_id, map_from_entries(list({'key': event_type, 'value': c})) AS m FROM (SELECT user_id, event_type, count(*)::VARCHAR AS c FROM events WHERE event_id % 2 = 0 GROUP BY ALL) GROUP BY user_id),
+b AS (SELECT user_id, map_from_entries(list({'key': event_type, 'value': c})) AS m FROM (SELECT user_id, event_type, count(*)::VARCHAR AS c FROM events WHERE event_id % 2 = 1 GROUP BY ALL) GROUP BY user_id),
+k AS (SELECT a.user_id, list_filter(map_keys(a.m), lambda x: list_contains(map_keys(b.m), x) AND a.m[x] <> b.m[x]) AS changed,
+  list_has_all(map_keys(a.m), map_keys(b.m)) AND list_has_all(map_keys(b.m), map_keys(a.m)) AS whole FROM a JOIN b ON a.user_id = b.user_id)
+SELECT user_id, CASE WHEN len(changed) > 0 THEN 'CHANGED' WHEN NOT whole THEN 'UNVERIFIED' ELSE 'MATCH' END AS state, array_to_string(list_sort(changed), ',') AS changed FROM k""")
+def runtime_identity(t):
+    def side(k, name):
+        n = t("events").where(f"event_id % 2 = {k}").groupBy("user_id", "event_type").agg(F.count("*").cast("string").alias("c"))
+        return n.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "c"))).alias(name))
+
+    state, changed = runs.identity_state(F.col("a"), F.col("b"))
+    return side(0, "a").join(side(1, "b"), "user_id").select("user_id", state.alias("state"), F.array_join(changed, ",").alias("changed"))
+
+
+@query("""WITH r AS (SELECT role, row_number() OVER (ORDER BY role) AS place FROM (SELECT DISTINCT role FROM conversations)), p AS (
+  SELECT conv_id, turn, c.role, place, lag(place) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations c JOIN r USING (role))
+SELECT conv_id, turn, role FROM p WHERE before >= place""")
+def order_preserved(t):
+    """Turns whose role does not stand after the last one's in the roles' alphabetical order."""
+    from pyspark.sql import Window
+
+    turns = t("conversations").select("conv_id", "turn", "role")
+    # A handful of roles: one window over their distinct names.
+    reference = turns.select("role").distinct().withColumn("place", F.row_number().over(Window.orderBy("role")))
+    return runs.out_of_order(turns, ["conv_id"], ["turn"], reference, "role", "place").select("conv_id", "turn", "role")
+
+
+@query("""SELECT conv_id, turn, lag(sha256(text)) OVER w AS before, sha256(text) AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn) QUALIFY row_number() OVER w > 1 AND lag(sha256(text)) OVER w <> sha256(text)""")
+def change_log(t):
+    return runs.change_log(t("conversations").withColumn("h", F.sha2("text", 256)), ["conv_id"], "turn", "h")
+
+
+@query("""SELECT user_id AS execution_id, coalesce(max(CASE WHEN event_type <> 'view' THEN event_id END), max(CASE WHEN event_type = 'view' THEN event_id END)) AS charged,
+  count(*) FILTER (WHERE event_type <> 'view') = 0 AS abandoned, count(*) FILTER (WHERE event_type <> 'view') > 1 AS settled_twice FROM events GROUP BY user_id""")
+def settled_charges(t):
+    ledger = t("events").select(F.col("user_id").alias("execution_id"), F.when(F.col("event_type") == "view", "STARTED").otherwise("COMPLETE").alias("status"), F.col("event_id").alias("elapsed_seconds"))
+    return runs.settled_charges(ledger)
