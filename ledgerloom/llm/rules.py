@@ -85,7 +85,7 @@ def failures() -> dict[str, Column]:
         "repeat_words": 100 * F.col("n_repeat_words") > 50 * n,
         "word_length": (n > 0) & ((F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
         "symbols": 10 * F.col("n_symbols") > n,
-        "dup_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+        "dup_lines": (F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
         "bullets": 10 * F.col("n_bullets") > 9 * F.col("n_lines"),
         "ellipses": 10 * F.col("n_ellipses") > 3 * F.col("n_lines"),
     }
@@ -158,7 +158,7 @@ f AS (
      + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
      + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) THEN 4 ELSE 0 END
      + CASE WHEN 10 * n_symbols > n_words THEN 8 ELSE 0 END
-     + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END
+     + CASE WHEN n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END
      + CASE WHEN 10 * n_bullets > 9 * n_lines THEN 32 ELSE 0 END
      + CASE WHEN 10 * n_ellipses > 3 * n_lines THEN 64 ELSE 0 END)::BIGINT AS fail_bits
   FROM m)
