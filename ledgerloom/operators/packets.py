@@ -49,6 +49,22 @@ def packet_blocks(selected: DataFrame) -> DataFrame:
     return found.withColumn("previous", F.coalesce(F.lag("block.end_byte").over(Window.partitionBy("packet_id").orderBy("block_index")), F.lit(0)))
 
 
+def context_blocks(contexts: DataFrame, accessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of other documents of the same filing, with ids such as D1:B2, and contexts that are refused.
+
+    contexts: packet_id, document_index (from 1), accession, association_review, content, encoding, spans;
+    accessions: packet_id, own_accession. Another accession, or no review, refuses a context.
+    """
+    both = contexts.join(accessions, "packet_id")
+    bad = ~F.col("accession").eqNullSafe(F.col("own_accession")) | (F.coalesce("association_review", F.lit("")) == "")
+    each = both.where(~bad).select("packet_id", "document_index", "content", "encoding", F.octet_length("content").alias("length"), F.posexplode("spans").alias("block_index", "s"))
+    found = each.select(
+        "packet_id", "document_index", "block_index", "length", F.format_string("D%d:B%d", "document_index", F.col("block_index") + 1).alias("block_id"), F.lit(False).alias("is_target"),
+        blocks(F.col("content"), F.col("s.a"), F.col("s.b"), F.col("s.kind"), F.coalesce("encoding", F.lit("utf-8"))).alias("block"),
+    )
+    return found, both.where(bad).select("packet_id", "document_index")
+
+
 def source_cells(found: DataFrame) -> DataFrame:
     """(packet_id, block_index, cell_index, text, start_byte, end_byte) of all cells."""
     cells = found.select("packet_id", "block_index", F.posexplode("block.cells").alias("cell_index", "c"))

@@ -93,14 +93,15 @@ def accession_ok(accession: Column) -> Column:
     return F.coalesce(accession.rlike("^[0-9]{10}-[0-9]{2}-[0-9]{6}$"), F.lit(False))
 
 
-# File names that one system reserves.
+# File names that one system reserves, and marks of a failure page.
 RESERVED = ("con", "prn", "aux", "nul", *(f"{x}{i}" for x in ("com", "lpt") for i in range(1, 10)))
+FAILURES = ("file unavailable", "undeclared automated tool", "request rate threshold exceeded")
 
 
 def portable_name(name: Column) -> Column:
-    """True for lower-case file names that every system takes."""
+    """True for lower-case file names of up to 220 characters that every system takes."""
     stem = F.regexp_extract(name, "^([^.]*)", 1)
-    return F.coalesce(name.rlike("^[a-z0-9][a-z0-9._-]*$") & ~name.endswith(".") & ~stem.isin(*RESERVED), F.lit(False))
+    return F.coalesce(name.rlike("^[a-z0-9][a-z0-9.-]{0,219}$") & ~F.contains(name, F.lit("..")) & ~name.endswith(".") & ~stem.isin(*RESERVED), F.lit(False))
 
 
 def relative_path(path: Column) -> Column:
@@ -108,12 +109,12 @@ def relative_path(path: Column) -> Column:
     return F.coalesce(~path.startswith("/") & ~path.rlike("(^|/)\\.\\.(/|$)") & (F.length(path) > 0), F.lit(False))
 
 
-def fetch_problem(content: Column, markers: tuple[str, ...] = ("request rate threshold exceeded", "access denied"), window: int = 64 << 10) -> Column:
+def fetch_problem(content: Column, markers: tuple[str, ...] = FAILURES, window: int = 64 << 10) -> Column:
     """Why a download is no document: a failure page's marker at its head, or a submission cut at its end."""
     head = F.lower(F.decode(F.substring(content, 1, window), "ISO-8859-1"))
     end = F.lower(F.decode(F.substring(content, -window, window), "ISO-8859-1"))
     failed = F.array_contains(F.array(*[F.contains(head, F.lit(m)) for m in markers]), True)
-    return F.when(failed, "failure_page").when(F.contains(head, F.lit("<sec-document>")) & ~F.contains(end, F.lit("</sec-document>")), "cut_short")
+    return F.when(F.octet_length(content) == 0, "empty").when(failed, "failure_page").when(F.contains(head, F.lit("<sec-document>")) & ~F.contains(end, F.lit("</sec-document>")), "cut_short")
 
 
 def registrant(cik: Column, url: Column) -> tuple[Column, Column]:

@@ -216,7 +216,7 @@ def test_predicates(spark):
     key, differ = S.registrant(F.col("c"), F.col("u"))
     got = spark.createDataFrame([("0012", "/data/12/"), (None, "x/Data/0007/y"), ("3", "/data/4/"), (None, "none")], "c string, u string").select(key, differ).collect()
     assert [tuple(r) for r in got] == [("12", False), ("7", False), ("3", True), (None, False)]
-    pages = spark.createDataFrame([(bytearray(b"<html>Access Denied"),), (bytearray(b"<SEC-DOCUMENT> x"),), (bytearray(b"<SEC-DOCUMENT></SEC-DOCUMENT>"),)], "c binary").select(S.fetch_problem(F.col("c"))).collect()
+    pages = spark.createDataFrame([(bytearray(b"<html>File Unavailable"),), (bytearray(b"<SEC-DOCUMENT> x"),), (bytearray(b"<SEC-DOCUMENT></SEC-DOCUMENT>"),)], "c binary").select(S.fetch_problem(F.col("c"))).collect()
     assert [r[0] for r in pages] == ["failure_page", "cut_short", None]
 
 
