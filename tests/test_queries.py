@@ -19,7 +19,7 @@ def plain(x):
         return None
     if isinstance(x, float | np.floating) or type(x).__name__ == "Decimal":
         x = float(x)
-        return None if math.isnan(x) else round(x, 8)
+        return None if math.isnan(x) else int(x) if x == int(x) else round(x, 8)
     return x.item() if hasattr(x, "item") else x
 
 
