@@ -185,3 +185,15 @@ def rebuilt_differences(saved: DataFrame, rebuilt: DataFrame, key: str, columns:
 def stopped_status(status: Column, stop_type: Column) -> Column:
     """A termination mismatch at the token limit is a length stop."""
     return F.when((status == "TERMINATION_MISMATCH") & (stop_type == "limit"), "LENGTH_STOP").otherwise(status)
+
+
+def summary(report: DataFrame) -> DataFrame:
+    """status, targets, counts and the ratio of correct cases of a report row; no ratio without valid accuracy."""
+    done = F.col("status") == "COMPLETE"
+    ratio = F.when(done & (F.col("targets") > 0), F.col("correct") / F.col("targets"))
+    return report.select("status", "targets", "format_valid", "correct", ratio.alias("ratio"), F.when(done, 0).when(F.col("status") == "PENDING_REVIEW", 2).otherwise(1).alias("exit_code"))
+
+
+def run_status(worker_status: Column, exit_code: Column, saved_status: Column) -> Column:
+    """The worker's status, or the saved result's once the worker exited cleanly."""
+    return F.when((exit_code == 0) & saved_status.isNotNull(), saved_status).otherwise(worker_status)
