@@ -304,16 +304,17 @@ def marker_gate(t):
     return t("documents").select("doc_id", F.contains("text", F.lit("<|")).alias("reserved"), (F.regexp_count("text", F.lit("the")) == 1).alias("one_marker"), F.instr("text", "the").cast("long").alias("marker_at"))
 
 
-@query("""WITH w AS (SELECT doc_id, lang, string_split(text, ' ') AS w FROM documents),
-m AS (SELECT lang, max(len(w)) AS longest FROM w GROUP BY lang)
+@query("""WITH w AS (SELECT doc_id, doc_id // 16 AS batch, string_split(text, ' ') AS w FROM documents),
+m AS (SELECT batch, max(len(w)) AS longest FROM w GROUP BY batch)
 SELECT doc_id, len(w)::BIGINT AS n_tokens, (longest - len(w))::BIGINT AS n_padding,
-  sha256(array_to_string(w, ' ') || repeat(' <pad>', (longest - len(w))::BIGINT)) AS padded_sha256 FROM w JOIN m USING (lang)""")
+  sha256(array_to_string(w, ' ') || repeat(' <pad>', (longest - len(w))::BIGINT)) AS padded_sha256 FROM w JOIN m USING (batch)""")
 def pad_and_mask(t):
-    words = t("documents").select("doc_id", "lang", F.split("text", " ").alias("w"))
-    longest = words.groupBy("lang").agg(F.max(F.size("w")).alias("longest"))
+    """Words of each batch of sixteen documents filled up to the batch's longest, so that padding stays in bounds."""
+    words = t("documents").select("doc_id", F.expr("doc_id div 16").alias("batch"), F.split("text", " ").alias("w"))
+    longest = words.groupBy("batch").agg(F.max(F.size("w")).alias("longest"))
     padding = F.col("longest") - F.size("w")
     padded = F.concat("w", F.array_repeat(F.lit("<pad>"), padding))
-    return words.join(longest, "lang").select("doc_id", F.size("w").cast("long").alias("n_tokens"), padding.cast("long").alias("n_padding"), F.sha2(F.array_join(padded, " "), 256).alias("padded_sha256"))
+    return words.join(longest, "batch").select("doc_id", F.size("w").cast("long").alias("n_tokens"), padding.cast("long").alias("n_padding"), F.sha2(F.array_join(padded, " "), 256).alias("padded_sha256"))
 
 
 @query("""WITH a AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 2 = 1)
