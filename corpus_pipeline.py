@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, mixing, pieces, secrets, simhash
-from ledgerloom.llm.common import cut, scratch_path
+from ledgerloom.llm.common import scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -40,8 +40,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mixture takes it; those not taken go. Ids must be unique."""
-    taken = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
+    """Repeats each document as often as the mixture takes it; those not taken go, and rows without
+    an id. Rows that repeat an id are each taken as often as the one of them that is taken most."""
+    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 

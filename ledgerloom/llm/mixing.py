@@ -34,19 +34,19 @@ def water_fill(sources: DataFrame, share: float, cap: float) -> DataFrame:
     in the same place as one pass of running sums over the sources. If even all caps can't hold the
     total, every source stands at its cap.
     """
-    total = sources.select((F.sum("source_size") * share).alias("total"))
+    total = float(sources.agg(F.sum("source_size")).first()[0] or 0) * share
     order = Window.orderBy(F.col("source_size") / F.col("weight"), "weight", F.col("source").asc_nulls_last())
-    full = F.col("source_size") * F.lit(float(cap))
-    ranked = sources.crossJoin(F.broadcast(total)).select(
+    ranked = sources.select(
         "*",
-        full.alias("full"),
-        F.coalesce(F.sum(full).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"),
+        (F.col("source_size") * float(cap)).alias("full"),
+        F.coalesce(F.sum(F.col("source_size") * float(cap)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"),
         F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("left"),
         F.row_number().over(order).alias("rank"),
     )
-    level = ranked.withColumn("level", (F.col("total") - F.col("before")) / F.col("left"))
-    free = level.where(F.col("level") * F.col("weight") < F.col("full")).agg(F.min_by("level", "rank").alias("at"))
-    return level.crossJoin(F.broadcast(free)).select(*sources.columns, F.least("full", F.coalesce(F.col("at") * F.col("weight"), F.col("full"))).alias("target"))
+    level = ranked.withColumn("level", (F.lit(total) - F.col("before")) / F.col("left"))
+    found = level.where(F.col("level") * F.col("weight") < F.col("full")).agg(F.min_by("level", "rank")).first()[0]
+    lifted = F.col("full") if found is None else F.least("full", F.lit(found) * F.col("weight"))
+    return level.select(*sources.columns, lifted.alias("target"))
 
 
 def _first_fit(columns: list[str]):
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    weighted = source.withColumn("weight", F.get(cycle, place % len(weights)))
+    weighted = cut(source.withColumn("weight", F.get(cycle, place % len(weights))))
     bits = F.least(F.lit(20), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / per_bucket)))).cast("int")
     targets = cut(water_fill(weighted, share, cap).select("source", "source_size", "target", bits.alias("bits"),
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("whole")))
