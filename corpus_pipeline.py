@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, mixing, pieces, secrets, simhash
-from ledgerloom.llm.common import scratch_path
+from ledgerloom.llm.common import connected_components, cut, scratch_path
+from ledgerloom.llm.similar import similar
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,6 +34,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return known.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near-duplicates the document with the smallest id. Two are linked if their
+    five-word shingles have a Jaccard similarity of 0.8 or more, or their fingerprints are close as in
+    `drop_near_duplicates`. Rows that repeat an id are one before (the smallest by the other columns).
+    Rows without an id go."""
+    known = docs.where("doc_id is not null").select(*COLUMNS)
+    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        one = known.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("x"))
+        known = cut(one.select("doc_id", "x.*"))
+    near = simhash.near_duplicates(known).select("doc_id", F.col("component_id").alias("a"))
+    both = cut(near.join(similar(known).withColumnRenamed("component_id", "b"), "doc_id"))
+    roots = connected_components(both.select("a", "b").distinct())
+    kept = both.join(roots, both.a == roots.node, "left").where("doc_id = coalesce(component, a)").select("doc_id")
+    return known.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret found by a mark; no document goes."""
     found = secrets.find_secrets(docs, redacted=True, keep=("lang", "source"))
@@ -53,7 +70,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("language", keep_identified),
-    ("near_duplicates", drop_near_duplicates),
+    ("near_duplicates", drop_similar),
     ("secrets", redact_secrets),
     ("mixture", mix_sources),
     ("pieces", encode_pieces),
