@@ -24,27 +24,28 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 BASE_KINDS = ("assign", "access", "hex")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/-]{16,}(?:\.[A-Za-z0-9_+/-]{4,})*")
+DELIMITER = re.compile(r"[/_+.-]")
 
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALNUM = UPPER + LOWER + DIGIT
 
-#: Public credential formats as (literal or (alphabet, count) parts); labelled samples are drawn from them.
+#: Public credential formats as (literal or (alphabet, counts) parts); labelled samples are drawn from them.
 FORMATS = {
     "github": ("gh", ("pousr", 1), "_", (ALNUM, 36)),
-    "slack": ("xox", ("bpars", 1), "-", (DIGIT, 11), "-", (DIGIT, 11), "-", (ALNUM, 24)),
+    "slack": ("xox", ("bpars", 1), "-", (DIGIT, 10, 11, 12, 13), "-", (DIGIT, 10, 11, 12, 13), "-", (ALNUM, 24)),
     "google": ("AIza", (ALNUM + "-_", 35)),
     "stripe": (("sr", 1), "k_live_", (ALNUM, 24)),
     "npm": ("npm_", (ALNUM, 36)),
     "gitlab": ("glpat-", (ALNUM + "-_", 20)),
     "session": ("ASIA", (UPPER + "234567", 16)),
-    "jwt": ("eyJ", (ALNUM + "-_", 33), ".eyJ", (ALNUM + "-_", 60), ".", (ALNUM + "-_", 43)),
+    "jwt": ("eyJ", (ALNUM + "-_", 17, 33, 48, 80), ".eyJ", (ALNUM + "-_", 30, 60, 120, 240), ".", (ALNUM + "-_", 43, 64, 86, 342)),
 }
 
 
 def labelled(seed: int = 7, each: int = 240) -> dict[str, list[str]]:
     """`each` seeded sample credentials of each format."""
     rng = random.Random(seed)
-    draw = lambda part: part if isinstance(part, str) else "".join(rng.choices(part[0], k=part[1]))
+    draw = lambda part: part if isinstance(part, str) else "".join(rng.choices(part[0], k=part[1] if len(part) == 2 else rng.choice(part[1:])))
     return {kind: ["".join(map(draw, parts)) for _ in range(each)] for kind, parts in FORMATS.items()}
 
 
@@ -135,7 +136,9 @@ class Automaton:
         self.states = kept
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Next state and log-probability by state and byte, end log-probability, length log-probability."""
+        """Next state and log-probability by state and byte, end log-probability, length log-probability.
+
+        Samples of one length bind to it; of several, only the end probability decides (one entry, 0)."""
         place = {q: i for i, q in enumerate(self.states)}
         go = np.full((len(place) + 1, 128), len(place), np.int32)
         cost = np.full((len(place) + 1, 128), -np.inf)
@@ -152,6 +155,8 @@ class Automaton:
                 go[i, ord(c)], cost[i, ord(c)] = place[onward[c]], math.log(k / n)
             if self.ends[q]:
                 end[i] = math.log(self.ends[q] / n)
+        if len(self.lengths) > 1:
+            return go, cost, end, np.zeros(1)
         longest = max(self.lengths)
         length = np.full(longest + 2, -np.inf)
         for n, k in self.lengths.items():
@@ -164,28 +169,36 @@ def model(seed: int = 7, each: int = 240) -> dict[str, tuple]:
     return {kind: Automaton(found).tables() for kind, found in labelled(seed, each).items()}
 
 
-def score(strings: list[str], automata: dict[str, tuple]) -> np.ndarray:
-    """Log-likelihood of each string under each format, less that under 64 even symbols.
+def matches(text: str, automata: dict[str, tuple], least: float) -> list[tuple[int, int, int]]:
+    """(start, format index, end) of the parts of a candidate that some format scores `least` or more, apart from each other.
 
-    -inf where the automaton has no path or the length was never seen.
+    A part starts at the candidate's start or after a delimiter, and ends at its end or before one. Its
+    score is its log-likelihood under the format, less that under 64 even symbols. From the left, the
+    longest part is taken, under the format that scores best.
     """
-    n = len(strings)
-    sizes = np.fromiter(map(len, strings), np.int64, n)
-    out = np.full((n, len(automata)), -np.inf)
-    for k, (go, cost, end, length) in enumerate(automata.values()):
-        pick = np.flatnonzero(np.isfinite(length[np.minimum(sizes, len(length) - 1)]))
-        if not len(pick):
+    starts = [0, *(m.end() for m in DELIMITER.finditer(text))]
+    stops = {*(m.start() for m in DELIMITER.finditer(text)), len(text)}
+    codes, found, after = text.encode("ascii"), [], 0
+    for a in starts:
+        if a < after or len(text) - a < 16:
             continue
-        width = int(sizes[pick].max())
-        chars = np.frombuffer("".join(strings[i].ljust(width) for i in pick.tolist()).encode("ascii"), np.uint8).reshape(len(pick), width)
-        state, total = np.zeros(len(pick), np.int64), length[sizes[pick]].copy()
-        for p in range(width):
-            on = sizes[pick] > p
-            total[on] += cost[state[on], chars[on, p]]
-            state[on] = go[state[on], chars[on, p]]
-        with np.errstate(invalid="ignore"):
-            out[pick, k] = total + end[state] + sizes[pick] * math.log(64)
-    return out
+        best = None
+        for k, (go, cost, end, length) in enumerate(automata.values()):
+            state, total = 0, 0.0
+            for p in range(a, len(text)):
+                step = cost[state, codes[p]]
+                if step == -math.inf:
+                    break
+                total += step + math.log(64)
+                state = go[state, codes[p]]
+                if p + 1 in stops and p + 1 - a >= 16:
+                    value = total + end[state] + length[min(p + 1 - a, len(length) - 1)]
+                    if value >= least:
+                        best = max(best or (0,), (p + 1, value, -k))
+        if best:
+            after = best[0]
+            found.append((a, -best[2], after))
+    return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -201,24 +214,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def scan(texts: list[str], automata: dict[str, tuple], least: float) -> list[tuple[list, list]]:
-    """Base and added spans of each text. Added: candidates whose best format scores `least` or more
-    and that no base span covers."""
+    """Base and added spans of each text. Added: parts of candidates that a format scores `least`
+    or more and that no base span covers."""
     kinds = (*BASE_KINDS, *automata)
     base = [base_spans(t) for t in texts]
-    where, strings = [], []
+    more: list[list] = [[] for _ in texts]
+    known: dict[str, list] = {}
     for i, t in enumerate(texts):
         for m in CANDIDATE.finditer(t):
-            where.append((i, m.start(), m.end()))
-            strings.append(m.group())
-    more: list[list] = [[] for _ in texts]
-    if strings:
-        distinct = list(dict.fromkeys(strings))
-        scores = score(distinct, automata)
-        best = dict(zip(distinct, zip(scores.argmax(1).tolist(), scores.max(1).tolist())))
-        for (i, a, b), s in zip(where, strings):
-            k, top = best[s]
-            if top >= least and not any(x <= a and b <= y for x, _, y in base[i]):
-                more[i].append((a, len(BASE_KINDS) + k, b))
+            if m.group() not in known:
+                known[m.group()] = matches(m.group(), automata, least)
+            for a, k, b in known[m.group()]:
+                a, b = a + m.start(), b + m.start()
+                if not any(x <= a and b <= y for x, _, y in base[i]):
+                    more[i].append((a, len(BASE_KINDS) + k, b))
     show = lambda spans: [(kinds[k], a, b) for a, k, b in spans]
     return [(show(b), show(sorted(b + m))) for b, m in zip(base, more)]
 

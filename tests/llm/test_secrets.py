@@ -63,3 +63,22 @@ def test_redact(spans, want):
 
 def test_empty_table(spark):
     assert S.find_secrets(spark.createDataFrame([], SCHEMA), redacted=True).collect() == []
+
+
+def test_other_lengths_and_glue():
+    rng = random.Random(3)
+    draw = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    url = S.ALNUM + "-_"
+    hub = "ghp_" + draw(S.ALNUM, 36)
+    cases = [(f"see {a}{hub}{b} now", "github", hub) for a, b in [("", ""), ("https://example.com/", ""), ("user-", ""), ("", ".Next"), ("a/b_", "-c")]]
+    for n in (25, 75, 150, 400):
+        for tail in (43, 86, 342):
+            jwt = f"eyJ{draw(url, 20)}.eyJ{draw(url, n)}.{draw(url, tail)}"
+            cases.append((f"Bearer {jwt} end", "jwt", jwt))
+    for n in (10, 12, 13):
+        slack = f"xoxb-{draw(S.DIGIT, n)}-{draw(S.DIGIT, n)}-{draw(S.ALNUM, 24)}"
+        cases.append((f"use {slack} here", "slack", slack))
+    hits = S.scan([t for t, _, _ in cases], S.model(), 2.0)
+    for (text, kind, secret), (_, spans) in zip(cases, hits):
+        at = text.index(secret)
+        assert (kind, at, at + len(secret)) in spans, (text, spans)
