@@ -56,7 +56,7 @@ def member(record: bytes, level: int = 1) -> bytes:
 
 def _plain(data: bytes, at: int, whole: bool) -> Record:
     """The record whose version line starts at `at`; whole: it must fill the data."""
-    head = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    head = data.find(b"\r\n\r\n", at)
     if not data.startswith(b"WARC/1.", at):
         raise Damaged("no version line")
     if head < 0:

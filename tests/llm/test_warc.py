@@ -89,3 +89,11 @@ def test_every_byte_of_the_archive_is_a_record_or_a_gap(packed):
 def test_empty_table(spark, tmp_path):
     W.write(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/w")
     assert W.read(spark, f"file://{tmp_path}/w").collect() == []
+
+
+def test_headers_of_any_length():
+    url = "http://a/" + "u" * (3 << 20)
+    record = W.build([("WARC-Type", "response"), ("WARC-Target-URI", url)], b"block")
+    for archive in (record * 2, W.member(record) * 2):
+        found = list(W.salvage(archive))
+        assert len(found) == 2 and all(isinstance(x, W.Record) and x.headers["warc-target-uri"] == url for x in found)
