@@ -39,6 +39,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few longs that may be broadcast: tens of MB.
+FEW = 1 << 20
+
+
+def lookup(df: DataFrame, few: DataFrame, on, how: str = "inner", rows: int = FEW) -> DataFrame:
+    """df joined with a checkpoint or table of narrow rows: broadcast while it is counted to hold at most
+    `rows` rows, else shuffled by the key."""
+    return df.join(F.broadcast(few) if few.count() <= rows else few, on, how)
+
+
+def groups(batches, keys: int):
+    """Arrow tables, one for each run of rows that agree in the first `keys` columns (integers); a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        other = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            other |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(other) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(c[a].item() for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; -1 for a null id, which so is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))

@@ -44,6 +44,19 @@ def test_like_all_pairs(spark):
     assert got == want and 60 < len(set(want.values())) < len(rows) - 60
 
 
+def test_groups_dealt_into_tiles(spark):
+    rng, words = random.Random(9), [f"w{i}" for i in range(150)]
+    rows = [(7, " ".join(words))]
+    for i in range(90):
+        copy = words[:]
+        for _ in range(rng.choice([1, 2, 3, 5, 8])):
+            copy[rng.randrange(150)] = f"x{rng.random()}"
+        rows.append((100 + i, " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in S.similar(spark.createDataFrame(rows, "doc_id long, text string"), tile=7).collect()}
+    want = brute(rows)
+    assert got == want and 5 < len(set(want.values())) < 80
+
+
 def test_the_stage_drops_near_copies_that_fingerprints_miss(spark):
     rows = list({i: (i, t) for i, t in edited() if t}.values())
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in [*rows, rows[3], (None, "no id at all")]], "doc_id long, text string, lang string, source string, n_chars long")
