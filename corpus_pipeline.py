@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, mixing, pieces, secrets, simhash
-from ledgerloom.llm.common import connected_components, cut, scratch_path
+from ledgerloom.llm.common import connected_components, cut, lookup, scratch_path
 from ledgerloom.llm.similar import similar
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -43,11 +43,10 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
         one = known.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("x"))
         known = cut(one.select("doc_id", "x.*"))
-    near = simhash.near_duplicates(known).select("doc_id", F.col("component_id").alias("a"))
-    both = cut(near.join(similar(known).withColumnRenamed("component_id", "b"), "doc_id"))
-    roots = connected_components(both.select("a", "b").distinct())
-    kept = both.join(roots, both.a == roots.node, "left").where("doc_id = coalesce(component, a)").select("doc_id")
-    return known.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    pairs = simhash.near_duplicates(known).unionByName(similar(known), allowMissingColumns=True)
+    roots = connected_components(pairs.select("doc_id", "component_id"), "doc_id", "component_id")
+    dropped = cut(roots.where("node <> component").select(F.col("node").alias("doc_id")))
+    return lookup(known, dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +58,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mixture takes it; those not taken go, and rows without
     an id. Rows that repeat an id are each taken as often as the one of them that is taken most."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
+    taken = cut(mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")))
+    return lookup(docs, taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
