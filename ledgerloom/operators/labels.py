@@ -1,150 +1,297 @@
-"""The label contract: fourteen fields, each a value with wording, availability and origin."""
+"""The label contract: fourteen fields, each a value with wording, availability and origin.
+
+Shapes say what a value may be. Each can look at a parsed tree (`why`) and at a variant column (`told`),
+and both follow one table of rules for fields, so that they find the same faults in the same order.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import date
+from types import SimpleNamespace
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import NotStrict, strict_loads
+from ..functions.canonical import NotStrict, parsed, strict_loads
 
 # Names and vocabularies of the contract.
 AVAILABILITY = ("PRESENT", "ABSENT_IN_CONTEXT", "AMBIGUOUS", "UNREADABLE", "CONFLICTING", "NOT_APPLICABLE")
 DIRECTIONS = ("FOR", "AGAINST", "ABSTAIN", "WITHHOLD", "OTHER")
 ALIGNMENTS = ("WITH_MANAGEMENT", "AGAINST_MANAGEMENT", "NOT_APPLICABLE", "OTHER")
+ORIGINS = ("EXTRACTED", "DERIVED")
 PARTS = ("value", "raw_text", "availability", "origin")
 
-# Kinds of values: text; a closed set; a record of fields; a list of fields; a list of records.
-TEXT = ("text",)
+Fault = tuple[str, str]
+FAULTS = "array<struct<path:string,rule:string>>"
+QUOTES = "array<struct<path:string,quote:string>>"
 
 
-def one_of(*names: str) -> tuple:
-    return ("one_of", names)
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which stands in the expression once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def record(**fields: tuple) -> tuple:
-    return ("record", fields)
+def _none(kind: str) -> Column:
+    return F.array().cast(kind)
 
 
-def listed(kind: tuple) -> tuple:
-    return ("listed", kind)
+def _fault(at: Column, rule: str | Column) -> Column:
+    return F.array(F.struct(at.alias("path"), (F.lit(rule) if isinstance(rule, str) else rule).alias("rule")))
 
 
-_IDENTIFIERS = listed(record(source_label=TEXT, value=TEXT))
-CONTRACT = {
-    "reporting_scope": record(name=TEXT, scope_type=one_of("INDIVIDUAL_FUND", "FUND_GROUP"), members=listed(TEXT)),
-    "series_identifiers": _IDENTIFIERS,
-    "issuer_name": TEXT,
-    "security_identifiers": _IDENTIFIERS,
-    "ticker": TEXT,
-    "meeting_date": TEXT,
-    "meeting_type": TEXT,
-    "proposal_number": TEXT,
-    "raw_description": TEXT,
-    "separate_subject": TEXT,
-    "proposal_source": TEXT,
-    "participation": one_of("VOTED", "DID_NOT_VOTE", "OTHER"),
-    "vote_components": listed(record(direction=one_of(*DIRECTIONS), quantity=record(amount=TEXT, unit=TEXT), disclosed_management_alignment=one_of(*ALIGNMENTS))),
-    "management_recommendation": one_of(*DIRECTIONS, "NONE"),
-}
+def _members(v: Column) -> Column:
+    """The members of a JSON object, null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def _spark(kind: tuple) -> str:
-    if kind[0] in ("text", "one_of"):
-        return "string"
-    if kind[0] == "record":
-        return "struct<" + ",".join(f"{k}:{field_type(v)}" for k, v in kind[1].items()) + ">"
-    inner = kind[1]
-    return f"array<{_spark(inner) if inner[0] == 'record' else field_type(inner)}>"
+def _items(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
-def field_type(kind: tuple) -> str:
-    """Spark type of a field whose value is of the kind."""
-    return f"struct<value:{_spark(kind)},raw_text:string,availability:string,origin:string>"
+def _string(v: Column) -> Column:
+    """A JSON string, null for anything else."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-#: Spark type of a whole label's fields; the nesting is finite, so that it is one static type.
-LABEL_TYPE = "struct<" + ",".join(f"{k}:{field_type(v)}" for k, v in CONTRACT.items()) + ">"
+def _is_null(v: Column) -> Column:
+    return F.is_variant_null(v)
+
 
+def _wrong_keys(members: Column, names) -> Column:
+    """Rule that an object with these members, and no others, does not break."""
+    return F.when(members.isNull(), "not_an_object").when(F.array_sort(F.map_keys(members)) != F.array(*map(F.lit, sorted(names))), "keys")
 
-def _keys(node: Any, names, path: str) -> Iterator[tuple[str, str]]:
+
+def _unlike(node: Any, names) -> str | None:
     if not isinstance(node, dict):
-        yield path, "not_an_object"
-    elif node.keys() != set(names):
-        yield path, "keys"
-
-
-def _check_value(value: Any, kind: tuple, path: str) -> Iterator[tuple[str, str]]:
-    match kind[0]:
-        case "text" if not isinstance(value, str):
-            yield path, "not_text"
-        case "one_of" if value not in kind[1]:
-            yield path, "unknown_value"
-        case "record":
-            wrong = list(_keys(value, kind[1], path))
-            yield from wrong
-            if not wrong:
-                for name, inner in kind[1].items():
-                    yield from _check_field(value[name], inner, f"{path}.{name}")
-        case "listed":
-            if not isinstance(value, list) or not value:
-                yield path, "not_a_filled_list"
-            else:
-                check = _check_value if kind[1][0] == "record" else _check_field
-                for i, x in enumerate(value):
-                    yield from check(x, kind[1], f"{path}[{i}]")
-
-
-def _check_field(field: Any, kind: tuple, path: str) -> Iterator[tuple[str, str]]:
-    wrong = list(_keys(field, PARTS, path))
-    yield from wrong
-    if wrong:
-        return
-    value, raw, state, origin = (field[p] for p in PARTS)
-    if state not in AVAILABILITY:
-        yield path, "unknown_availability"
-    elif raw is not None and not isinstance(raw, str):
-        yield path, "wording_not_text"
-    elif path == "vote_components" and value == [] and (state, origin) == ("NOT_APPLICABLE", "DERIVED"):
-        return
-    elif state != "PRESENT":
-        if value is not None or origin is not None:
-            yield path, "unresolved_but_filled"
-    elif origin not in ("EXTRACTED", "DERIVED"):
-        yield path, "no_origin"
-    else:
-        yield from _check_value(value, kind, path)
+        return "not_an_object"
+    return None if node.keys() == set(names) else "keys"
+
+
+class Text:
+    """Any string."""
+
+    type = "string"
+
+    def why(self, node: Any, at: str) -> Iterator[Fault]:
+        if not isinstance(node, str):
+            yield at, "not_text"
+
+    def told(self, v: Column, at: Column) -> Column:
+        return F.when(_string(v).isNull(), _fault(at, "not_text")).otherwise(_none(FAULTS))
+
+    def quotes(self, v: Column, at: Column) -> Column:
+        return _none(QUOTES)
+
+
+class Choice(Text):
+    """One string of a closed set."""
+
+    def __init__(self, *names: str):
+        self.names = names
+
+    def why(self, node: Any, at: str) -> Iterator[Fault]:
+        if node not in self.names:
+            yield at, "unknown_value"
+
+    def told(self, v: Column, at: Column) -> Column:
+        return F.when(~F.coalesce(_string(v).isin(*self.names), F.lit(False)), _fault(at, "unknown_value")).otherwise(_none(FAULTS))
+
+
+class Record:
+    """An object of just these fields."""
+
+    def __init__(self, **shapes):
+        self.fields = {name: Field(shape) for name, shape in shapes.items()}
+        self.type = "struct<" + ",".join(f"{name}:{f.type}" for name, f in self.fields.items()) + ">"
+
+    def why(self, node: Any, at: str) -> Iterator[Fault]:
+        if rule := _unlike(node, self.fields):
+            yield at, rule
+        else:
+            for name, f in self.fields.items():
+                yield from f.why(node[name], f"{at}.{name}")
+
+    def told(self, v: Column, at: Column) -> Column:
+        def inside(m: Column) -> Column:
+            wrong = _wrong_keys(m, self.fields)
+            return F.when(wrong.isNotNull(), _fault(at, wrong)).otherwise(F.concat(*[f.told(m[name], F.concat(at, F.lit(f".{name}"))) for name, f in self.fields.items()]))
+
+        return _let(_members(v), inside)
+
+    def quotes(self, v: Column, at: Column) -> Column:
+        return _let(_members(v), lambda m: F.concat(*[f.quotes(m[name], F.concat(at, F.lit(f".{name}"))) for name, f in self.fields.items()]))
+
+
+class Filled:
+    """A list of one or more."""
+
+    def __init__(self, of):
+        self.of = of
+        self.type = f"array<{of.type}>"
+
+    def why(self, node: Any, at: str) -> Iterator[Fault]:
+        if not isinstance(node, list) or not node:
+            yield at, "not_a_filled_list"
+        else:
+            for i, x in enumerate(node):
+                yield from self.of.why(x, f"{at}[{i}]")
+
+    def _each(self, items: Column, at: Column, look) -> Column:
+        return F.flatten(F.transform(items, lambda x, i: look(x, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))))
+
+    def told(self, v: Column, at: Column) -> Column:
+        return _let(_items(v), lambda a: F.when(F.coalesce(F.size(a), F.lit(0)) < 1, _fault(at, "not_a_filled_list")).otherwise(self._each(a, at, self.of.told)))
+
+    def quotes(self, v: Column, at: Column) -> Column:
+        return self._each(_items(v), at, self.of.quotes)
+
+
+#: What decides about a field before its value does: the first that holds. No rule: the field is sound.
+FIELD_TABLE: tuple[tuple[str, Callable], ...] = (
+    ("unknown_availability", lambda f: ~f.known),
+    ("wording_not_text", lambda f: ~f.worded),
+    ("", lambda f: f.rightly_empty),
+    ("unresolved_but_filled", lambda f: ~f.present & f.filled),
+    ("", lambda f: ~f.present),
+    ("no_origin", lambda f: ~f.has_origin),
+)
+
+
+class Field:
+    """A value of some shape with its wording, availability and origin."""
+
+    def __init__(self, shape, may_be_empty: bool = False):
+        self.shape, self.may_be_empty = shape, may_be_empty
+        self.type = f"struct<value:{shape.type},raw_text:string,availability:string,origin:string>"
+
+    def why(self, node: Any, at: str) -> Iterator[Fault]:
+        if rule := _unlike(node, PARTS):
+            yield at, rule
+            return
+        value, raw, state, origin = (node[p] for p in PARTS)
+        facts = {
+            "known": state in AVAILABILITY, "worded": raw is None or isinstance(raw, str), "present": state == "PRESENT", "filled": not (value is None and origin is None),
+            "has_origin": origin in ORIGINS, "rightly_empty": self.may_be_empty and value == [] and state == "NOT_APPLICABLE" and origin == "DERIVED",
+        }
+        view = SimpleNamespace(**{k: np.bool_(x) for k, x in facts.items()})
+        for rule, holds in FIELD_TABLE:
+            if holds(view):
+                if rule:
+                    yield at, rule
+                return
+        yield from self.shape.why(value, at)
         if value == "OTHER" and not raw:
-            yield path, "other_without_wording"
+            yield at, "other_without_wording"
 
+    def told(self, v: Column, at: Column) -> Column:
+        """Faults of a variant column, as array<struct<path,rule>>."""
 
-def problems(label: Any) -> Iterator[tuple[str, str]]:
+        def inside(m: Column) -> Column:
+            wrong, state, origin = _wrong_keys(m, PARTS), _string(m["availability"]), _string(m["origin"])
+            yes = lambda c: F.coalesce(c, F.lit(False))
+            empty = yes(F.size(_items(m["value"])) == 0) & yes(state == "NOT_APPLICABLE") & yes(origin == "DERIVED")
+            view = SimpleNamespace(
+                known=yes(state.isin(*AVAILABILITY)), worded=_is_null(m["raw_text"]) | _string(m["raw_text"]).isNotNull(), present=yes(state == "PRESENT"),
+                filled=~(_is_null(m["value"]) & _is_null(m["origin"])), has_origin=yes(origin.isin(*ORIGINS)), rightly_empty=empty if self.may_be_empty else F.lit(False),
+            )
+            unworded = yes(_string(m["value"]) == "OTHER") & (F.coalesce(_string(m["raw_text"]), F.lit("")) == "")
+            found = F.when(wrong.isNotNull(), _fault(at, wrong))
+            for rule, holds in FIELD_TABLE:
+                found = found.when(holds(view), _fault(at, rule) if rule else _none(FAULTS))
+            return found.otherwise(F.concat(self.shape.told(m["value"], at), F.when(unworded, _fault(at, "other_without_wording")).otherwise(_none(FAULTS))))
+
+        return _let(_members(v), inside)
+
+    def quotes(self, v: Column, at: Column) -> Column:
+        """Wordings that are not empty, with their paths, of a variant column that holds a sound field."""
+
+        def inside(m: Column) -> Column:
+            raw = _string(m["raw_text"])
+            own = F.when(F.length(raw) > 0, F.array(F.struct(at.alias("path"), raw.alias("quote")))).otherwise(_none(QUOTES))
+            return F.concat(own, F.coalesce(self.shape.quotes(m["value"], F.concat(at, F.lit(".value"))), _none(QUOTES)))
+
+        return _let(_members(v), inside)
+
+
+def _identifiers() -> Filled:
+    return Filled(Record(source_label=Text(), value=Text()))
+
+
+# The fields of the contract.
+CONTRACT = {
+    "reporting_scope": Field(Record(name=Text(), scope_type=Choice("INDIVIDUAL_FUND", "FUND_GROUP"), members=Filled(Field(Text())))),
+    "series_identifiers": Field(_identifiers()),
+    "issuer_name": Field(Text()),
+    "security_identifiers": Field(_identifiers()),
+    "ticker": Field(Text()),
+    "meeting_date": Field(Text()),
+    "meeting_type": Field(Text()),
+    "proposal_number": Field(Text()),
+    "raw_description": Field(Text()),
+    "separate_subject": Field(Text()),
+    "proposal_source": Field(Text()),
+    "participation": Field(Choice("VOTED", "DID_NOT_VOTE", "OTHER")),
+    "vote_components": Field(Filled(Record(direction=Choice(*DIRECTIONS), quantity=Record(amount=Text(), unit=Text()), disclosed_management_alignment=Choice(*ALIGNMENTS))), may_be_empty=True),
+    "management_recommendation": Field(Choice(*DIRECTIONS, "NONE")),
+}
+
+#: Spark type of a whole label's fields; the nesting is finite, so that it is one static type.
+LABEL_TYPE = "struct<" + ",".join(f"{name}:{f.type}" for name, f in CONTRACT.items()) + ">"
+
+
+@dataclass(frozen=True)
+class Across:
+    """A rule over fields that are sound each: where it is told, the fields, and when a tree or a variant map breaks it."""
+
+    at: str
+    rule: str
+    needs: tuple[str, ...]
+    why: Callable[[dict], bool]
+    told: Callable[[Callable[[str], Column]], Column]
+
+
+def _no_calendar_day(text: str) -> bool:
+    try:
+        return date.fromisoformat(text).isoformat() != text
+    except ValueError:
+        return True
+
+
+def _odd_day(part: Callable[[str], Column]) -> Column:
+    day = _string(part("meeting_date")["value"])
+    return day.isNotNull() & (F.try_to_date(day, "yyyy-MM-dd").isNull() | ~day.rlike("^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}$"))
+
+
+def _votes_differ(part: Callable[[str], Column]) -> Column:
+    silent = F.coalesce(_string(part("participation")["value"]) == "DID_NOT_VOTE", F.lit(False))
+    return silent != F.coalesce(F.size(_items(part("vote_components")["value"])) == 0, F.lit(False))
+
+
+ACROSS = (
+    Across("meeting_date", "not_a_calendar_date", ("meeting_date",), lambda f: f["meeting_date"]["value"] is not None and _no_calendar_day(f["meeting_date"]["value"]), _odd_day),
+    Across("vote_components", "votes_and_participation_differ", ("participation", "vote_components"), lambda f: (f["participation"]["value"] == "DID_NOT_VOTE") != (f["vote_components"]["value"] == []), _votes_differ),
+)
+
+
+def problems(label: Any) -> Iterator[Fault]:
     """(path, rule) of all that is wrong with a parsed label, in the order of the contract."""
-    wrong = list(_keys(label, ("fields",), "label")) or list(_keys(label["fields"], CONTRACT, "fields"))
-    yield from wrong
-    if wrong:
-        return
-    fields, sound = label["fields"], {}
-    for name, kind in CONTRACT.items():
-        found = list(_check_field(fields[name], kind, name))
-        sound[name] = not found
-        yield from found
-    day = fields["meeting_date"]
-    if sound["meeting_date"] and day["availability"] == "PRESENT":
-        try:
-            same = date.fromisoformat(day["value"]).isoformat() == day["value"]
-        except ValueError:
-            same = False
-        if not same:
-            yield "meeting_date", "not_a_calendar_date"
-    if sound["participation"] and sound["vote_components"]:
-        if (fields["participation"]["value"] == "DID_NOT_VOTE") != (fields["vote_components"]["value"] == []):
-            yield "vote_components", "votes_and_participation_differ"
+    for at, node, names in (("label", label, ("fields",)), ("fields", label["fields"] if isinstance(label, dict) and "fields" in label else None, CONTRACT)):
+        if rule := _unlike(node, names):
+            yield at, rule
+            return
+    fields = label["fields"]
+    found = {name: list(f.why(fields[name], name)) for name, f in CONTRACT.items()}
+    for faults in found.values():
+        yield from faults
+    for x in ACROSS:
+        if not any(found[n] for n in x.needs) and x.why(fields):
+            yield x.at, x.rule
 
 
 def parse_label(text: str | None) -> dict | None:
@@ -156,20 +303,43 @@ def parse_label(text: str | None) -> dict | None:
     return label if label is not None and next(problems(label), None) is None else None
 
 
+def faults_of(label: Column) -> Column:
+    """problems() of a variant column, as array<struct<path,rule>>."""
+
+    def of_fields(m: Column) -> Column:
+        wrong = _wrong_keys(m, CONTRACT)
+        each = F.create_map(*[x for name, f in CONTRACT.items() for x in (F.lit(name), f.told(m[name], F.lit(name)))])
+
+        def across(found: Column) -> Column:
+            rows = [
+                F.when(F.lit(sum(1 for _ in x.needs)) == sum((F.size(found[n]) == 0).cast("int") for n in x.needs), F.when(x.told(lambda name: _members(m[name])), _fault(F.lit(x.at), x.rule)))
+                for x in ACROSS
+            ]
+            return F.concat(*[found[name] for name in CONTRACT], *[F.coalesce(r, _none(FAULTS)) for r in rows])
+
+        return F.when(wrong.isNotNull(), _fault(F.lit("fields"), wrong)).otherwise(_let(each, across))
+
+    def of_label(m: Column) -> Column:
+        wrong = _wrong_keys(m, ("fields",))
+        return F.when(wrong.isNotNull(), _fault(F.lit("label"), wrong)).otherwise(_let(_members(m["fields"]), of_fields))
+
+    return _let(_members(label), of_label)
+
+
 def label_problems(text: Column) -> Column:
-    """array<struct(path, rule)> of a JSON label; a text that is no strict JSON has one entry, (label, json)."""
+    """array<struct(path, rule)> of a JSON label; a text that is no strict JSON has one entry, (label, json).
 
-    @F.pandas_udf("array<struct<path:string,rule:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t):
-            try:
-                return [{"path": p, "rule": r} for p, r in problems(strict_loads(t or ""))]
-            except NotStrict:
-                return [{"path": "label", "rule": "json"}]
+    Only the strict parse runs in Python; the rules are expressions over the parsed variant.
+    """
+    told = F.try_parse_json(parsed(text, "row")["canonical"])
+    return F.when(told.isNull(), _fault(F.lit("label"), "json")).otherwise(faults_of(told))
 
-        return texts.map(one)
 
-    return run(text)
+def quotations(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, path, quote): every wording that is not empty in valid JSON labels, with list places in its path."""
+    fields = F.try_variant_get(F.try_parse_json(label), "$.fields", "map<string,variant>")
+    found = _let(fields, lambda m: F.concat(*[f.quotes(m[name], F.lit(name)) for name, f in CONTRACT.items()]))
+    return labels.select(key, F.explode(found).alias("q")).select(key, "q.path", "q.quote")
 
 
 def typed_label(text: Column) -> Column:
@@ -177,6 +347,21 @@ def typed_label(text: Column) -> Column:
     return F.from_json(text, f"struct<fields:{LABEL_TYPE}>")
 
 
+def field_at(label: Column, path: Column) -> Column:
+    """The node of a JSON label at a path such as fields.a.b[0].c, as a variant; null where there is none."""
+    return F.when(path.startswith("fields."), F.try_variant_get(F.try_parse_json(label), F.concat(F.lit("$."), path), "variant"))
+
+
+def review_fields(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, field, value, raw_text, availability, origin, evidence_input, note): editable texts of each field of
+    valid labels; values and wordings are JSON without spaces, a null origin is empty."""
+    m = F.try_variant_get(F.try_parse_json(label), "$.fields", "map<string,variant>")
+    each = labels.select(key, F.posexplode(F.array(*map(F.lit, CONTRACT))).alias("place", "field"), m.alias("m")).select(key, "field", _members(F.col("m")[F.col("field")]).alias("f"))
+    told = lambda name: F.to_json(F.col("f")[name])
+    text = lambda name: F.coalesce(_string(F.col("f")[name]), F.lit(""))
+    return each.select(key, "field", told("value").alias("value"), told("raw_text").alias("raw_text"), text("availability").alias("availability"), text("origin").alias("origin"), F.lit("").alias("evidence_input"), F.lit("").alias("note"))
+
+
 def to_review(label: dict, notes: dict[str, str] | None = None) -> dict[str, dict]:
     """Editable texts of each field."""
     told = lambda x: json.dumps(x, ensure_ascii=False, allow_nan=False)
