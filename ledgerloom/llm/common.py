@@ -30,6 +30,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def lean(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of about `most` bytes in this session, if it allows larger ones: they stand in the JVM's and in
+    the worker's memory at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > most:
+        spark.conf.set(name, f"{most}b")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once into the shared folder and ends its lineage there."""
     spark = df.sparkSession

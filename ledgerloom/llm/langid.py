@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, slices
+from .common import lean, remainder, slices
 
 ORDERS = (2, 3, 4)
 SLOT_BITS = 20
@@ -149,6 +149,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 columns = [c for n, c in zip(part.schema.names, part.columns) if n != "_text"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(langs), pa.array(scores)], names_out)
 
+    lean(docs.sparkSession)
     chosen = docs.select(F.col(id_col), *[F.col(c) for c in keep if c != id_col], F.col(text_col).alias("_text"))
     fields = [f for f in chosen.schema.fields if f.name != "_text"]
     names_out = [*(f.name for f in fields), "lang_pred", "score"]

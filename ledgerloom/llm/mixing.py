@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -80,6 +80,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     nearer). Reruns agree. Null sources are one source, last in order; null texts have size 0.
     A source without a word has target 0 and takes nothing. Rows equal in id, source and size count apart.
     """
+    lean(docs.sparkSession)
     rows = sizes(docs, id_col, text_col, source_col).withColumn("h", F.xxhash64(F.lit(seed), "id", "size", "source").bitwiseAND(F.lit((1 << 62) - 1)))
     rows = cut(rows.withColumn("part", F.shiftright("h", 62 - 20).cast("int")))
     # 2^20 hash parts; a source uses as many leading bits as its rows need.

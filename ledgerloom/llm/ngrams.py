@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, scratch_path, slices, texts_of
+from .common import lean, remainder, scratch_path, slices, texts_of
 from .eliasfano import EliasFano, Quantised, Store
 
 ROWS_EXACT = 1 << 18
@@ -476,6 +476,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     texts (BLOCK bytes, a longer text alone) or one shard (about `shard` tokens); shards grow in number with the input.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(training, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
+    lean(docs.sparkSession)
     known = unigrams(chosen.where("train").select("text"), exact, bucket)
     total = chosen.count()
     shards = max(1, -(-int(known.tokens * max(1, total) / max(1, known.texts)) // shard)) if known.texts else 1

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -192,8 +192,8 @@ class Vocabulary:
         parts = [self.units(t) for t in texts]
         places = [np.fromiter(map(cache.place.__getitem__, p), np.int32, len(p)) for p in parts]
         new = list(itertools.islice(cache.place, known, None))
-        for i in range(0, len(new), 1 << 16):
-            cache.add(*self.segment(new[i : i + (1 << 16)]))
+        for i in range(0, len(new), 1 << 14):
+            cache.add(*self.segment(new[i : i + (1 << 14)]))
         out = []
         for p in places:
             size = cache.sizes[p]
@@ -238,6 +238,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
             same = [None if t is None else vocabulary.decode(x.tolist()) == t for t, x in zip(texts, ids)]
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes), pa.array(np.diff(fell)), pa.array(same, pa.bool_())], names)
 
+    lean(docs.sparkSession)
     names = [id_col, "token_ids", "n_tokens", "n_fallback", "round_trip"]
     chosen = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
     return chosen.mapInArrow(run, f"{id_col} long, token_ids array<int>, n_tokens long, n_fallback long, round_trip boolean")

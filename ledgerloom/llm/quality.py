@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, remainder, slices, texts_of
+from .common import cut, lean, remainder, slices, texts_of
 
 UPPER, LOWER, DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789"
 SYMBOLS, STOPS, HIGH = b"#*$%&|<>", b".,;:?", bytes(range(128, 256))
@@ -52,6 +52,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             offsets = pa.array(np.arange(0, len(x) + 1, len(FEATURES), dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x))], ["id", "x"])
 
+    lean(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, x array<float>")
 
 

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 # The base patterns of the contract. Letters of assign match in either case.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -254,6 +254,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     redacted=True adds `redacted`, the text with every span replaced (null stays null); the columns
     `keep` of docs follow the id. Nothing depends on other rows, so hot keys don't matter.
     """
+    lean(docs.sparkSession)
     automata = model()
 
     def run(batches):

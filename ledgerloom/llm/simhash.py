@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, slices, texts_of
+from .common import connected_components, cut, lean, slices, texts_of
 
 SEED = 42
 BITS = 64
@@ -144,6 +144,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows without an id keep their fingerprint and take the component of equal fingerprints with an
     id (null if there is none). Repeated rows are kept. Other columns of docs are ignored.
     """
+    lean(docs.sparkSession)
     prints = cut(fingerprints(docs, id_col, text_col, width))
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(covering_masks(radius))])

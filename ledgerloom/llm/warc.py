@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_path, slices
+from .common import cut, lean, scratch_path, slices
 
 VERSION = b"WARC/1.1"
 GZIP = b"\x1f\x8b\x08"
@@ -193,6 +193,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                 out.append(member(build(headers, http if ref is not None else http + body))[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
+    lean(pages.sparkSession)
     chosen = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     again = revisits(chosen, "id", "html", least)
     digest = F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
