@@ -43,27 +43,16 @@ def test_codes_keep_the_mean():
     assert len(q.book) <= 256 and abs(got.mean() - values.mean()) < 1e-9 and np.abs(got - values).mean() < 0.02
 
 
-def brute(rows, train, exact, bucket):
-    """Scores by dictionaries, without codes."""
+def brute(rows, train):
+    """Scores of the plain model by dictionaries, without codes, lists or parts."""
     tokens = {i: [*(t or "").encode().lower().split(), None] for i, (_, t) in enumerate(rows)}
     uni = Counter(w for i in train for w in tokens[i])
     n, v_ = sum(uni.values()), len(uni)
-    counts = sorted(set(uni.values()), reverse=True)
-    least = next((c for c in reversed(counts) if sum(x >= c for x in uni.values()) <= exact), None)
-    top = {w: c for w, c in uni.items() if least is not None and c >= least}
-    rest = v_ - len(top) + 1
-    tail = (n - sum(top.values()) + rest) / rest
-    p1 = lambda w: (top[w] + 1 if w in top else tail) / (n + v_ + 1)
-    h = lambda w: np.array([N.END if w is None else N.START if w == "start" else N._hashes([w])[0]], np.uint64)
-
-    def part(u, v):
-        c = len(train) if v == "start" else top.get(v, 0)
-        b = max(1, -(-c // bucket))
-        return int(N._mix(h(u))[0] % np.uint64(b)) if b > 1 else 0
+    p1 = lambda w: (uni[w] + 1) / (n + v_ + 1)
 
     def grams(i):
         t = ["start", "start", *tokens[i]]
-        return [(t[k - 2], (t[k - 1], part(t[k - 2], t[k - 1])), t[k]) for k in range(2, len(t))]
+        return [(t[k - 2], t[k - 1], t[k]) for k in range(2, len(t))]
 
     c3, c2 = defaultdict(Counter), defaultdict(Counter)
     for i in train:
@@ -80,7 +69,7 @@ def brute(rows, train, exact, bucket):
                     s = sum(c.values())
                     p = max(c[w] - d, 0) / s + d * len(c) / s * p
             total += math.log10(p)
-        base = sum(math.log10((uni[w] + 1) / (n + v_ + 1)) for w in tokens[i])
+        base = sum(math.log10(p1(w)) for w in tokens[i])
         out.append((len(tokens[i]), sum(uni[w] > 0 for w in tokens[i]), n, base, total))
     return out
 
@@ -94,14 +83,14 @@ def rows_of(seed):
     return rows
 
 
-@pytest.mark.parametrize("exact,bucket,shard,levels", [(1 << 18, 1 << 20, 3_000_000, 10**6), (20, 40, 600, 150), (0, 1 << 20, 2000, 100)])
+@pytest.mark.parametrize("exact,bucket,shard,levels", [(1 << 18, 1 << 20, 3_000_000, 10**6), (20, 40, 600, 150), (0, 1 << 20, 2000, 100), (3, 5, 300, 50)])
 def test_against_dictionaries(spark, exact, bucket, shard, levels):
     rows = rows_of(exact)
     df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA).repartition(3)
     train = [i for i, (k, _) in enumerate(rows) if k is None or k % 3]
     got = N.score(df, F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True)), exact=exact, bucket=bucket, shard=shard, levels=levels).collect()
     want = defaultdict(list)
-    for (k, _), i, x in zip(rows, range(len(rows)), brute(rows, train, exact, bucket)):
+    for (k, _), i, x in zip(rows, range(len(rows)), brute(rows, train)):
         want[k].append((i not in train, *x))
     assert len(got) == len(rows)
     for r in got:
@@ -111,6 +100,18 @@ def test_against_dictionaries(spark, exact, bucket, shard, levels):
         assert abs(r.score - near[5]) <= 0.02 * r.n_tokens + 0.05
 
 
+def test_lists_and_splits_change_nothing(spark):
+    rows = rows_of(5)
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA).repartition(2)
+    train = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
+    told = lambda **kw: sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), r.score) for r in N.score(df, train, **kw).collect())
+    plain = told()
+    for other in ({"exact": 4, "bucket": 30, "shard": 400}, {"exact": 0}, {"bucket": 10, "shard": 200, "levels": 40}):
+        got = told(**other)
+        assert [x[:4] for x in got] == [x[:4] for x in plain]
+        assert max(abs(a[4] - b[4]) / a[1] for a, b in zip(got, plain)) < 0.03
+
+
 def test_no_training_and_empty(spark):
     none = N.score(spark.createDataFrame([(1, "a b", "x", "y", "z")], SCHEMA), F.lit(False)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in none] == [(3, 0, 0, 0.0)]
