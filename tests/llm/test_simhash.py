@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import simhash as S
 from ledgerloom.llm.common import connected_components
@@ -77,6 +78,20 @@ def test_against_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_large_buckets_are_dealt_out(spark):
+    rng = random.Random(6)
+    prints = sorted({rng.getrandbits(7) | rng.getrandbits(5) << 40 for _ in range(400)})
+    rows = [(1, 0, p, i) for i, p in enumerate(prints)] + [(2, 5, p, 1000 + i) for i, p in enumerate(prints[:9])]
+    df = spark.createDataFrame(rows, "t int, key long, fp long, rep long")
+    whole = df.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(S._link_buckets(1, 10**6), S._LINKS).select("a", "b")
+    handed = df.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(S._link_buckets(1, 20), S._LINKS).cache()
+    large = handed.where("t is not null").select("t", "key", "fp", F.col("b").alias("rep"))
+    assert large.count() == len(prints)
+    both = handed.where("t is null").select("a", "b").unionByName(S._dealt(large, 1, 20))
+    told = lambda links: sorted(tuple(r) for r in connected_components(links).collect())
+    assert told(both) == told(whole) and len({c for _, c in told(whole)}) > 3
+
+
 def test_empty_table(spark):
     assert S.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
