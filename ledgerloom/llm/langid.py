@@ -43,81 +43,116 @@ def _has_letter(text: str) -> bool:
 
 @dataclass
 class Model:
-    """slot -> dictionary column, landmark presences (columns x landmarks), their norms, dual weights."""
+    """slot -> column of the landmarks' n-grams, landmark presences (columns x landmarks), their norms, dual weights.
+
+    least: the share of a text's n-grams that some landmark has, below which it is in no learned language.
+    """
 
     langs: list[str]
     column: np.ndarray
     landmarks: np.ndarray
     norms: np.ndarray
     weights: np.ndarray
+    least: float = 0.0
 
-    def presence(self, texts: list[str]) -> np.ndarray:
-        """texts x dictionary: 1 where the text has the n-gram."""
-        width = self.landmarks.shape[0]
-        out = np.zeros((len(texts) + 1, width + 1), np.uint8)
-        flat = out.reshape(-1)
-        codes, owner = _codes(texts)
-        base = np.where(owner < 0, len(texts), owner).astype(np.int64) * (width + 1)
-        for slots in _slots(codes):
-            flat[base[: len(slots)] + self.column[slots]] = 1
-        return out[:-1, :-1]
-
-    def kernel(self, presence: np.ndarray) -> np.ndarray:
-        """Normalised presence kernel with every landmark, as one matrix product."""
-        x = presence.astype(np.float32)
-        norms = np.sqrt(np.maximum(x.sum(1), 1))
-        return (x @ self.landmarks) / norms[:, None] / self.norms
-
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        raw = self.kernel(self.presence(texts)) @ self.weights
-        raw = np.exp(4 * (raw - raw.max(1, keepdims=True)))
-        share = raw / raw.sum(1, keepdims=True)
-        return [self.langs[i] for i in share.argmax(1)], share.max(1).astype(float)
+    @property
+    def block(self) -> int:
+        """Texts whose presences are held at once."""
+        return max(8, min(256, (8 << 20) // max(1, self.landmarks.shape[0])))
 
+    def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """texts x columns: 1 where the text has the n-gram; and how many distinct n-grams each text has in all.
 
-def fit(texts: list[str], langs: list[str], n_landmarks: int = 96, dictionary: int = 8192, ridge: float = 1e-2) -> Model | None:
+        A table by slot keeps the last place of each n-gram of a text, so that one place of each is counted.
+        """
+        width = self.landmarks.shape[0]
+        out, total = np.zeros((len(texts), width), np.uint8), np.zeros(len(texts))
+        codes, _ = _codes(texts)
+        orders, at = list(_slots(codes)), 0
+        last = np.empty(1 << SLOT_BITS, np.int32)
+        for i, t in enumerate(texts):
+            size = len(t.lower())
+            own = np.concatenate([x[at : at + size] for x in orders])
+            at += size + 3
+            places = np.arange(len(own), dtype=np.int32)
+            last[own] = places
+            own = own[last[own] == places]
+            total[i] = len(own)
+            columns = self.column[own]
+            out[i, columns[columns < width]] = 1
+        return out, total
+
+    def kernel(self, presence: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Normalised presence kernel with every landmark, as one matrix product."""
+        held, total = presence
+        return (held.astype(np.float32) @ self.landmarks) / np.sqrt(np.maximum(total, 1))[:, None] / self.norms
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, its share of the evidence, and the share of n-grams that some landmark has, of each text."""
+        langs, scores, known = [], [np.zeros(0)], [np.zeros(0)]
+        for k in range(0, len(texts), self.block):
+            held, total = self.presence(texts[k : k + self.block])
+            raw = self.kernel((held, total)) @ self.weights
+            raw = np.exp(4 * (raw - raw.max(1, keepdims=True)))
+            share = raw / raw.sum(1, keepdims=True)
+            langs += [self.langs[i] for i in share.argmax(1)]
+            scores.append(share.max(1).astype(float))
+            known.append(held.sum(1) / np.maximum(total, 1))
+        return langs, np.concatenate(scores), np.concatenate(known)
+
+
+def fit(texts: list[str], langs: list[str], n_landmarks: int = 96, ridge: float = 1e-2, short: int = 4000) -> Model | None:
     """Nyström features of a presence kernel, then one-versus-rest kernel ridge regression.
 
-    The dictionary is the `dictionary` n-gram slots found in most sample texts (ties: lower slot).
-    Landmarks are spread evenly over the languages, in sample order. None without two texts.
+    All n-grams of a text count; those of the landmarks are the columns of the products, as no other can be
+    shared with one. Landmarks are spread evenly over the languages, texts of up to `short` characters first, else in
+    sample order. None without texts.
     """
     names = sorted(set(langs))
     if not names:
         return None
-    found = np.zeros(1 << SLOT_BITS, np.int32)
-    for t in texts:
-        found[np.unique(np.concatenate(list(_slots(_codes([t])[0]))))] += 1
-    order = np.lexsort((np.arange(len(found)), -found))[:dictionary]
-    order = order[found[order] > 0]
-    column = np.full(1 << SLOT_BITS, len(order), np.int32)
-    column[order] = np.arange(len(order))
-    by_lang = {x: [i for i, y in enumerate(langs) if y == x] for x in names}
+    by_lang = {x: sorted((i for i, y in enumerate(langs) if y == x), key=lambda i: (len(texts[i]) > short, i)) for x in names}
     turn = sorted((k, x, i) for x in names for k, i in enumerate(by_lang[x]))
     chosen = [i for _, _, i in turn[: max(n_landmarks, len(names))]]
-    model = Model(names, column, np.zeros((len(order), 1), np.float32), np.ones(1), np.zeros((1, 1)))
-    z = model.presence([texts[i] for i in chosen]).astype(np.float32)
-    model.landmarks, model.norms = np.ascontiguousarray(z.T), np.sqrt(np.maximum(z.sum(1), 1))
-    values, vectors = np.linalg.eigh(model.kernel(z.astype(np.uint8)).astype(float))
+    slots = np.unique(np.concatenate([x[: len(texts[i].lower())] for i in chosen for x in _slots(_codes([texts[i]])[0])]))
+    column = np.full(1 << SLOT_BITS, len(slots), np.int32)
+    column[slots] = np.arange(len(slots))
+    model = Model(names, column, np.zeros((len(slots), 1), np.float32), np.ones(1), np.zeros((1, 1)))
+    z, total = model.presence([texts[i] for i in chosen])
+    model.landmarks, model.norms = np.ascontiguousarray(z.T.astype(np.float32)), np.sqrt(np.maximum(total, 1))
+    values, vectors = np.linalg.eigh(model.kernel((z, total)).astype(float))
     root = vectors * np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0) @ vectors.T
-    k = np.concatenate([model.kernel(model.presence(texts[i : i + 256])) for i in range(0, len(texts), 256)]).astype(float)
-    features = k @ root
+    k, known = [], []
+    for i in range(0, len(texts), model.block):
+        held, total = model.presence(texts[i : i + model.block])
+        k.append(model.kernel((held, total)).astype(float))
+        known.append(held.sum(1) / np.maximum(total, 1))
+    features = np.concatenate(k) @ root
     counts = np.array([len(by_lang[x]) for x in names], float)
     weight = (1 / counts)[[names.index(y) for y in langs]] * len(langs) / len(names)
     target = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     gram = features.T @ (features * weight[:, None]) + ridge * len(langs) * np.eye(features.shape[1]) / features.shape[1]
     model.weights = (root @ np.linalg.solve(gram, features.T @ (target * weight[:, None]))).astype(np.float32)
+    model.least = float(np.quantile(np.concatenate(known), 0.01)) / 2
     return model
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn, rows: int, longest: int) -> tuple[list[str], list[str]]:
-    """About `rows` labelled texts of at most `longest` characters, evenly over the languages, by a hash of the id."""
-    known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.char_length("text").between(1, longest))
-    counts = known.groupBy("lang").count().collect()
+    """About `rows` labelled texts, evenly over the languages, by a hash of id and text; never over twice as many.
+
+    Texts of up to `longest` characters, but of a language that has fewer than two such the longer ones too.
+    Rows that repeat count once.
+    """
+    known = docs.where(learn & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    known = known.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.char_length(text_col) <= longest).alias("short"))
+    counts = {r["lang"]: (r["n"], r["short"]) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("short").alias("short")).collect()}
     each = max(2, rows // max(1, len(counts)))
-    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], each / r["count"])]), F.col("lang")) if counts else F.lit(0.0)
-    spot = F.xxhash64(F.lit(5), "id").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
-    found = known.where(spot < share).select("id", "lang", "text", spot.alias("spot")).collect()
+    wide = [x for x, (_, short) in counts.items() if short < 2]
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, (n, short) in counts.items() for x in (lang, each / (n if lang in wide else short))]), F.col("lang")) if counts else F.lit(0.0)
+    spot = F.xxhash64(F.lit(5), "id", "text").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    allowed = F.col("short") | F.col("lang").isin(wide) if wide else F.col("short")
+    drawn = known.where(allowed).withColumn("spot", spot).where(F.col("spot") < share).groupBy("lang", "spot").agg(F.min(F.struct("text", "id")).alias("x"))
+    found = drawn.orderBy("spot", "lang").limit(2 * rows).select("spot", "lang", "x.*").collect()
     found = sorted((r for r in found if _has_letter(r["text"])), key=lambda r: (r["spot"], str(r["id"]), r["text"]))
     return [r["text"] for r in found], [r["lang"] for r in found]
 
@@ -128,10 +163,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, lang_pred and score (0 to 1) of each whole text, besides the columns `keep` of docs.
+    """id, lang_pred, score and known (0 to 1) of each whole text, besides the columns `keep` of docs.
 
-    A text that is null or has no letter is `und` with score 0, as is all without a model. The text
-    alone decides. Texts are read in blocks of bounded size; a row's result depends on that row only.
+    A text that is null or has no letter is `und` with score and known 0, as is all without a model. score is the
+    language's share among those learned; known, the share of the text's n-grams that some landmark has, tells
+    texts of none of them (below the model's `least`). Repeated rows, and rows without an id, count like others;
+    ties go to the first language. The text alone decides. Texts are read in blocks of bounded size; a row's result depends on that row only.
     """
 
     def run(batches):
@@ -140,23 +177,23 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 part = batch.slice(at, 256)
                 texts = pc.fill_null(part.column("_text"), "").to_pylist()
                 lettered = [i for i, t in enumerate(texts) if _has_letter(t)]
-                langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                langs, scores, known = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
                 if model is not None and lettered:
-                    names, best = model.predict([texts[i] for i in lettered])
-                    scores[lettered] = best
+                    names, scores[lettered], known[lettered] = model.predict([texts[i] for i in lettered])
                     for i, x in zip(lettered, names):
                         langs[i] = x
                 columns = [c for n, c in zip(part.schema.names, part.columns) if n != "_text"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs), pa.array(scores)], names_out)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs), pa.array(scores), pa.array(known)], names_out)
 
     lean(docs.sparkSession)
     chosen = docs.select(F.col(id_col), *[F.col(c) for c in keep if c != id_col], F.col(text_col).alias("_text"))
     fields = [f for f in chosen.schema.fields if f.name != "_text"]
-    names_out = [*(f.name for f in fields), "lang_pred", "score"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
+    names_out = [*(f.name for f in fields), "lang_pred", "score", "known"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, known double"
     return chosen.mapInArrow(run, schema)
 
 
 def op3_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all whole documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return identify(docs, train(docs)).select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs, train(docs)).select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "known")
