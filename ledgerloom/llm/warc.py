@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lean, scratch_path, slices
+from .common import FEW, cut, lean, lookup, scratch_path, slices
 
 VERSION = b"WARC/1.1"
 GZIP = b"\x1f\x8b\x08"
@@ -54,19 +54,38 @@ def member(record: bytes, level: int = 1) -> bytes:
     return out
 
 
-def _plain(data: bytes, at: int, whole: bool) -> Record:
-    """The record whose version line starts at `at`; whole: it must fill the data."""
-    head = data.find(b"\r\n\r\n", at)
+class _Ends:
+    """Where headers end: the first empty line after a place, looked for once for all places before it."""
+
+    def __init__(self, data: bytes):
+        self.data, self.since, self.end = data, 0, -2
+
+    def after(self, at: int) -> int:
+        if self.end == -2 or at < self.since or -1 < self.end < at:
+            self.since, self.end = at, self.data.find(b"\r\n\r\n", at)
+        return self.end
+
+
+def _plain(data: bytes, at: int, whole: bool, ends: _Ends) -> Record:
+    """The record whose version line starts at `at`; whole: it must fill the data.
+
+    Lines are read one by one, and a version line is a bad header line, so that of many false ones each
+    is read up to the next.
+    """
     if not data.startswith(b"WARC/1.", at):
         raise Damaged("no version line")
+    head = ends.after(at)
     if head < 0:
         raise Damaged("no end of headers")
     headers = {}
-    for line in data[at:head].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    line = data.find(b"\r\n", at) + 2
+    while line < head:
+        stop = data.find(b"\r\n", line, head + 2)
+        name, colon, value = data[line:stop].partition(b":")
         if not colon:
             raise Damaged("bad header line")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        line = stop + 2
     size = headers.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         raise Damaged("no content length")
@@ -96,15 +115,15 @@ def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
     return b"".join(out), min(pos, len(data)) - len(unpack.unused_data)
 
 
-def _one(data: bytes, at: int) -> Record | int:
+def _one(data: bytes, at: int, ends: _Ends) -> Record | int:
     """The record at `at`, or where an empty gzip member there ends."""
     if data.startswith(GZIP, at):
         inside, end = _inflate(data, at)
         if not inside:
             return end
-        found = _plain(inside, 0, True)
+        found = _plain(inside, 0, True, _Ends(inside))
         return Record(at, end, found.headers, found.block)
-    return _plain(data, at, False)
+    return _plain(data, at, False, ends)
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
@@ -113,16 +132,16 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
     Where no valid record starts (bad checksum, length, digest or headers), the bytes up to the next
     gzip member or version line that starts a valid one are a gap; the rest is read on from there.
     """
-    at = 0
+    at, ends = 0, _Ends(data)
     while at < len(data):
         try:
-            found = _one(data, at)
+            found = _one(data, at, ends)
         except Damaged as why:
             reason, start, found = str(why), at, None
             spot = NEXT.search(data, at + 1)
             while spot:
                 try:
-                    found = _one(data, spot.start())
+                    found = _one(data, spot.start(), ends)
                     break
                 except Damaged:
                     spot = NEXT.search(data, spot.start() + 1)
@@ -163,22 +182,25 @@ def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     raw = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     prints = pages.select(F.col(id_col).cast("long").alias("id"), F.sha2(raw, 256).alias("digest"), F.octet_length(raw).alias("n")).where(F.col("n") >= least)
     prints = cut(prints.select("id", "digest"))
-    first = prints.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").select("digest", "refers_to")
-    return prints.join(first, "digest").where("id <> refers_to").select("id", "digest", "refers_to").distinct()
+    first = cut(prints.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").select("digest", "refers_to"))
+    return cut(lookup(prints, first, "digest", rows=FEW >> 2).where("id <> refers_to").select("id", "digest", "refers_to").distinct())
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, per_file: int = 4096, date: str = "2024-01-01T00:00:00Z") -> None:
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, per_file: int = 8, chunk: int = 4 << 20, date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes .warc.gz files, a gzip member for each row, into the folder `path` of any file system Spark knows.
 
     Of rows with equal payloads of `least` bytes or more, those with the smallest id are responses and
     the others revisits of it; smaller payloads and rows without an id are responses. A null payload is
     empty; a null URL becomes the record's id. The text writer stores the bytes: each member ends in a
     zero byte, which is the writer's line separator, so the files hold nothing but members.
+
+    A row of the writer is a run of members that ends once it has `chunk` bytes, and a file has per_file
+    rows: its size is below per_file times the sum of chunk and the longest member.
     """
 
     def run(batches):
+        out, held = [], 0
         for batch in slices(batches):
-            out = []
             pages_, urls, htmls, refs = (batch.column(i).to_pylist() for i in range(4))
             for page, url, html, ref in zip(pages_, urls, htmls, refs):
                 body = (html or "").encode()
@@ -190,14 +212,19 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                 ]
                 if ref is not None:
                     headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn(ref))]
-                out.append(member(build(headers, http if ref is not None else http + body))[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+                out.append(member(build(headers, http if ref is not None else http + body)))
+                held += len(out[-1])
+                if held >= chunk:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)[:-1]], pa.binary())], ["member"])
+                    out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)[:-1]], pa.binary())], ["member"])
 
     lean(pages.sparkSession)
     chosen = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     again = revisits(chosen, "id", "html", least)
     digest = F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
-    known = chosen.withColumn("digest", digest).join(again, ["id", "digest"], "left").select("id", "url", "html", "refers_to")
+    known = lookup(chosen.withColumn("digest", digest), again, ["id", "digest"], "left", FEW >> 2).select("id", "url", "html", "refers_to")
     members = known.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
     members.write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
 
@@ -210,7 +237,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
 
     gap is null for records and the reason for gaps, whose other fields are null. Digest and size of
     a response are those of the payload read, of a revisit those its headers tell. An archive is one
-    task's; the writer bounds its size. payloads=True adds the payload of responses.
+    task's and one value, so it must be below 2 GiB; write() bounds its size in bytes. payloads=True adds the payload of responses.
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 

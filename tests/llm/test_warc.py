@@ -97,3 +97,26 @@ def test_headers_of_any_length():
     for archive in (record * 2, W.member(record) * 2):
         found = list(W.salvage(archive))
         assert len(found) == 2 and all(isinstance(x, W.Record) and x.headers["warc-target-uri"] == url for x in found)
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "u", os.urandom(100_000).hex()) for i in range(60)]
+    W.write(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA).coalesce(1), f"file://{tmp_path}/w", per_file=2, chunk=250_000)
+    sizes = [os.path.getsize(tmp_path / "w" / f) for f in os.listdir(tmp_path / "w") if f.endswith(".txt")]
+    assert len(sizes) > 8 and max(sizes) < 2 * (250_000 + 110_000)
+    assert sorted(r.page_id for r in W.read(spark, f"file://{tmp_path}/w").collect()) == list(range(60))
+
+
+def test_many_false_version_lines_take_linear_time():
+    import time
+
+    good = archive(False)[0]
+    took = []
+    for n in (20_000, 80_000):
+        data = b"WARC/1.1\r\nA: b\r\n" * n + good
+        began = time.perf_counter()
+        assert ids(W.salvage(data)) == [0]
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 0.5
+    began = time.perf_counter()
+    assert ids(W.salvage(b"WARC/1.1\r\n" * 500_000)) == [] and time.perf_counter() - began < 30
