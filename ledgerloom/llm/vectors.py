@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import connected_components, cut
 
@@ -18,44 +19,65 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes.astype(np.int8), scale, missed
 
 
-def tile_links(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) with cosine of x[i], y[j] at least threshold, in double precision.
+class Tile:
+    """Vectors with their int8 codes, scales, error lengths and norms; single rows are computed in double precision."""
+
+    def __init__(self, x: np.ndarray, step: int = 1024):
+        self.x, self.step = x, step
+        self.norm, self.scale, self.missed = (np.empty(len(x)) for _ in range(3))
+        self.codes = np.empty(x.shape, np.int8)
+        for k in range(0, len(x), step):
+            part = x[k : k + step].astype(np.float64)
+            norm = self.norm[k : k + step] = np.sqrt((part * part).sum(1))
+            self.codes[k : k + step], self.scale[k : k + step], self.missed[k : k + step] = quantise(part / norm[:, None])
+
+
+def block_links(a: Tile, b: Tile, at: int, to: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) with cosine of a.x[i], b.x[j] at least threshold, in double precision, of the blocks of `step` rows at `at` and `to`.
 
     With x = x' + e and y = y' + f, |x.y - x'.y'| <= |e| + (1 + |e|) |f|. The product of the codes is
     exact in single precision (up to 1040 dimensions a slice). Only pairs whose bound reaches the
     threshold are computed in full.
     """
-    nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
-    (qx, sx, ex), (qy, sy, ey) = quantise(x / nx[:, None]), quantise(y / ny[:, None])
-    product = np.zeros((len(x), len(y)))
-    for d in range(0, x.shape[1], 1024):
+    p, q = slice(at, at + a.step), slice(to, to + b.step)
+    qx, qy = a.codes[p], b.codes[q]
+    product = np.zeros((len(qx), len(qy)))
+    for d in range(0, qx.shape[1], 1024):
         product += qx[:, d : d + 1024].astype(np.float32) @ qy[:, d : d + 1024].astype(np.float32).T
-    product *= sx[:, None]
-    product *= sy[None, :]
-    product += ex[:, None] + (1 + ex)[:, None] * ey[None, :]
+    product *= a.scale[p][:, None]
+    product *= b.scale[q][None, :]
+    product += a.missed[p][:, None] + (1 + a.missed[p])[:, None] * b.missed[q][None, :]
     i, j = np.nonzero(product >= threshold - 1e-9)
-    sure = [np.einsum("ij,ij->i", x[i[k : k + 32768]], y[j[k : k + 32768]]) / (nx[i[k : k + 32768]] * ny[j[k : k + 32768]]) >= threshold for k in range(0, len(i), 32768)]
-    keep = np.concatenate(sure) if sure else np.zeros(0, bool)
+    i, j = i + at, j + to
+    kept = [np.zeros(0, bool)]
+    for k in range(0, len(i), 32768):
+        x, y = i[k : k + 32768], j[k : k + 32768]
+        kept.append(np.einsum("ij,ij->i", a.x[x].astype(np.float64), b.x[y].astype(np.float64)) / (a.norm[x] * b.norm[y]) >= threshold)
+    keep = np.concatenate(kept)
     return i[keep], j[keep]
 
 
-def _smallest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest place reachable from each of n places over links i-j."""
-    low = np.arange(n)
+def tile_links(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of all rows with cosine of x[i], y[j] at least threshold."""
+    a, b = Tile(x), Tile(y)
+    found = [block_links(a, b, at, to, threshold) for at in range(0, len(x), a.step) for to in range(0, len(y), b.step)]
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+
+
+def _smallest(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest place reachable from each place, given those known so far and more links i-j."""
     while True:
         after = low.copy()
-        np.minimum.at(after, i, low[j])
-        np.minimum.at(after, j, low[i])
+        x, y = low[i], low[j]
+        least = np.minimum(x, y)
+        np.minimum.at(after, x, least)
+        np.minimum.at(after, y, least)
         after = after[after]
         if (after == low).all():
             return low
         low = after
 
 
-def _vectors(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
-
-
 def _pack(table: pa.Table) -> pa.Table:
     order = np.argsort(table.column("rep").to_numpy())
     table = table.take(order)
@@ -67,36 +89,45 @@ def _pack(table: pa.Table) -> pa.Table:
 _BLOCK = pa.schema([("label", pa.string()), ("dims", pa.int32()), ("t", pa.int32()), ("tiles", pa.int32()), ("hs", pa.list_(pa.string())), ("reps", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("block", pa.binary())])
 
 
-def _tile_pair(threshold: float):
+def _tile_pair(threshold: float, kind: type):
+    """Over the one or two tiles of a pair: counts of links and spanning links. Pairs are looked at block by block."""
+
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["t"])
-        dims = rows[0]["dims"]
-        blocks = [np.frombuffer(r["block"], np.float64).reshape(-1, dims) for r in rows]
-        reps = [np.array(r["reps"], np.int64) for r in rows]
-        copies = [np.array(r["copies"], np.int64) for r in rows]
-        if rows[0]["p"] == rows[0]["q"]:
-            i, j = tile_links(blocks[0], blocks[0], threshold)
-            i, j = i[(apart := i != j)], j[apart]
-            ids, n = reps[0], np.bincount(i, copies[0][j], len(reps[0]))
-        elif len(rows) == 2:
-            i, j = tile_links(blocks[0], blocks[1], threshold)
-            ids = np.concatenate(reps)
-            n = np.concatenate((np.bincount(i, copies[1][j], len(reps[0])), np.bincount(j, copies[0][i], len(reps[1]))))
-            j = j + len(reps[0])
-        else:
-            ids, n, i, j = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, int), np.zeros(0, int)
-        low = _smallest(len(ids), i, j)
-        linked = n > 0
-        hs = np.array([h for r in rows for h in r["hs"]] if len(ids) else [], object)
-        size = int(linked.sum())
+        dims, same = rows[0]["dims"], rows[0]["p"] == rows[0]["q"]
+        if not same and len(rows) < 2:
+            rows = []
+        tiles = [Tile(np.frombuffer(r["block"], kind).reshape(-1, dims)) for r in rows]
+        ids = np.array([i for r in rows for i in r["reps"]], np.int64)
+        copies = np.array([i for r in rows for i in r["copies"]], np.int64)
+        n, low = np.zeros(len(ids)), np.arange(len(ids))
+        if rows:
+            a, b, step = tiles[0], tiles[-1], tiles[0].step
+            base = 0 if same else len(a.x)
+            for at in range(0, len(a.x), step):
+                for to in range(at if same else 0, len(b.x), step):
+                    i, j = block_links(a, b, at, to, threshold)
+                    j = j + base
+                    if same:
+                        i, j = i[(once := i < j)], j[once]
+                    if len(i):
+                        n += np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+                        low = _smallest(low, i, j)
+        on = n > 0
+        hs = np.array([h for r in rows for h in r["hs"]], object)
+        size = int(on.sum())
         return pa.table({
-            "label": pa.array([rows[0]["label"]] * size, pa.string()), "dims": pa.array([dims] * size, pa.int32()), "h": pa.array(hs[linked].tolist(), pa.string()),
-            "rep": ids[linked], "n": n[linked].astype(np.int64), "root": ids[low][linked],
+            "label": pa.array([table.column("label")[0].as_py()] * size, pa.string()), "dims": pa.array([dims] * size, pa.int32()), "h": pa.array(hs[on].tolist() if size else [], pa.string()),
+            "rep": ids[on], "n": n[on].astype(np.int64), "root": ids[low][on],
         })
 
     return run
 
 
+#: Tiles of a label, as long as such a tile has not over TILE_BYTES of vectors.
+TILES, TILE_BYTES = 8, 64 << 20
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, tile: int = 1024) -> DataFrame:
     """One row per vector: id, n_links, component_id and kept (id = component_id).
 
@@ -105,21 +136,24 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     components link with nothing: n_links 0, own component (null without an id, then not kept).
 
     Equal vectors of a label become one row with a count before any product, so a vector that a
-    third of all rows repeat is one column of a tile. Each label is split by hash into tiles of
-    about `tile` vectors; every pair of tiles is a task of its own, and returns counts and spanning
-    links only. The work is quadratic in the distinct vectors of a label, as the method has it, but
-    its memory is that of two tiles.
+    third of all rows repeat is one column of a tile. Each label is split by hash into tiles of `tile`
+    vectors or more: TILES of them, more only where those would exceed TILE_BYTES. Every pair of tiles is a unit of work
+    of its own, looked at in blocks, and returns counts and spanning links only. So the work is quadratic in the
+    distinct vectors of a label, as the method has it, but a vector travels TILES times at most until a label has
+    TILES tiles of TILE_BYTES, and memory is that of two tiles. Vectors of floats travel as floats.
     """
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("e"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.coalesce(F.forall("e", finite) & F.exists("e", lambda x: x != 0) & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False))
 
+    kind = np.float32 if isinstance(vectors.schema[vector_col].dataType, ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, FloatType) else np.float64
+
     def pack(batches):
         for batch in batches:
             e = batch.column(2)
             sizes = e.value_lengths().to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
-            flat = e.flatten().to_numpy()
+            flat = e.flatten().to_numpy().astype(kind)
             raw = [flat[b - n : b].tobytes() for n, b in zip(sizes.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary())], ["id", "label", "dims", "v"])
 
@@ -127,13 +161,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = cut(rows)
     distinct = rows.groupBy("label", "dims", "h").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
     distinct = cut(distinct)
-    counts = distinct.groupBy("label", "dims").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    size = np.dtype(kind).itemsize
+    tiles = F.greatest(F.least(F.lit(TILES), F.ceil(F.count("*") / tile)), F.ceil(F.count("*") * F.col("dims") * size / TILE_BYTES)).cast("int")
+    counts = distinct.groupBy("label", "dims").agg(tiles.alias("tiles"))
     tiled = distinct.join(counts, ["label", "dims"]).withColumn("t", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
     schema = "label string, dims int, t int, tiles int, hs array<string>, reps array<long>, copies array<long>, block binary"
     blocks = cut(tiled.select("label", "dims", "t", "tiles", "h", "rep", "copies", "v").groupBy("label", "dims", "t").applyInArrow(_pack, schema))
     pairs = blocks.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     pairs = pairs.select("*", F.least("t", "u").alias("p"), F.greatest("t", "u").alias("q")).drop("u", "tiles")
-    links = cut(pairs.groupBy("label", "dims", "p", "q").applyInArrow(_tile_pair(threshold), "label string, dims int, h string, rep long, n long, root long"))
+    links = cut(pairs.groupBy("label", "dims", "p", "q").applyInArrow(_tile_pair(threshold, kind), "label string, dims int, h string, rep long, n long, root long"))
     totals = links.groupBy("label", "dims", "h").agg(F.sum("n").alias("n"))
     roots = connected_components(links, "rep", "root")
     found = distinct.join(totals, ["label", "dims", "h"], "left").join(roots, F.col("rep") == F.col("node"), "left")
@@ -144,6 +180,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 
 def op10_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
