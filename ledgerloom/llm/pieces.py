@@ -17,6 +17,18 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 
 
+def log_scores(told: np.ndarray) -> np.ndarray:
+    """Log probabilities of normal pieces, in the order of their file.
+
+    A unigram file has them. A BPE file has merge ranks instead, whole numbers, which no path may add up; there
+    the pieces stand by falling frequency, and the n-th gets Zipf's share 1 / n of all.
+    """
+    if not len(told) or (told != np.rint(told)).any():
+        return told
+    ranks = np.arange(1, len(told) + 1)
+    return -np.log(ranks) - np.log((1 / ranks).sum())
+
+
 def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """base, check and value of a double-array trie; value is the key's place or -1.
 
@@ -103,13 +115,18 @@ class Vocabulary:
         return cls(raw, found, bytes_at, np.array(normal, np.int32), double_array([raw[i] for i in normal]), float(found.min(initial=0)) - 10, not any("\n" in pieces[i] for i in normal))
 
     @classmethod
-    def load(cls, path: str = MODEL_PATH) -> Vocabulary:
+    def load(cls, path: str = MODEL_PATH, ranks: bool = True) -> Vocabulary:
+        """The pieces of a model file with their log scores; ranks=False keeps the scores of a BPE file as they are."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         kind = lambda i: "byte" if sp.is_byte(i) else "other" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else "normal"
         n = range(sp.get_piece_size())
-        return cls.of([sp.id_to_piece(i) for i in n], [sp.get_score(i) for i in n], [kind(i) for i in n])
+        kinds, scores = [kind(i) for i in n], np.array([sp.get_score(i) for i in n], float)
+        normal = np.flatnonzero(np.array(kinds) == "normal")
+        if ranks:
+            scores[normal] = log_scores(scores[normal])
+        return cls.of([sp.id_to_piece(i) for i in n], scores.tolist(), kinds)
 
     def units(self, text: str) -> list[str]:
         """Parts that no piece crosses: runs of marks with the word after them, and newlines."""
@@ -256,4 +273,5 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", id
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all whole documents, decoded again; null texts, repeated rows and null ids as encode() has them."""
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), Vocabulary.load())

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm import pieces as P
@@ -106,7 +107,7 @@ def test_no_path_of_the_library_scores_higher_on_the_same_pieces():
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(open(P.MODEL_PATH, "rb").read()))
-    vocabulary = P.Vocabulary.load()
+    vocabulary = P.Vocabulary.load(ranks=False)
     total = lambda ids: sum(map(sp.get_score, ids))
     same = 0
     texts = ["the sting of entions", "Hello world and others", "einlich der schen", "abc", "tion the the.", "Anblewh sttible athawh thonre was"]
@@ -117,6 +118,26 @@ def test_no_path_of_the_library_scores_higher_on_the_same_pieces():
     assert same
 
 
+def test_paths_are_the_librarys_under_log_scores():
+    import sentencepiece
+
+    pb2 = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    vocabulary = P.Vocabulary.load()
+    assert abs(np.exp(vocabulary.scores).sum() - 1) < 1e-9 and (np.diff(vocabulary.scores) < 0).all()
+    proto = pb2.ModelProto.FromString(open(P.MODEL_PATH, "rb").read())
+    proto.trainer_spec.model_type = 1
+    for i, score in zip(vocabulary.ids.tolist(), vocabulary.scores.tolist()):
+        proto.pieces[i].score = score
+    sp = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    total = lambda ids: sum(map(sp.get_score, ids))
+    texts = ["the sting of entions", "Hello world and others", "einlich der schen", "abc", "tion the the.", "Anblewh sttible athawh thonre was", "international understanding"]
+    for t in texts:
+        ours, theirs = vocabulary.encode(t), sp.encode(t)
+        assert total(ours) == pytest.approx(total(theirs), rel=1e-5) and sp.decode(ours) == t
+    plain = P.Vocabulary.load(ranks=False)
+    assert sum(len(vocabulary.encode(t)) for t in texts) < sum(len(plain.encode(t)) for t in texts)
+
+
 def test_rows(spark):
     texts = [None, "", " ", "  a  b\n", "▁x", "word " * 5000, "\x00퟿", "é" * 3000]
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA)
