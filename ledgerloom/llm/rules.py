@@ -49,8 +49,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n_words, word_chars (code points in words), n_symbols (of #*$%&|<>), n_lines (with a word),
     n_dup_lines (equal to an earlier line), n_bullets, n_ellipses (lines that begin with a bullet,
     end with an ellipsis), n_repeat_words (words in three-word windows found twice or more).
-    Windows are compared by a 64-bit hash of their three words within one text. All is done inside
-    the row: no shuffle, and no array beyond one text's words.
+    Windows are equal if their three words are; hashes only tell which texts have repeated ones. All is
+    done inside the row: no shuffle, no array beyond one text's words, and rows that repeat, or share or lack
+    an id, are measured like others. Other columns of docs are ignored, whatever their names.
     """
     df = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     df = df.select(id_col, "t", _present(F.split("t", _SPLIT)).alias("words"), F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"))
@@ -71,8 +72,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     known = [c for c in df.columns if c not in ("words", "hashes")]
     # Only texts with a repeated window sort their windows.
-    df = df.select(*known, F.when(F.size("hashes") > F.size(F.array_distinct("hashes")), F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("runs"))
-    twice = F.filter("runs", lambda x, i: (F.get("runs", i - 1)["h"] == x["h"]) | (F.get("runs", i + 1)["h"] == x["h"]))
+    window = lambda h, i: F.struct(*[F.get("words", i + k).alias(f"w{k}") for k in range(3)], i.alias("i"))
+    df = df.select(*known, F.when(F.size("hashes") > F.size(F.array_distinct("hashes")), F.sort_array(F.transform("hashes", window))).alias("runs"))
+    same = lambda x, y: (x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"])
+    twice = F.filter("runs", lambda x, i: F.coalesce(same(F.get("runs", i - 1), x), F.lit(False)) | F.coalesce(same(F.get("runs", i + 1), x), F.lit(False)))
     df = df.select(*known, F.sort_array(F.transform(twice, lambda x: x["i"])).alias("at"))
     return df.select(*known, F.when(F.col("at").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("at"))).alias("n_repeat_words"))
 
@@ -122,6 +125,7 @@ def ablations(ledgered: DataFrame, policy: Policy) -> DataFrame:
 
 
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failure bits and verdicts of all whole documents."""
     found = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
