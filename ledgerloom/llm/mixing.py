@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean
+from .common import SPACE, cut, lean
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -15,14 +13,8 @@ WEIGHTS = (5, 2, 1)
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(id, source, size): words of each whole text; a null text has none."""
-
-    def run(batches):
-        for batch in batches:
-            n = pc.fill_null(pc.count_substring_regex(batch.column(2).cast(pa.binary()), "[^\\x20\\x09-\\x0D]+"), 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n.cast(pa.int64())], ["id", "source", "size"])
-
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "id long, source string, size long")
+    n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), n.alias("size"))
 
 
 def water_fill(sources: DataFrame, share: float, cap: float) -> DataFrame:
@@ -116,4 +108,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op7_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mixture takes each document; nulls, ties and repeated rows as mix() has them."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
