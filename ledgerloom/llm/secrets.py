@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -218,6 +219,7 @@ def scan(texts: list[str], automata: dict[str, tuple], least: float) -> list[tup
     or more and that no base span covers."""
     kinds = (*BASE_KINDS, *automata)
     base = [base_spans(t) for t in texts]
+    reach = [np.maximum.accumulate([b for _, _, b in spans]) if spans else None for spans in base]  # sorted by start: how far those up to here go
     more: list[list] = [[] for _ in texts]
     known: dict[str, list] = {}
     for i, t in enumerate(texts):
@@ -226,7 +228,8 @@ def scan(texts: list[str], automata: dict[str, tuple], least: float) -> list[tup
                 known[m.group()] = matches(m.group(), automata, least)
             for a, k, b in known[m.group()]:
                 a, b = a + m.start(), b + m.start()
-                if not any(x <= a and b <= y for x, _, y in base[i]):
+                before = bisect.bisect_right(base[i], a, key=lambda x: x[0])
+                if not before or reach[i][before - 1] < b:
                     more[i].append((a, len(BASE_KINDS) + k, b))
     show = lambda spans: [(kinds[k], a, b) for a, k, b in spans]
     return [(show(b), show(sorted(b + m))) for b, m in zip(base, more)]
@@ -279,4 +282,5 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all whole documents. Repeated rows and rows without an id are scanned like others."""
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
