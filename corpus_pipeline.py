@@ -14,15 +14,13 @@ from ledgerloom.llm.similar import similar
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: A text goes if its best language has a lower share than this; `und` has 0.
-LEAST_SHARE = 0.25
-
-
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: no letter (null and empty texts too), or no
-    language clearly best. A missing lang is filled with the one found."""
-    found = langid.identify(docs, langid.train(docs), keep=COLUMNS)
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    """Drops documents whose language can't be told: no letter (null and empty texts too), or so few n-grams
+    that any landmark has that the text is in no learned language. A missing lang is filled with the one found.
+    Repeated rows and rows without an id stay."""
+    model = langid.train(docs)
+    found = langid.identify(docs, model, keep=COLUMNS)
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("known") >= (model.least if model else 0.0)))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
@@ -50,7 +48,7 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret found by a mark; no document goes."""
+    """Replaces every secret found by a mark; no document goes, and null texts and repeated rows stay as they are."""
     found = secrets.find_secrets(docs, redacted=True, keep=("lang", "source"))
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.char_length("redacted").cast("long").alias("n_chars"))
 
@@ -63,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document of the mixture."""
+    """Piece ids of every row of the mixture, repeated ones too; a null text has null ids."""
     return pieces.encode(docs, pieces.Vocabulary.load())
 
 
