@@ -53,6 +53,14 @@ def test_stages_one_by_one(spark):
     assert len(last) == mixed.count() and all(vocabulary.decode(r.token_ids) == text[r.doc_id] for r in last)
 
 
+def test_a_text_of_no_learned_language_goes(spark):
+    rng = random.Random(3)
+    odd = " ".join("".join(chr(rng.randrange(0x0410, 0x0450)) for _ in range(6)) for _ in range(40))
+    docs = spark.createDataFrame([*rows(), (900, odd, None, "a", len(odd), "x"), (900, odd, None, "a", len(odd), "x")], SCHEMA)
+    kept = [r.doc_id for r in C.keep_identified(spark, docs, "").collect()]
+    assert 900 not in kept and len(kept) == len(rows()) - 3
+
+
 @pytest.mark.parametrize("many", [True, False])
 def test_run(spark, tmp_path, many):
     at = tmp_path / "sf"
