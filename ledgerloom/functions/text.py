@@ -56,3 +56,14 @@ def plain_console(text: Column) -> Column:
 def finite(x: Column) -> Column:
     """True for a number that is neither null, NaN nor infinite."""
     return F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
+
+
+def merged(first: Column, second: Column) -> Column:
+    """A map of both maps' keys; where both have one, the second's value."""
+    return F.map_concat(F.map_filter(first, lambda k, _: ~F.array_contains(F.map_keys(second), k)), second)
+
+
+def tail_bytes(text: Column, n: int = 8192) -> Column:
+    """The last n bytes of a text, as text; a character cut at the front becomes its replacement."""
+    raw = text.cast("binary")
+    return F.make_valid_utf8(F.substring(raw, F.greatest(F.octet_length(raw) - n, F.lit(0)) + 1, F.lit(n)).cast("string"))

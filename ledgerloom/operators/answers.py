@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rules import Rule
+
 
 def response_status(*, late: Column, stopped: Column, prompt_agrees: Column, count_agrees: Column, forced: Column, at_limit: Column, at_end: Column) -> Column:
     """Status of a captured response; the first reason that holds decides."""
@@ -79,3 +83,42 @@ def roles_hold(said: Column) -> Column:
     """True for just the roles system, user, assistant, none of them empty."""
     roles = F.transform(said, lambda m: m["role"])
     return (roles == F.array(*map(F.lit, ("system", "user", "assistant")))) & F.forall(said, lambda m: F.length(m["content"]) > 0)
+
+
+def input_rules(text: Column, reserved: tuple[str, ...], begin: str, end: str, limit: int = 1 << 20) -> list[Rule]:
+    """What a model's input may not be: too large, holding reserved marks, or without just one target in its marks."""
+    count = lambda mark: F.floor((F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark))
+    return [
+        Rule("size", F.octet_length(text) > limit, "the input is too large"),
+        Rule("reserved", reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in reserved]), "a reserved mark in the input"),
+        Rule("begin", count(begin) != 1, "not just one begin mark"),
+        Rule("end", count(end) != 1, "not just one end mark"),
+        Rule("order", (F.instr(text, begin) > F.instr(text, end)) & (F.instr(text, end) > 0), "the target ends before it begins"),
+    ]
+
+
+def limit_rules(prompt: Column, answer: Column, *, context: int, prompts: int, answers: int) -> list[Rule]:
+    """Limits of token arrays, which are never cut."""
+    return [
+        Rule("prompt", F.size(prompt) > prompts, "the prompt is too long"),
+        Rule("answer", F.size(answer) > answers, "the answer is too long"),
+        Rule("context", F.size(prompt) + F.size(answer) > context, "prompt and answer are too long together"),
+        Rule("empty", F.size(answer) < 1, "no answer"),
+    ]
+
+
+def trained(prompt: Column, answer: Column, eos: int, limit: int) -> dict[str, Column]:
+    """sequence() of an answer cut after its single end token, with the lengths; null where there is no such token."""
+    cut = after_single_end(answer, eos)
+    parts = sequence(prompt, cut, F.lit(limit))
+    return parts | {"prompt_length": F.when(parts["input_ids"].isNotNull(), F.size(prompt)), "answer_length": F.when(parts["input_ids"].isNotNull(), F.size(cut))}
+
+
+def request_body(said: Column, maximum: int) -> Column:
+    """The JSON of a generation request: greedy, streamed, no reuse of earlier prompts."""
+    return F.to_json(F.struct(said.alias("messages"), F.lit(maximum).alias("max_tokens"), F.lit(0).alias("temperature"), F.lit(True).alias("stream"), F.lit(False).alias("cache_prompt")))
+
+
+def failures(status: Column) -> Column:
+    """How many answers of a group did not end by themselves or at their limit."""
+    return F.count_if(~F.coalesce(status.isin("COMPLETE", "LENGTH_STOP"), F.lit(False)))

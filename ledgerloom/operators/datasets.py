@@ -9,9 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import digest, encode, parsed
-from ..functions.text import collapse
-from .answers import roles_hold
-from .labels import AVAILABILITY, CONTRACT, label_problems
+from ..functions.text import casefold, collapse, json_quoted
+from ..sources.files import registrant
+from . import holdout, runs
+from . import packets as packets_of
+from .answers import messages, roles_hold
+from .joins import supported
+from .labels import AVAILABILITY, CONTRACT, label_problems, quotations
+from .rules import duplicates, require_empty, violations
 
 FAMILY = "^family-[a-z0-9]+(-[a-z0-9]+)*$"
 MESSAGES = "struct<messages:array<struct<role:string,content:string>>>"
@@ -154,8 +159,8 @@ def imported(inventory: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def name_clashes(files: DataFrame, path: str = "path") -> DataFrame:
-    """Names that differ in case alone within a folder."""
-    return files.groupBy(F.lower(path).alias("folded")).agg(F.count_distinct(path).alias("names")).where("names > 1")
+    """Names that differ in case alone, under full case folding."""
+    return files.groupBy(casefold(path).alias("folded")).agg(F.count_distinct(path).alias("names")).where("names > 1")
 
 
 def accepted(approvals: DataFrame, packets: DataFrame) -> DataFrame:
@@ -184,3 +189,113 @@ def packet_binding(manifest: dict, source_view: str, model_input: str) -> dict:
 def answer_binding(identity: str, case: dict, answer: dict) -> str:
     """Hash that ties a decision to an exact answer."""
     return digest({"identity": identity, "case": case, "answer": answer}, "binding")
+
+
+def packet_bindings(packets: DataFrame) -> DataFrame:
+    """packet_binding() of packets (packet_id, manifest JSON, source_view, model_input), as columns."""
+    sha = lambda c: F.sha2(c, 256)
+    return packets.select("packet_id", F.lit("review-binding-v1").alias("binding_version"), parsed(F.col("manifest"), "target")["sha256"].alias("manifest_sha256"), sha("source_view").alias("review_view_sha256"), sha("model_input").alias("model_input_sha256"))
+
+
+def answer_bindings(answers: DataFrame, identity: str) -> DataFrame:
+    """(id, answer_binding) of answers (id, case_json, answer_json), as answer_binding() has it."""
+    told = F.concat(F.lit('{"identity":'), json_quoted(F.lit(identity)), F.lit(',"case":'), F.col("case_json"), F.lit(',"answer":'), F.col("answer_json"), F.lit("}"))
+    return answers.select("id", parsed(told, "binding")["sha256"].alias("answer_binding"))
+
+
+def candidate_ciks(selections: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Selections (packet_id, source_path, source_url, cik) with `ciks`, every registrant that they or the
+    inventory's locations (path, locations array of (cik, sec_url)) tie to their path, and whether an own one differs from its URL."""
+    key, differ = registrant(F.col("cik"), F.col("source_url"))
+    at = inventory.select(F.col("path").alias("source_path"), F.explode("locations").alias("l"))
+    other, _ = registrant(F.col("l.cik"), F.col("l.sec_url"))
+    known = at.select("source_path", other.alias("k")).where("k is not null").groupBy("source_path").agg(F.collect_set("k").alias("known"))
+    both = selections.withColumn("_own", key).withColumn("cik_differs", differ).join(known, "source_path", "left")
+    own = F.when(F.col("_own").isNull(), F.array().cast("array<string>")).otherwise(F.array("_own"))
+    return both.withColumn("ciks", F.array_sort(F.array_union(own, F.coalesce("known", F.array().cast("array<string>"))))).drop("_own", "known")
+
+
+#: Columns of a packet that its selection does not have.
+DERIVED = ("blocks", "packet_version", "view_version", "target_id")
+
+
+def recovered(packets: DataFrame) -> DataFrame:
+    """The selections that packets were made from."""
+    return packets.drop(*DERIVED)
+
+
+def session_requests(cases: DataFrame) -> DataFrame:
+    """What a worker may see of cases: no reference, no cells."""
+    return cases.select("id", "messages")
+
+
+def complete_imports(files: DataFrame) -> DataFrame:
+    """(path, rule): files of an import that are not whole, are stored outside their partition, or clash by name.
+
+    files: path, complete, split, folder (of the split).
+    """
+    clash = name_clashes(files).select("folded", F.lit(True).alias("clash"))
+    both = files.withColumn("folded", casefold("path")).join(clash, "folded", "left")
+    return _rules(both, "path", {"not_complete": ~F.coalesce("complete", F.lit(False)), "other_partition": ~F.startswith("path", "folder"), "name_clash": F.col("clash")})
+
+
+def prepared(selections: DataFrame, sources: DataFrame, assignments: DataFrame, ledger: DataFrame, contexts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Packets of selections, and what forbids them: (packet_id, rule).
+
+    The chain of a review's preparation: rules of selections, assignments and protected sources, then
+    (packet_id, target_id, model_input). Ordinary preparation takes no test selections.
+    """
+    whole = packets_of.with_source(selections, sources)
+    told = violations(whole, "packet_id", packets_of.selection_rules()).select(F.col("entity_id").alias("packet_id"), F.col("rule_id").alias("rule"))
+    test = selections.where("split = 'test'").select("packet_id", F.lit("protected_split").alias("rule"))
+    twice = duplicates(selections, "packet_id").select("packet_id", F.lit("packet_twice").alias("rule"))
+    tied = holdout.protected_selections(selections, ledger).select("packet_id", F.lit("protected_source").alias("rule"))
+    wrong = told.unionByName(test).unionByName(twice).unionByName(tied).unionByName(holdout.selection_problems(selections, assignments))
+    found = packets_of.packet_blocks(whole)
+    told_contexts = None if contexts is None else packets_of.context_blocks(contexts, selections.select("packet_id", F.col("accession").alias("own_accession")))
+    if told_contexts is not None:
+        wrong = wrong.unionByName(told_contexts[1].select("packet_id", F.lit("context_refused").alias("rule")))
+    inputs = packets_of.model_inputs(found, None if told_contexts is None else told_contexts[0])
+    ids = selections.select("packet_id", packets_of.target_ids().alias("target_id"))
+    return ids.join(inputs, "packet_id"), wrong.distinct()
+
+
+def publish_packets(packets: DataFrame, prompt: str, path: str, problems: DataFrame, manifest: dict | None = None) -> dict:
+    """Writes a packet set (packet_id, target_id, model_input), its prompt and its bindings into a new folder, if no
+    rule is broken. The manifest, with the hashes of both, is written last and returned."""
+    from ..sources.sinks import publish_once
+
+    require_empty(problems)
+    return publish_once(packets, path, {"system-prompt.txt": prompt}, manifest or {"schema": "packet-set-v1"}, ["packet_id", "target_id", "model_input"])
+
+
+def accepted_rows(packets: DataFrame, review: DataFrame, approvals: DataFrame, prompt: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of an accepted dataset, and what forbids them: (id, rule).
+
+    packets: packet_id, split, model_input, cells array, rebuilt_binding; review: packet_id, reviewed,
+    input_binding, label (JSON); approvals as acceptance_problems() takes them. Rows: packet_id, split, position,
+    row (JSON of three messages), row_sha256; positions follow the approval's order in each split.
+    """
+    both = packets.join(review, "packet_id", "left")
+    gate = runs.acceptance_problems(approvals, both).select(F.col("approval_id").cast("string").alias("id"), "rule")
+    chosen = approvals.select(F.explode("packet_ids").alias("packet_id")).distinct()
+    named = both.join(chosen, "packet_id", "left_semi")
+    label = named.select(F.col("packet_id").alias("id"), F.explode(label_problems(F.col("label"))).alias("p")).select("id", F.concat(F.lit("label_"), F.col("p.rule")).alias("rule"))
+    quotes = quotations(named, "packet_id", "label").join(named.select("packet_id", "cells"), "packet_id")
+    loose = quotes.where(~F.coalesce(supported(F.col("quote"), F.col("cells")), F.lit(False))).select(F.col("packet_id").alias("id"), F.lit("unsupported_quotation").alias("rule"))
+    placed = accepted(approvals, named)
+    said = messages(F.lit(prompt), F.col("model_input"), F.col("label"))
+    row = parsed(F.to_json(F.struct(said.alias("messages"))), "row")
+    rows = placed.select("packet_id", "split", "position", row.alias("r")).select("packet_id", "split", "position", F.col("r.canonical").alias("row"), F.col("r.sha256").alias("row_sha256"))
+    return rows, gate.unionByName(label).unionByName(loose).distinct()
+
+
+def publish_test(rows: DataFrame, path: str, problems: DataFrame, evidence: dict[str, str]) -> dict:
+    """Publishes an accepted test dataset with the review, approval and preparation texts it rests on, each with its hash."""
+    import hashlib
+
+    from ..sources.sinks import publish
+
+    require_empty(problems)
+    held = {k: {"content": v, "sha256": hashlib.sha256(v.encode()).hexdigest()} for k, v in sorted(evidence.items())}
+    return publish(rows, path, more={"schema": "test-dataset-v1", "acceptance": held})

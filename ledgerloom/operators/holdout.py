@@ -82,10 +82,12 @@ def dropped_reservations(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def year_mismatch(selections: DataFrame, expected: list[int]) -> DataFrame:
-    """One row (found, expected) if the multiset of filing years differs from the expected one."""
-    years = selections.agg(F.sort_array(F.collect_list(F.year(F.try_to_date("filing_date", "yyyy-MM-dd")))).alias("found"))
-    want = F.array(*map(F.lit, sorted(expected))) if expected else F.array().cast("array<int>")
-    return years.select("found", want.alias("expected")).where(~F.col("found").eqNullSafe(F.col("expected")))
+    """(year, found, expected) for every year whose number of filings is not the expected one. Null: no such date."""
+    counts = selections.groupBy(F.year(F.try_to_date("filing_date", "yyyy-MM-dd")).alias("year")).agg(F.count("*").alias("found"))
+    want = selections.sparkSession.createDataFrame([(y, expected.count(y)) for y in sorted(set(expected))], "year int, expected long")
+    both = counts.join(want, counts.year.eqNullSafe(want.year), "full_outer")
+    rows = both.select(F.coalesce(counts.year, want.year).alias("year"), F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("expected", F.lit(0)).alias("expected"))
+    return rows.where("found <> expected")
 
 
 def evidence_problems(evidence: DataFrame) -> DataFrame:

@@ -54,17 +54,22 @@ def supported(quote: Column, cells: Column) -> Column:
     return (F.length(quote) > 0) & F.exists(cells, lambda c: F.contains(c, quote))
 
 
-def quotations_in(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, quote: str, words: int = 3, held: int = 8 << 20) -> DataFrame:
+def quotations_in(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, quote: str, held: int = 8 << 20) -> DataFrame:
     """(doc, item) where the document holds the whole quotation, compared exactly.
 
-    Quotations of up to `held` bytes in all go to every task as one Aho-Corasick automaton, which reads
-    each text once. Beyond that, texts and quotations are joined on runs of words and then compared.
+    A task holds one Aho-Corasick automaton of about `held` bytes of quotations and reads each text once.
+    More quotations are dealt by hash into as many passes over the texts as that takes; the driver holds
+    the quotations of all passes, so they may not exceed its memory. Texts are never shuffled.
     """
     quotes = items.select(F.col(item_id).cast("long").alias("i"), F.col(quote).alias("q")).where(F.length("q") > 0)
     docs = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("t is not null")
-    size = quotes.agg(F.sum(F.octet_length("q"))).first()[0] or 0
-    if size > held:
-        return _by_runs(docs, quotes, words).select(F.col("d").alias(doc_id), F.col("i").alias(item_id))
+    n, size = quotes.agg(F.count_distinct("q"), F.sum(F.octet_length("q"))).first()
+    passes = max(1, min(n, -(-(size or 0) // max(1, held))))
+    part = F.pmod(F.xxhash64("q"), F.lit(passes))
+    return reduce(DataFrame.unionByName, [_pass(docs, quotes.where(part == k) if passes > 1 else quotes, doc_id, item_id) for k in range(passes)])
+
+
+def _pass(docs: DataFrame, quotes: DataFrame, doc_id: str, item_id: str) -> DataFrame:
     by_text: dict[str, list[int]] = {}
     for r in quotes.collect():
         by_text.setdefault(r["q"], []).append(r["i"])
@@ -83,20 +88,6 @@ def quotations_in(docs: DataFrame, doc_id: str, text: str, items: DataFrame, ite
     return docs.mapInArrow(run, f"{doc_id} long, {item_id} long")
 
 
-def _by_runs(docs: DataFrame, quotes: DataFrame, words: int) -> DataFrame:
-    """Pairs by a run of a quotation's inner words (its first and last may be parts of longer ones);
-    quotations of fewer inner words meet all texts, in a loop over those few rows."""
-    split = lambda c: F.split(c, " ")
-    q = quotes.withColumn("w", F.slice(split("q"), 2, F.greatest(F.size(split("q")) - 2, F.lit(0))))
-    long = q.where(F.size("w") >= words).select("i", "q", F.array_join(F.slice("w", 1, words), " ").alias("run"))
-    short = q.where(F.size("w") < words).select("i", "q")
-    d = docs.withColumn("w", split("t"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda k: F.array_join(F.slice("w", k, words), " "))
-    asked = d.where(F.size("w") >= words).select("d", F.explode(F.array_distinct(runs)).alias("run")).join(long, "run").select("d", "i", "q")
-    pairs = docs.join(asked, "d").where(F.contains("t", "q")).select("d", "i")
-    return pairs.unionByName(docs.join(short, F.contains("t", "q")).select("d", "i")).distinct()
-
-
 def missing(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Rows of expected that have no row in found."""
     return expected.join(found.select(key), key, "left_anti")

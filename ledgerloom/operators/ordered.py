@@ -117,3 +117,36 @@ def charges(df: DataFrame, keys: list[str], order: list, amount: Column, budget)
 def positions(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Adds `position`, from zero, in each key."""
     return df.withColumn("position", (F.row_number().over(_over(keys, order)) - 1).cast("long"))
+
+
+def extremes(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
+    """Adds `least` and `most`, the smallest and largest value of the key so far."""
+    so_far = _over(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("least", F.min(value).over(so_far)).withColumn("most", F.max(value).over(so_far))
+
+
+def shown_counters(df: DataFrame, keys: list[str], order: list, counter: str) -> DataFrame:
+    """Adds `shown`, the counter as a display keeps it: a fall is ignored."""
+    return df.withColumn("shown", F.max(counter).over(_over(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def adjacent(df: DataFrame, keys: list[str], order: list, columns: list[str]) -> DataFrame:
+    """Adds before_<column> and after_<column>, those of the neighbours in the key."""
+    w = _over(keys, order)
+    return df.select("*", *[F.lag(c).over(w).alias(f"before_{c}") for c in columns], *[F.lead(c).over(w).alias(f"after_{c}") for c in columns])
+
+
+def attempt_totals(df: DataFrame, keys: list[str], order: list, sums: list[str], loop: str | None = None) -> DataFrame:
+    """(keys, period, updates, sums): totals of all updates, the first one and later ones of each key.
+
+    The first row is found by its order in a partial aggregate, not by sorting the key. `loop` names a column
+    whose largest value, if any, takes the place of the first sum over all updates: the loop's own clock.
+    """
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*sums), F.struct(*order)).alias("f"), F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in sums], *([F.max(loop).alias("_loop")] if loop else []))
+    clock = F.coalesce("_loop", sums[0]) if loop else F.col(sums[0])
+    rows = [
+        F.struct(F.lit("all").alias("period"), F.col("_n").alias("updates"), clock.alias(sums[0]), *[F.col(c).alias(c) for c in sums[1:]]),
+        F.struct(F.lit("first").alias("period"), F.lit(1).cast("long").alias("updates"), *[F.col(f"f.{c}").alias(c) for c in sums]),
+        F.struct(F.lit("later").alias("period"), (F.col("_n") - 1).alias("updates"), *[(F.col(c) - F.col(f"f.{c}")).alias(c) for c in sums]),
+    ]
+    return first.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")

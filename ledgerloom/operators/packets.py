@@ -72,7 +72,7 @@ def source_cells(found: DataFrame) -> DataFrame:
 
 
 # The lines that a model input is made of.
-OMITTED, BEGIN, END = "[OMITTED SOURCE BYTES %d:%d]", "BEGIN MARKED TARGET", "END MARKED TARGET"
+OMITTED, BEGIN, END = "[OMITTED%s SOURCE BYTES %d:%d]", "BEGIN MARKED TARGET", "END MARKED TARGET"
 
 
 def _cell(c: Column) -> Column:
@@ -80,19 +80,46 @@ def _cell(c: Column) -> Column:
     return F.concat(json_quoted(c["text"]), *spans)
 
 
-def model_inputs(found: DataFrame) -> DataFrame:
-    """(packet_id, model_input): gaps, titles and quoted cells in order, with the target marked."""
-    w = Window.partitionBy("packet_id").orderBy("block_index")
+def model_inputs(found: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """(packet_id, model_input): gaps, titles and quoted cells in order, with the target marked.
+
+    contexts: the blocks of context_blocks(). A packet's other documents come first, each with its own gaps;
+    the own document's blocks are then numbered as the next document's.
+    """
+    own = found
+    if contexts is not None:
+        last = contexts.groupBy("packet_id").agg(F.max("document_index").alias("documents"))
+        prefix = F.coalesce(F.format_string("D%d:", F.col("documents") + 1), F.lit(""))
+        own = found.join(last, "packet_id", "left").withColumn("block_id", F.concat(F.when(F.col("documents").isNull(), F.lit("")).otherwise(prefix), F.col("block_id"))).drop("documents")
+    told = _document_lines(own.withColumn("document_index", F.lit(1 << 30)))
+    if contexts is not None:
+        before = F.coalesce(F.lag("block.end_byte").over(Window.partitionBy("packet_id", "document_index").orderBy("block_index")), F.lit(0))
+        told = told.unionByName(_document_lines(contexts.withColumn("previous", before)))
+    whole = told.groupBy("packet_id").agg(F.array_sort(F.collect_list(F.struct("document_index", "lines"))).alias("x"))
+    return whole.select("packet_id", F.array_join(F.flatten(F.transform("x", lambda r: r["lines"])), "\n").alias("model_input"))
+
+
+def _document_lines(found: DataFrame) -> DataFrame:
+    """(packet_id, document_index, lines) of the blocks of documents."""
+    w = Window.partitionBy("packet_id", "document_index").orderBy("block_index")
     first = F.col("is_target") & ~F.coalesce(F.lag("is_target").over(w), F.lit(False))
     last = F.col("is_target") & ~F.coalesce(F.lead("is_target").over(w), F.lit(False))
     cells = found.withColumn("begins", first).withColumn("ends", last).select("*", F.posexplode("block.cells").alias("cell_index", "c"))
-    told = cells.select("packet_id", "block_index", "block_id", "previous", "length", "begins", "ends", "cell_index", _cell(F.col("c")).alias("cell"), F.col("block.start_byte").alias("a"), F.col("block.end_byte").alias("b"))
-    rows = told.groupBy("packet_id", "block_index", "block_id", "previous", "length", "begins", "ends", "a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell_index", "cell"))), lambda x: x["cell"]), " | ").alias("cells"))
+    told = cells.select("packet_id", "document_index", "block_index", "block_id", "previous", "length", "begins", "ends", "cell_index", _cell(F.col("c")).alias("cell"), F.col("block.start_byte").alias("a"), F.col("block.end_byte").alias("b"))
+    rows = told.groupBy("packet_id", "document_index", "block_index", "block_id", "previous", "length", "begins", "ends", "a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell_index", "cell"))), lambda x: x["cell"]), " | ").alias("cells"))
     title = F.format_string("%s source bytes %d:%d\n%s", "block_id", "a", "b", "cells")
-    lines = F.array_compact(F.array(F.when(F.col("a") > F.col("previous"), F.format_string(OMITTED, "previous", "a")), F.when(F.col("begins"), F.lit(BEGIN)), title, F.when(F.col("ends"), F.lit(END))))
-    packets = rows.groupBy("packet_id").agg(F.array_sort(F.collect_list(F.struct("block_index", lines.alias("lines")))).alias("x"), F.max("b").alias("reach"), F.first("length").alias("length"))
-    rest = F.when(F.col("reach") < F.col("length"), F.format_string(OMITTED, "reach", "length"))
-    return packets.select("packet_id", F.array_join(F.array_compact(F.concat(F.flatten(F.transform("x", lambda r: r["lines"])), F.array(rest))), "\n").alias("model_input"))
+    name = F.when(F.col("document_index") < 1 << 30, F.format_string(" D%d", "document_index")).otherwise("")
+    gap = lambda a, b: F.format_string(OMITTED, name, a, b)
+    lines = F.array_compact(F.array(F.when(F.col("a") > F.col("previous"), gap("previous", "a")), F.when(F.col("begins"), F.lit(BEGIN)), title, F.when(F.col("ends"), F.lit(END))))
+    packets = rows.groupBy("packet_id", "document_index").agg(F.array_sort(F.collect_list(F.struct("block_index", lines.alias("lines")))).alias("x"), F.max("b").alias("reach"), F.first("length").alias("length"))
+    rest = F.when(F.col("reach") < F.col("length"), gap("reach", "length"))
+    return packets.select("packet_id", "document_index", F.array_compact(F.concat(F.flatten(F.transform("x", lambda r: r["lines"])), F.array(rest))).alias("lines"))
+
+
+def target_ids() -> Column:
+    """target_id() of a selection's columns accession, source_sha256 and target."""
+    parts = [json_quoted(F.col("accession")), F.lit(","), json_quoted(F.col("source_sha256")), F.format_string(",[%d,%d]", "target.a", "target.b")]
+    return F.sha2(F.concat(F.lit("["), *parts, F.lit("]")), 256)
 
 
 def target_id(accession: str, source_sha256: str, a: int, b: int) -> str:

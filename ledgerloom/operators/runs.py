@@ -8,8 +8,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import finite
-from .rules import Rule
+from ..functions.text import finite, json_quoted
+from .joins import merge
+from .rules import Rule, violations
 
 # States of a journal, interruptions, counters of a memory sample, evidence of a decision.
 TERMINAL = ("COMPLETE", "LENGTH_STOP", "TIMEOUT", "FAILED")
@@ -197,3 +198,108 @@ def summary(report: DataFrame) -> DataFrame:
 def run_status(worker_status: Column, exit_code: Column, saved_status: Column) -> Column:
     """The worker's status, or the saved result's once the worker exited cleanly."""
     return F.when((exit_code == 0) & saved_status.isNotNull(), saved_status).otherwise(worker_status)
+
+
+# Which states of a journal may follow which; none may come first but READY.
+FOLLOWS = {"READY": ("UPDATING", "CLEAN_STOP"), "UPDATING": ("BOUNDARY",), "BOUNDARY": ("UPDATING", "CLEAN_STOP", "TRAINED"), "CLEAN_STOP": ("READY",), "TRAINED": ()}
+
+
+def journal_problems(journal: DataFrame, run: str = "run", position: str = "position") -> DataFrame:
+    """(run, position, rule) of journal rows (status, completed) that may not follow the row before."""
+    w = Window.partitionBy(run).orderBy(position)
+    before = F.lag("status").over(w)
+    each = journal.select(run, position, "status", "completed", before.alias("was"), F.lag("completed").over(w).alias("had"))
+    allowed = F.create_map(*[x for k, v in FOLLOWS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+    c = F.col
+    broken = F.array_compact(F.array(
+        F.when(~c("status").isin(*FOLLOWS), "unknown_state"), F.when(c("was").isNull() & (c("status") != "READY"), "not_begun"),
+        F.when(c("was").isin(*FOLLOWS) & ~F.coalesce(F.array_contains(allowed[c("was")], c("status")), F.lit(False)), "transition"), F.when(c("completed") < c("had"), "fell_back"),
+    ))
+    return each.select(run, position, F.explode(broken).alias("rule"))
+
+
+def ledger_seconds(ledger: DataFrame, keys: list[str], seconds: str, phase: Column, failed: Column) -> DataFrame:
+    """(keys, total, in_phase, failed): seconds of a ledger, those of one phase, those of failed executions."""
+    part = lambda c: F.sum(F.when(c, F.col(seconds)))
+    return ledger.groupBy(*keys).agg(F.sum(seconds).alias("total"), part(phase).alias("in_phase"), part(failed).alias("failed"))
+
+
+def stage_totals(calls: DataFrame, stage: str, seconds: str, failed: Column) -> DataFrame:
+    """(stage, seconds, calls, failed_calls). Stages nest, so their seconds don't add up."""
+    return calls.groupBy(F.col(stage).alias("stage")).agg(F.sum(seconds).alias("seconds"), F.count("*").alias("calls"), F.count_if(failed).alias("failed_calls"))
+
+
+def inventory_hash(files: DataFrame, keys: list[str], path: str = "path", sha256: str = "sha256") -> DataFrame:
+    """(keys, files, inventory_sha256): the hash of a folder's sorted path-to-hash map, in the binding's JSON."""
+    pair = F.concat(json_quoted(F.col(path)), F.lit(": "), json_quoted(F.col(sha256)))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), pair.alias("t"))))
+    told = F.concat(F.lit("{"), F.array_join(F.transform(listed, lambda x: x["t"]), ", "), F.lit("}"))
+    return files.groupBy(*keys).agg(F.count("*").alias("files"), F.sha2(told, 256).alias("inventory_sha256"))
+
+
+def chain(records: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """Records of a publication joined by hash: each one's `needs` is the `makes` of the one before.
+
+    records: (rows, needs, makes), the first without needs. The result has the columns of all.
+    """
+    found, _, made = records[0]
+    for rows, needs, makes in records[1:]:
+        found = found.join(rows, F.col(made) == F.col(needs))
+        made = makes
+    return found
+
+
+def decision_problems(decisions: DataFrame, answers: DataFrame, cells: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(id, rule) of review decisions.
+
+    decisions: id, binding, reviewed, subject_equivalent, block_index, cell_index, passage, reason,
+    quotation_errors; answers: id, answer_binding of valid answers; cells: id, block_index, cell_index, text;
+    quotes: id, path of the answers' wordings. The named cell comes by an equi join on its place.
+    """
+    c = F.col
+    cell = cells.select("id", "block_index", "cell_index", c("text").alias("cell"))
+    paths = quotes.groupBy("id").agg(F.collect_set("path").alias("quotable_paths"))
+    both = decisions.join(answers.select("id", "answer_binding"), "id", "left").join(cell, ["id", "block_index", "cell_index"], "left").join(paths, "id", "left")
+    both = both.withColumn("quotable_paths", F.coalesce("quotable_paths", F.array().cast("array<string>")))
+    more = [Rule("reviewed", ~F.coalesce("reviewed", F.lit(False)) | c("subject_equivalent").isNull(), "not decided"),
+            Rule("reason", c("subject_equivalent") & (F.coalesce(F.trim("reason"), F.lit("")) == ""), "no reason")]
+    return violations(both, "id", decision_rules() + more).select(c("entity_id").alias("id"), c("rule_id").alias("rule"))
+
+
+def merge_decisions(known: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decisions by id after an import, and conflicts: the same decision again changes nothing, another one is refused.
+
+    Both have an id; all their other columns are the decision.
+    """
+    names = [x for x in known.columns if x != "id"]
+    told = lambda df: df.select("id", F.struct(*names).alias("decision"))
+    merged, clash = merge(told(known), told(new), "id", "decision")
+    return merged.select("id", "decision.*"), clash
+
+
+# The longest session and the longest review, in seconds and minutes.
+SESSION_SECONDS, REVIEW_MINUTES = 1800, 240
+
+
+def review_draft_problems(drafts: DataFrame, packets: DataFrame, fields: DataFrame, corrections: DataFrame) -> DataFrame:
+    """(session_id, rule) of saved review drafts.
+
+    drafts: session_id, set_id, schema, own_set, own_schema, active_seconds, prior_minutes; packets: session_id,
+    packet_id, known (it is in the set), input_binding, own_binding, reviewed; fields: session_id, packet_id,
+    availability; corrections: session_id, packet_id, reason.
+    """
+    c, empty = F.col, lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
+    out_of = lambda x, top: ~F.coalesce(F.col(x).between(0, top), F.lit(False))
+    own = drafts.select("session_id", F.explode(F.array_compact(F.array(
+        F.when(~c("set_id").eqNullSafe(c("own_set")) | ~c("schema").eqNullSafe(c("own_schema")), "another_set"), F.when(out_of("active_seconds", SESSION_SECONDS), "session_time"), F.when(out_of("prior_minutes", REVIEW_MINUTES), "review_time"),
+    ))).alias("rule"))
+    each = packets.select("session_id", F.explode(F.array_compact(F.array(F.when(~F.coalesce("known", F.lit(False)), "unknown_packet"), F.when(~c("input_binding").eqNullSafe(c("own_binding")), "binding_changed")))).alias("rule"))
+    keys = ["session_id", "packet_id"]
+    reviewed = packets.where("reviewed").select(*keys)
+    open_ = fields.where(empty("availability")).unionByName(corrections.where(empty("reason")), allowMissingColumns=True).join(reviewed, keys, "left_semi")
+    return own.unionByName(each).unionByName(open_.select("session_id", F.lit("reviewed_but_open").alias("rule"))).distinct()
+
+
+def stop_reason(seconds_since_sample: Column, below_count: Column, phase_seconds: Column, total_seconds: Column, *, stale: float, samples: int, phase_limit: float, total_limit: float) -> Column:
+    """limit_reason(), after a sampler that has been silent too long."""
+    return F.when(seconds_since_sample > stale, "STALE_SAMPLES").otherwise(limit_reason(below_count, phase_seconds, total_seconds, samples=samples, phase_limit=phase_limit, total_limit=total_limit))

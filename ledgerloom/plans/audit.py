@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.markup import blocks
 from ..functions.markup import visible_text as visible_text_of
-from ..functions.text import collapse
-from ..operators import joins, ordered, rules
-from ..operators.scoring import overall
+from ..functions.text import casefold, collapse
+from ..operators import answers, datasets, holdout, joins, ordered, rules
+from ..sources.files import url_allowed
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,45 +30,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _judged(t) -> DataFrame:
-    """Documents as cases, labels as references; the answer says quality 1 for texts of 200 characters or more."""
-    references = t("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    cases = t("documents").select("doc_id", "source", "lang", "n_chars").join(references, "doc_id", "left")
-    return cases.withColumn("said", (F.col("n_chars") >= 200).cast("int"))
-
-
-_JUDGED = """judged AS (
-  SELECT d.doc_id, source, lang, n_chars, quality, toxic, CASE WHEN n_chars >= 200 THEN 1 ELSE 0 END AS said
-  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id)"""
-
-
-@query(f"""WITH {_JUDGED} SELECT count(*) AS targets, count(*) FILTER (WHERE quality IS NULL) AS missing,
-  count(*) FILTER (WHERE n_chars > 0) AS format_valid, count(*) FILTER (WHERE said = quality) AS correct,
-  CASE WHEN bool_or(doc_id IS NULL) THEN 'INVALID_REFERENCES' WHEN bool_or(quality IS NULL) THEN 'INCOMPLETE'
-    WHEN bool_or(n_chars = 0) THEN 'PENDING_REVIEW' ELSE 'COMPLETE' END AS status FROM judged""")
-def scoring_report(t):
-    return _judged(t).agg(
-        F.count("*").alias("targets"), F.count_if(F.col("quality").isNull()).alias("missing"), F.count_if(F.col("n_chars") > 0).alias("format_valid"),
-        F.count_if(F.col("said") == F.col("quality")).alias("correct"),
-        overall(F.bool_or(F.col("doc_id").isNull()), F.bool_or(F.col("quality").isNull()), F.bool_or(F.col("n_chars") == 0)).alias("status"),
-    )
-
-
-@query(f"""WITH {_JUDGED} SELECT 'quality' AS field, count(*) AS n_cases, count(*) FILTER (WHERE said = quality) AS n_correct FROM judged WHERE quality IS NOT NULL
-UNION ALL SELECT 'toxic', count(*), count(*) FILTER (WHERE 1 - said = toxic) FROM judged WHERE toxic IS NOT NULL""")
-def field_unpivot_accuracy(t):
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("want"), a.alias("got")) for f, a in (("quality", F.col("said")), ("toxic", 1 - F.col("said")))])
-    each = _judged(t).select(F.explode(pairs).alias("p")).select("p.*").where("want is not null")
-    return each.groupBy("field").agg(F.count("*").alias("n_cases"), F.count_if(F.col("want") == F.col("got")).alias("n_correct"))
-
-
-@query(f"""WITH {_JUDGED} SELECT source, count(*) AS targets, CASE WHEN bool_or(toxic = 1) THEN 'INVALID_REFERENCES' WHEN bool_or(quality IS NULL) THEN 'INCOMPLETE'
-  WHEN bool_or(said <> quality) THEN 'PENDING_REVIEW' ELSE 'COMPLETE' END AS status FROM judged GROUP BY source""")
-def status_precedence(t):
-    no = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    return _judged(t).groupBy("source").agg(F.count("*").alias("targets"), overall(no(F.col("toxic") == 1), no(F.col("quality").isNull()), no(F.col("said") != F.col("quality"))).alias("status"))
-
-
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def missing_answers(t):
     return joins.missing(t("documents").select("doc_id"), t("labels"), "doc_id")
@@ -91,13 +53,13 @@ def position_coverage(t):
     return t("conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), (F.count_distinct("turn") == span).alias("complete"))
 
 
-@query("""WITH e AS (SELECT source, count(*) AS n_expected FROM documents WHERE lang = 'en' GROUP BY source),
-f AS (SELECT source, count(*) AS n_found FROM documents d WHERE lang = 'en' AND EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY source)
-SELECT coalesce(e.source, f.source) AS source, coalesce(n_expected, 0) AS n_expected, coalesce(n_found, 0) AS n_found
-FROM e FULL JOIN f ON e.source = f.source WHERE coalesce(n_expected, 0) <> coalesce(n_found, 0)""")
+@query("""WITH e AS (SELECT source, lang, count(*) AS n_expected FROM documents GROUP BY ALL),
+f AS (SELECT source, lang, count(*) AS n_found FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY ALL)
+SELECT coalesce(e.source, f.source) AS source, coalesce(e.lang, f.lang) AS lang, coalesce(n_expected, 0) AS n_expected, coalesce(n_found, 0) AS n_found
+FROM e FULL JOIN f ON e.source = f.source AND e.lang = f.lang WHERE coalesce(n_expected, 0) <> coalesce(n_found, 0)""")
 def coverage_by_source(t):
-    docs = t("documents").where("lang = 'en'").select("doc_id", "source")
-    return rules.coverage(docs, docs.join(t("labels").select("doc_id"), "doc_id", "left_semi"), ["source"])
+    docs = t("documents").select("doc_id", "source", "lang")
+    return rules.coverage(docs, docs.join(t("labels").select("doc_id"), "doc_id", "left_semi"), ["source", "lang"])
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS bytes FROM documents")
@@ -110,44 +72,64 @@ def duplicate_content(t):
     return rules.duplicates(t("documents").select(F.sha2("text", 256).alias("sha256")), "sha256")
 
 
-@query("SELECT sha256(text) AS sha256, min(doc_id) AS first_doc, count(*) AS copies, string_agg(DISTINCT source, ',' ORDER BY source) AS locations FROM documents GROUP BY 1")
+@query("""SELECT sha256(text) AS sha256, min(source || '/' || doc_id) AS path, octet_length(encode(any_value(text)))::BIGINT AS bytes, count(DISTINCT source || '/' || lang)::BIGINT AS locations,
+  'held' AS release FROM documents GROUP BY 1""")
 def import_merge(t):
-    prints = t("documents").select("doc_id", "source", F.sha2("text", 256).alias("sha256"))
-    return prints.groupBy("sha256").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("locations"))
+    """All documents imported into an empty inventory; a place is a source and a language."""
+    none = F.lit(None).cast("string")
+    files = t("documents").select(
+        F.sha2("text", 256).alias("sha256"), F.concat_ws("/", "source", "doc_id").alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.concat_ws("/", "source", "lang").alias("sec_url"),
+        *[none.alias(x) for x in datasets.LOCATION[1:]],
+    )
+    empty = files.where("false").groupBy("sha256").agg(F.first("path").alias("path"), F.first("bytes").alias("bytes"), F.collect_set(F.struct(*datasets.LOCATION)).alias("locations"), F.first("path").alias("release"))
+    return datasets.imported(empty, files).withColumn("locations", F.size("locations").cast("long"))
+
 
+_SPLITS = "CASE lang WHEN 'en' THEN 'training' WHEN 'de' THEN 'development' WHEN 'fr' THEN 'test' WHEN 'es' THEN 'excluded' ELSE 'odd' END"
 
-@query("SELECT source, count(DISTINCT lang) AS splits FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1")
+
+def _assignments(t):
+    """Documents as sources: the language is the split, equal texts are a group, toxic ones are exposed."""
+    toxic = t("labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    docs = t("documents").join(toxic, "doc_id", "left")
+    return docs.select(F.col("doc_id").cast("string").alias("accession"), F.expr(_SPLITS).alias("split"), F.substring(F.md5("text"), 1, 3).alias("group_id"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("development_exposed"))
+
+
+_ASSIGNED = f"""a AS (SELECT d.doc_id::VARCHAR AS accession, {_SPLITS} AS split, left(md5(text), 3) AS group_id,
+  coalesce((SELECT max(toxic) FROM labels l WHERE l.doc_id = d.doc_id) = 1, false) AS exposed FROM documents d),
+g AS (SELECT group_id, bool_or(exposed) AS exposed, count(DISTINCT split) FILTER (WHERE split <> 'excluded') AS splits FROM a GROUP BY group_id)"""
+
+
+@query(f"""WITH {_ASSIGNED} SELECT accession, 'group_crosses_splits' AS rule FROM a JOIN g USING (group_id) WHERE splits > 1 AND split <> 'excluded'""")
 def group_single_split(t):
-    return t("documents").groupBy("source").agg(F.count_distinct("lang").alias("splits")).where("splits > 1")
+    return holdout.assignment_problems(_assignments(t)).where("rule = 'group_crosses_splits'")
 
 
-@query("""WITH g AS (SELECT source, bool_or(toxic = 1) AS exposed FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY source)
-SELECT doc_id, d.source, coalesce(exposed, false) AS exposed FROM documents d LEFT JOIN g ON d.source = g.source""")
+@query(f"""WITH {_ASSIGNED} SELECT accession, 'exposed_group_in_training' AS rule FROM a JOIN g USING (group_id) WHERE g.exposed AND split = 'training'
+UNION ALL SELECT accession, 'unknown_split' FROM a WHERE split = 'odd'""")
 def exposed_groups(t):
-    docs = t("documents").select("doc_id", "source")
-    groups = docs.join(t("labels").select("doc_id", "toxic"), "doc_id").groupBy("source").agg(F.bool_or(F.col("toxic") == 1).alias("exposed"))
-    return docs.join(groups, "source", "left").select("doc_id", "source", F.coalesce("exposed", F.lit(False)).alias("exposed"))
+    return holdout.assignment_problems(_assignments(t)).where("rule <> 'group_crosses_splits'")
 
 
-_KEYS = {"sha256": lambda: F.sha2("text", 256), "opening": lambda: F.substring("text", 1, 40)}
+_KEYS = {"sha256": lambda: F.sha2("text", 256), "home": lambda: F.concat_ws("/", "source", "lang", "n_chars")}
 
 
 def _reached(t):
-    docs = t("documents").select("doc_id", "text")
+    docs = t("documents").select("doc_id", "text", "source", "lang", "n_chars")
     keys = {k: f() for k, f in _KEYS.items()}
     toxic = docs.join(t("labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
     return docs, joins.reached(docs, "doc_id", keys, joins.keyed(toxic, keys).distinct())
 
 
-_PROTECTED = "p AS (SELECT sha256(text) AS h, left(text, 40) AS o FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))"
+_PROTECTED = "p AS (SELECT sha256(text) AS h, concat_ws('/', source, lang, n_chars) AS o FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))"
 
 
-@query(f"WITH {_PROTECTED} SELECT DISTINCT doc_id FROM documents d WHERE sha256(text) IN (SELECT h FROM p) OR left(text, 40) IN (SELECT o FROM p)")
+@query(f"WITH {_PROTECTED} SELECT DISTINCT doc_id FROM documents d WHERE sha256(text) IN (SELECT h FROM p) OR concat_ws('/', source, lang, n_chars) IN (SELECT o FROM p)")
 def protected_semi(t):
     return _reached(t)[1]
 
 
-@query(f"WITH {_PROTECTED} SELECT doc_id FROM documents d WHERE NOT (sha256(text) IN (SELECT h FROM p) OR left(text, 40) IN (SELECT o FROM p))")
+@query(f"WITH {_PROTECTED} SELECT doc_id FROM documents d WHERE NOT (sha256(text) IN (SELECT h FROM p) OR concat_ws('/', source, lang, n_chars) IN (SELECT o FROM p))")
 def protected_anti(t):
     docs, hit = _reached(t)
     return docs.select("doc_id").join(hit, "doc_id", "left_anti")
@@ -171,30 +153,44 @@ def single_cell_support(t):
     return t("pages").select("page_id", joins.supported(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1), cells).alias("supported"))
 
 
-@query("""WITH a AS (SELECT doc_id // 2 AS slot, sha256(text) AS a FROM documents WHERE source IN ('src0', 'src2', 'src4') AND doc_id % 2 = 0),
-b AS (SELECT doc_id // 2 AS slot, sha256(text) AS b FROM documents WHERE source IN ('src0', 'src1', 'src3') AND doc_id % 2 = 1)
-SELECT coalesce(a.slot, b.slot) AS slot, CASE WHEN a.slot IS NULL THEN 'added' WHEN b.slot IS NULL THEN 'removed' ELSE 'changed' END AS state
-FROM a FULL JOIN b ON a.slot = b.slot WHERE a.a IS DISTINCT FROM b.b""")
+@query("""WITH a AS (SELECT doc_id, sha256(text) AS a FROM documents), b AS (SELECT turn * 1000 + conv_id AS doc_id, sha256(text) AS b FROM conversations)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS state
+FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.a IS DISTINCT FROM b.b""")
 def inventory_diff(t):
-    docs = t("documents").select("source", "doc_id", F.expr("doc_id div 2").alias("slot"), F.sha2("text", 256).alias("h"))
-    left = docs.where(F.col("source").isin("src0", "src2", "src4") & (F.col("doc_id") % 2 == 0))
-    right = docs.where(F.col("source").isin("src0", "src1", "src3") & (F.col("doc_id") % 2 == 1))
-    return joins.inventory_diff(left, right, "slot", "h")
+    """All documents as one inventory, all turns as another, by number."""
+    left = t("documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    right = t("conversations").select((F.col("turn") * 1000 + F.col("conv_id")).alias("doc_id"), F.sha2("text", 256).alias("h"))
+    return joins.inventory_diff(left, right, "doc_id", "h")
+
 
+def _paragraphs(t):
+    """Paragraphs of all pages, each as a source of its own."""
+    found = t("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<p>.*?</p>"), 0)).alias("i", "c"))
+    return found.select("page_id", F.col("i").cast("long").alias("block_index"), "c")
 
-@query("""SELECT page_id, generate_subscripts(c, 1) - 1 AS block_index, sha256(unnest(c)) AS cell_sha256
-FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS c FROM pages)""")
+
+# What a reader shows of these pages' markup: they hold b, br and p, and one kind of reference.
+_SHOWN = r"""trim(regexp_replace(replace(regexp_replace(regexp_replace(c, '<(br|/?p)>', ' ', 'g'), '</?[a-z0-9]+>', '', 'g'), '&amp;', '&'), '[\t\n\x0b\f\r \x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'))"""
+
+
+@query(f"""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<p>.*?</p>')) AS c, generate_subscripts(regexp_extract_all(html, '(?s)<p>.*?</p>'), 1) - 1 AS block_index FROM pages),
+k AS (SELECT *, len(regexp_extract_all(c, '<p>')) = 1 AS whole FROM p)
+SELECT page_id, block_index, whole, CASE WHEN whole THEN sha256(c) END AS slice_sha256, CASE WHEN whole THEN {_SHOWN} END AS shown,
+  CASE WHEN whole THEN octet_length(encode(c))::BIGINT END AS end_byte, CASE WHEN whole THEN len(string_split(c, chr(10)))::BIGINT END AS line_end FROM k""")
 def block_cells(t):
-    return t("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), 1)).alias("i", "c")).select(
-        "page_id", F.col("i").cast("long").alias("block_index"), F.sha2("c", 256).alias("cell_sha256")
-    )
+    """Blocks of all paragraphs; one that holds another is refused."""
+    raw = F.col("c").cast("binary")
+    b = blocks(raw, F.lit(0).cast("long"), F.octet_length(raw).cast("long"), F.lit("block"), F.lit("utf-8"))
+    found = _paragraphs(t).withColumn("b", b)
+    cell = F.get("b.cells", F.lit(0))
+    return found.select("page_id", "block_index", F.col("b.error").isNull().alias("whole"), F.col("b.source_slice_sha256").alias("slice_sha256"), cell["text"].alias("shown"), cell["end_byte"].alias("end_byte"), F.col("b.line_end").alias("line_end"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<p>.*?</p>')) AS c, generate_subscripts(regexp_extract_all(html, '(?s)<p>.*?</p>'), 1) - 1 AS block_index FROM pages)
+SELECT page_id, block_index, {_SHOWN} AS visible FROM p""")
 def visible_text(t):
-    """Text of every paragraph, refused ones null: decoded references and nested tags, which SQL has no parser for."""
-    cells = t("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), 1)).alias("i", "c"))
-    return cells.select("page_id", F.col("i").cast("long").alias("block_index"), visible_text_of("c").alias("visible"))
+    """Text of every paragraph: decoded references, nested tags dropped."""
+    return _paragraphs(t).select("page_id", "block_index", visible_text_of("c").alias("visible"))
 
 
 @query("SELECT page_id, regexp_matches(html, '(?i)<(script|style|iframe|object)\\b') AS active, regexp_matches(html, '(?i)<table\\b') AS has_table FROM pages")
@@ -202,13 +198,17 @@ def active_markup(t):
     return t("pages").select("page_id", F.col("html").rlike("(?i)<(script|style|iframe|object)\\b").alias("active"), F.col("html").rlike("(?i)<table\\b").alias("has_table"))
 
 
-@query(r"""SELECT page_id, regexp_matches(url, '^https://') AS secure, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS authority,
-  regexp_matches(url, '^https://[a-z0-9.-]+(:443)?([/?#]|$)') AS allowed FROM pages""")
+_HOSTS = ("example.com", "blog.tionsh.example.net", "thther.example.org", "m.ththth.example.net", "www.ththhe.example.com")
+
+
+@query(rf"""WITH p AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, replace(url, '://', '://me@') FROM pages UNION ALL SELECT page_id, regexp_replace(url, '^(https?://[^/?#]*)', '\1:443') FROM pages)
+SELECT page_id, count(*) AS n, count(*) FILTER (WHERE regexp_extract(url, '^https://([^/?#:]*)(:443)?([/?#]|$)', 1) IN {_HOSTS}) AS allowed FROM p GROUP BY page_id""")
 def url_allow_list(t):
-    return t("pages").select(
-        "page_id", F.col("url").rlike("^https://").alias("secure"), F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("authority"),
-        F.col("url").rlike("^https://[a-z0-9.-]+(:443)?([/?#]|$)").alias("allowed"),
-    )
+    """Each page's URL as it is, with credentials, and with a port."""
+    url = F.col("url")
+    forms = F.array(url, F.replace(url, F.lit("://"), F.lit("://me@")), F.regexp_replace(url, "^(https?://[^/?#]*)", "$1:443"))
+    each = t("pages").select("page_id", F.explode(forms).alias("url"))
+    return each.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(url_allowed(F.col("url"), _HOSTS)).alias("allowed"))
 
 
 @query(r"""SELECT doc_id, sha256(trim(regexp_replace(text, '[\t\n\x0b\f\r \x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'))) AS plain_sha256 FROM documents""")
@@ -218,7 +218,7 @@ def normalize_text(t):
 
 @query("SELECT lower(c_name) AS folded, count(*) AS n, min(c_custkey) AS first_key FROM customer GROUP BY 1")
 def name_fold(t):
-    return t("customer").groupBy(F.lower("c_name").alias("folded")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_key"))
+    return t("customer").groupBy(casefold("c_name").alias("folded")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_key"))
 
 
 @query("""SELECT l_orderkey, string_agg(l_returnflag, '' ORDER BY l_returnflag) AS flags, string_agg(l_linestatus, '' ORDER BY l_linestatus) AS states,
@@ -228,11 +228,11 @@ def multiset_equal(t):
     return both.select("l_orderkey", F.array_join("a", "").alias("flags"), F.array_join("b", "").alias("states"), (F.col("a") == F.col("b")).alias("same"))
 
 
-@query("""SELECT o_custkey, string_agg(year(o_orderdate)::VARCHAR, ',' ORDER BY year(o_orderdate)) AS years,
-  count(DISTINCT year(o_orderdate)) = count(*) AS distinct_years FROM orders GROUP BY o_custkey""")
+@query("""WITH f AS (SELECT year(o_orderdate)::INT AS year, count(*) AS found FROM orders GROUP BY 1), e AS (SELECT * FROM (VALUES (1995, 100), (1996, 2), (2030, 1)) v(year, expected))
+SELECT coalesce(f.year, e.year)::INT AS year, coalesce(found, 0)::BIGINT AS found, coalesce(expected, 0)::BIGINT AS expected FROM f FULL JOIN e ON f.year = e.year WHERE coalesce(found, 0) <> coalesce(expected, 0)""")
 def year_slots(t):
-    years = t("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.year("o_orderdate"))).alias("y"))
-    return years.select("o_custkey", F.array_join(F.transform("y", lambda y: y.cast("string")), ",").alias("years"), (F.size(F.array_distinct("y")) == F.size("y")).alias("distinct_years"))
+    """Orders as filings: their years as a multiset against an expected one."""
+    return holdout.year_mismatch(t("orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("filing_date")), [1995] * 100 + [1996] * 2 + [2030])
 
 
 @query("""WITH l AS (SELECT c_custkey || '|' || c_name || '|' || CASE WHEN c_custkey % 3 = 0 THEN 'N-PX' WHEN c_custkey % 3 = 1 THEN 'N-PX/A' ELSE '10-K' END
@@ -292,29 +292,36 @@ def merge_conflicts(t):
     return _merged(t)[1]
 
 
-@query("""SELECT doc_id, len(string_split(text, ' '))::BIGINT AS tokens, len(string_split(text, ' ')) <= 3328 AS fits,
-  (length(text) - length(replace(text, chr(10), '')))::BIGINT AS newlines, octet_length(encode(text)) <= 1048576 AS in_size FROM documents""")
+@query("""WITH w AS (SELECT doc_id, len(string_split(text, ' ')) AS p, len(string_split(text, chr(10))) AS a FROM documents)
+SELECT doc_id, 'prompt' AS rule FROM w WHERE p > 200 UNION ALL SELECT doc_id, 'answer' FROM w WHERE a > 8 UNION ALL SELECT doc_id, 'context' FROM w WHERE p + a > 202""")
 def length_gate(t):
-    n = F.size(F.split("text", " "))
-    return t("documents").select("doc_id", n.cast("long").alias("tokens"), (n <= 3328).alias("fits"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("newlines"), (F.octet_length("text") <= 1 << 20).alias("in_size"))
+    """Words as prompts, lines as answers: those over their limits."""
+    docs = t("documents").select("doc_id", F.split("text", " ").alias("p"), F.split("text", "\n").alias("a"))
+    found = rules.violations(docs, "doc_id", answers.limit_rules(F.col("p"), F.col("a"), context=202, prompts=200, answers=8))
+    return found.select(F.col("entity_id").cast("long").alias("doc_id"), F.col("rule_id").alias("rule"))
 
 
-@query("""SELECT doc_id, contains(text, '<|') AS reserved, len(regexp_extract_all(text, 'the')) = 1 AS one_marker, strpos(text, 'the')::BIGINT AS marker_at FROM documents""")
+@query("""WITH m AS (SELECT doc_id, octet_length(encode(text)) AS size, contains(text, 'password') OR contains(text, 'token') AS reserved, len(regexp_extract_all(text, 'the ')) AS b, len(regexp_extract_all(text, 'and ')) AS e,
+  strpos(text, 'the ') AS at_b, strpos(text, 'and ') AS at_e FROM documents)
+SELECT doc_id, 'size' AS rule FROM m WHERE size > 4000 UNION ALL SELECT doc_id, 'reserved' FROM m WHERE reserved UNION ALL SELECT doc_id, 'begin' FROM m WHERE b <> 1
+UNION ALL SELECT doc_id, 'end' FROM m WHERE e <> 1 UNION ALL SELECT doc_id, 'order' FROM m WHERE at_e > 0 AND at_b > at_e""")
 def marker_gate(t):
-    return t("documents").select("doc_id", F.contains("text", F.lit("<|")).alias("reserved"), (F.regexp_count("text", F.lit("the")) == 1).alias("one_marker"), F.instr("text", "the").cast("long").alias("marker_at"))
+    """Documents as model inputs, with two words for the marks of a target."""
+    found = rules.violations(t("documents"), "doc_id", answers.input_rules(F.col("text"), ("password", "token"), "the ", "and ", 4000))
+    return found.select(F.col("entity_id").cast("long").alias("doc_id"), F.col("rule_id").alias("rule"))
 
 
-@query("""WITH w AS (SELECT doc_id, doc_id // 16 AS batch, string_split(text, ' ') AS w FROM documents),
+@query("""WITH w AS (SELECT doc_id, doc_id // 16 AS batch, list_transform(string_split(text, ' '), lambda x: length(x)) AS w FROM documents),
 m AS (SELECT batch, max(len(w)) AS longest FROM w GROUP BY batch)
 SELECT doc_id, len(w)::BIGINT AS n_tokens, (longest - len(w))::BIGINT AS n_padding,
-  sha256(array_to_string(w, ' ') || repeat(' <pad>', (longest - len(w))::BIGINT)) AS padded_sha256 FROM w JOIN m USING (batch)""")
+  sha256(array_to_string(w, ' ') || repeat(' 0', (longest - len(w))::BIGINT)) AS padded_sha256 FROM w JOIN m USING (batch)""")
 def pad_and_mask(t):
-    """Words of each batch of sixteen documents filled up to the batch's longest, so that padding stays in bounds."""
-    words = t("documents").select("doc_id", F.expr("doc_id div 16").alias("batch"), F.split("text", " ").alias("w"))
+    """Word lengths of each batch of sixteen documents, filled up to the batch's longest."""
+    words = t("documents").select("doc_id", F.expr("doc_id div 16").alias("batch"), F.transform(F.split("text", " "), lambda x: F.char_length(x)).alias("w"))
     longest = words.groupBy("batch").agg(F.max(F.size("w")).alias("longest"))
-    padding = F.col("longest") - F.size("w")
-    padded = F.concat("w", F.array_repeat(F.lit("<pad>"), padding))
-    return words.join(longest, "batch").select("doc_id", F.size("w").cast("long").alias("n_tokens"), padding.cast("long").alias("n_padding"), F.sha2(F.array_join(padded, " "), 256).alias("padded_sha256"))
+    padded = F.transform(answers.padded(F.col("w"), F.col("longest"), 0), lambda x: x.cast("string"))
+    both = words.join(longest, "batch")
+    return both.select("doc_id", F.size("w").cast("long").alias("n_tokens"), (F.col("longest") - F.size("w")).cast("long").alias("n_padding"), F.sha2(F.array_join(padded, " "), 256).alias("padded_sha256"))
 
 
 @query("""WITH a AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 2 = 1)

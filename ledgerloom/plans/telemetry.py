@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import answers, ordered, runs
+from ..operators import answers, ordered, packets, rules, runs
 from .audit import query
 
 
@@ -74,16 +74,15 @@ def consecutive_below(t):
     return ordered.runs_below(t("events"), ["user_id"], list(ORDER), F.col("value") < 20).where("limit").select("event_id", "user_id", "below_count")
 
 
-@query(f"""WITH {_UPDATES} SELECT user_id, sum(cs)::BIGINT AS total_cs, (sum(cs) FILTER (WHERE event_type = 'click'))::BIGINT AS click_cs,
-  (sum(cs) FILTER (WHERE value < 10))::BIGINT AS failed_cs FROM u GROUP BY user_id""")
+@query(f"""WITH {_UPDATES} SELECT user_id, sum(cs)::BIGINT AS total, (sum(cs) FILTER (WHERE event_type = 'click'))::BIGINT AS in_phase,
+  (sum(cs) FILTER (WHERE value < 10))::BIGINT AS failed FROM u GROUP BY user_id""")
 def ledger_totals(t):
-    part = lambda c: F.sum(F.when(c, F.col("cs")))
-    return _updates(t).groupBy("user_id").agg(F.sum("cs").alias("total_cs"), part(F.col("event_type") == "click").alias("click_cs"), part(F.col("value") < 10).alias("failed_cs"))
+    return runs.ledger_seconds(_updates(t), ["user_id"], "cs", F.col("event_type") == "click", F.col("value") < 10)
 
 
-@query(f"WITH {_UPDATES} SELECT event_type AS stage, sum(cs)::BIGINT AS cs, count(*) AS calls, count(*) FILTER (WHERE value < 10) AS failed_calls FROM u GROUP BY event_type")
+@query(f"WITH {_UPDATES} SELECT event_type AS stage, sum(cs)::BIGINT AS seconds, count(*) AS calls, count(*) FILTER (WHERE value < 10) AS failed_calls FROM u GROUP BY event_type")
 def stage_accounting(t):
-    return _updates(t).groupBy(F.col("event_type").alias("stage")).agg(F.sum("cs").alias("cs"), F.count("*").alias("calls"), F.count_if(F.col("value") < 10).alias("failed_calls"))
+    return runs.stage_totals(_updates(t), "event_type", "cs", F.col("value") < 10)
 
 
 @query("""WITH e AS (SELECT user_id, list(epoch_us(ts) ORDER BY ts, event_id) AS us FROM events GROUP BY user_id)
@@ -155,10 +154,23 @@ def omitted_gaps(t):
     return ordered.gaps(_ranges(t).withColumn("total", F.lit(150).cast("long")), ["l_orderkey"], "a", "b", "total")
 
 
-@query(f"WITH {_RANGES} SELECT l_orderkey, count(*) AS marked, min(a)::BIGINT AS first_byte, max(b)::BIGINT AS last_byte FROM r WHERE a >= 20 AND b <= 70 AND a < b GROUP BY l_orderkey")
+@query(f"""WITH {_RANGES}, p AS (SELECT l_orderkey, list({{'a': a, 'b': b}} ORDER BY a, b) AS s FROM r GROUP BY l_orderkey),
+i AS (SELECT *, list_filter(s, lambda x: x.a >= 20 AND x.a < x.b AND x.b <= 70) AS n FROM p), k AS (
+  SELECT l_orderkey::VARCHAR AS packet_id, len(list_filter(s, lambda x: NOT (x.a >= 0 AND x.a < x.b AND x.b <= 100))) > 0 AS bad_spans,
+    len(list_filter(generate_series(1, len(s) - 1), lambda j: s[j].b > s[j + 1].a)) > 0 AS bad_order,
+    NOT (len(n) > 0 AND coalesce(n[1].a = 20, false) AND coalesce(n[len(n)].b = 70, false) AND len(list_filter(generate_series(1, len(n) - 1), lambda j: n[j].b <> n[j + 1].a)) = 0) AS bad_target,
+    l_orderkey % 5 = 0 AS bad_kind FROM i)
+SELECT packet_id, 'spans' AS rule FROM k WHERE bad_spans UNION ALL SELECT packet_id, 'order' FROM k WHERE bad_order UNION ALL SELECT packet_id, 'target' FROM k WHERE bad_target
+UNION ALL SELECT packet_id, 'partition' FROM k WHERE bad_kind""")
 def target_containment(t):
-    inside = _ranges(t).where("a >= 20 and b <= 70 and a < b")
-    return inside.groupBy("l_orderkey").agg(F.count("*").alias("marked"), F.min("a").alias("first_byte"), F.max("b").alias("last_byte"))
+    """The ranges of each order as a selection with a target of 20 to 70 in a source of 100 bytes."""
+    spans = F.array_sort(F.collect_list(F.struct("a", "b", F.lit("text").alias("kind"))))
+    s = _ranges(t).groupBy("l_orderkey").agg(spans.alias("spans")).select(
+        F.col("l_orderkey").cast("string").alias("packet_id"), F.lit("a/b").alias("source_path"), F.lit("h").alias("source_sha256"), F.lit("h").alias("sha256"), F.lit(100).cast("long").alias("length"),
+        F.when(F.col("l_orderkey") % 5 == 0, "odd").otherwise("training").alias("split"), F.lit("yes").alias("boundary_review"), F.lit("me").alias("reviewer"), "spans",
+        F.struct(F.lit(20).cast("long").alias("a"), F.lit(70).cast("long").alias("b")).alias("target"),
+    )
+    return rules.violations(s, "packet_id", packets.selection_rules()).select(F.col("entity_id").alias("packet_id"), F.col("rule_id").alias("rule"))
 
 
 @query(f"""WITH {_UPDATES}, c AS (SELECT event_id, user_id, sum(cs) OVER ({_W} ROWS UNBOUNDED PRECEDING)::BIGINT AS charged FROM u) SELECT event_id, user_id, charged, charged > 100000 AS over_budget FROM c""")
@@ -166,59 +178,87 @@ def budget_charges(t):
     return ordered.charges(_updates(t), ["user_id"], list(ORDER), F.col("cs"), 100000).select("event_id", "user_id", "charged", "over_budget")
 
 
-@query("""SELECT event_type, count(*) AS n_events, count(*) FILTER (WHERE value IS NOT NULL AND isfinite(value) AND value >= 0 AND event_id >= 0) AS n_valid,
-  count(*) FILTER (WHERE regexp_matches(props, '^\\{"k": ?[0-9]+\\}$')) AS n_counts FROM events GROUP BY event_type""".replace("\\\\", "\\"))
+@query("""WITH u AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id END AS step, event_id % 97 AS n, event_id % 101 AS s, CASE WHEN event_id % 13 = 0 THEN 'nan'::DOUBLE ELSE value - 1 END AS sec,
+  CASE event_type WHEN 'click' THEN 'host_wall' WHEN 'view' THEN 'device_events' WHEN 'error' THEN 'guess' ELSE 'synchronized_wall' END AS timing FROM events)
+SELECT event_id::VARCHAR AS entity_id, 'count_global_step' AS rule_id FROM u WHERE step IS NULL UNION ALL SELECT event_id::VARCHAR, 'supervised' FROM u WHERE s > n
+UNION ALL SELECT event_id::VARCHAR, 'seconds' FROM u WHERE isnan(sec) OR sec < 0 UNION ALL SELECT event_id::VARCHAR, 'timing' FROM u WHERE timing = 'guess'""")
 def telemetry_validity(t):
-    from ..functions.text import finite
+    """Events as updates, some of them spoilt: every rule that one breaks."""
+    c = F.col
+    timing = F.when(c("event_type") == "click", "host_wall").when(c("event_type") == "view", "device_events").when(c("event_type") == "error", "guess").otherwise("synchronized_wall")
+    updates = t("events").select(
+        "event_id", F.when(c("event_id") % 11 != 0, c("event_id")).alias("global_step"), c("event_id").alias("sample_position"), (c("event_id") % 97).alias("nonpadding_tokens"), (c("event_id") % 101).alias("supervised_tokens"),
+        F.when(c("event_id") % 13 == 0, float("nan")).otherwise(c("value") - 1).alias("full_loop_seconds"), F.lit(None).cast("double").alias("compute_seconds"), timing.alias("compute_timing"),
+    )
+    return rules.violations(updates, "event_id", runs.update_rules()).select("entity_id", "rule_id")
+
+
+_STATES = "CASE event_type WHEN 'view' THEN 'READY' WHEN 'click' THEN 'UPDATING' WHEN 'signup' THEN 'BOUNDARY' WHEN 'purchase' THEN 'CLEAN_STOP' ELSE 'TRAINED' END"
+
 
-    ok = finite(F.col("value")) & (F.col("value") >= 0) & (F.col("event_id") >= 0)
-    return t("events").groupBy("event_type").agg(F.count("*").alias("n_events"), F.count_if(ok).alias("n_valid"), F.count_if(F.col("props").rlike('^\\{"k": ?[0-9]+\\}$')).alias("n_counts"))
+def _journal(t):
+    return t("events").select(F.col("user_id").alias("run"), F.col("event_id").alias("position"), F.expr(_STATES).alias("status"), F.floor("value").cast("long").alias("completed"))
 
 
-@query(f"""WITH l AS (SELECT user_id, max_by(event_type, row(ts, event_id)) AS state, count(*) AS seen, max(event_id) AS last_id FROM events GROUP BY user_id)
-SELECT user_id, state, seen, last_id FROM l""")
+@query(f"WITH j AS (SELECT user_id AS run, max_by({_STATES}, event_id) AS status FROM events GROUP BY user_id) SELECT run, status, status = 'CLEAN_STOP' AS may_resume FROM j")
 def last_states(t):
-    last = F.max_by("event_type", F.struct("ts", "event_id"))
-    return t("events").groupBy("user_id").agg(last.alias("state"), F.count("*").alias("seen"), F.max("event_id").alias("last_id"))
+    return runs.journal_states(_journal(t))
 
 
-@query("""SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS answers, count(*) FILTER (WHERE role = 'user') AS requests,
-  count(*) FILTER (WHERE role = 'assistant') < count(*) FILTER (WHERE role = 'user') AS pending FROM conversations GROUP BY conv_id""")
-def session_progress(t):
-    n = lambda r: F.count_if(F.col("role") == r)
-    return t("conversations").groupBy("conv_id").agg(n("assistant").alias("answers"), n("user").alias("requests"), (n("assistant") < n("user")).alias("pending"))
+@query(f"""WITH j AS (SELECT user_id AS run, event_id AS position, {_STATES} AS status, floor(value) AS completed, lag({_STATES}) OVER w AS was, lag(floor(value)) OVER w AS had FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+f AS (SELECT * FROM (VALUES ('READY', 'UPDATING'), ('READY', 'CLEAN_STOP'), ('UPDATING', 'BOUNDARY'), ('BOUNDARY', 'UPDATING'), ('BOUNDARY', 'CLEAN_STOP'), ('BOUNDARY', 'TRAINED'), ('CLEAN_STOP', 'READY')) v(was, status))
+SELECT run, position, 'not_begun' AS rule FROM j WHERE was IS NULL AND status <> 'READY'
+UNION ALL SELECT run, position, 'transition' FROM j WHERE was IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f WHERE f.was = j.was AND f.status = j.status)
+UNION ALL SELECT run, position, 'fell_back' FROM j WHERE completed < had""")
+def journal_transitions(t):
+    return runs.journal_problems(_journal(t))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations)
-SELECT conv_id, turn, CASE WHEN next_role = 'assistant' THEN 'COMPLETE' WHEN next_role IS NULL THEN 'FAILED' ELSE 'PENDING' END AS status FROM c WHERE role = 'user'""")
+@query("""WITH r AS (SELECT conv_id, turn, role FROM conversations), e AS (SELECT conv_id, max(turn) AS active, CASE conv_id % 4 WHEN 0 THEN 'TIME_LIMIT' WHEN 1 THEN 'USER_STOP' WHEN 2 THEN 'CRASH' END AS reason FROM conversations GROUP BY conv_id)
+SELECT r.conv_id, turn, CASE WHEN role = 'assistant' THEN 'COMPLETE' WHEN turn = active AND reason = 'TIME_LIMIT' THEN 'TIMEOUT' WHEN turn = active AND reason = 'CRASH' THEN 'FAILED' ELSE 'PENDING' END AS status
+FROM r JOIN e USING (conv_id)""")
 def failure_attribution(t):
-    """Only a request without anything after it failed; one that others overtook is still pending."""
-    from pyspark.sql import Window
-
-    after = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    status = F.when(F.col("after") == "assistant", "COMPLETE").when(F.col("after").isNull(), "FAILED").otherwise("PENDING")
-    return t("conversations").withColumn("after", after).where("role = 'user'").select("conv_id", "turn", status.alias("status"))
+    """Turns as requests, those of the assistant as answered ones; sessions end at their last turn."""
+    turns = t("conversations")
+    ends = turns.groupBy(F.col("conv_id").alias("session")).agg(F.max("turn").alias("active_index"))
+    reason = F.when(F.col("session") % 4 == 0, "TIME_LIMIT").when(F.col("session") % 4 == 1, "USER_STOP").when(F.col("session") % 4 == 2, "CRASH")
+    requests = turns.select(F.col("conv_id").alias("session"), F.col("turn").alias("index"))
+    captured = turns.where("role = 'assistant'").select(F.col("conv_id").alias("session"), F.col("turn").alias("index"), F.lit("COMPLETE").alias("status"))
+    found = runs.attributed(requests, captured, ends.withColumn("reason", reason))
+    return found.select(F.col("session").alias("conv_id"), F.col("index").alias("turn"), "status")
+
+
+@query("""WITH s AS (SELECT conv_id, count(*) AS requests, count(*) FILTER (WHERE role = 'assistant') AS answers FROM conversations GROUP BY conv_id)
+SELECT conv_id, requests, answers, requests - answers AS pending, 0::BIGINT AS failed FROM s""")
+def session_progress(t):
+    """Answers of each session by the status that its requests get."""
+    turns = t("conversations")
+    requests = turns.select(F.col("conv_id").alias("session"), F.col("turn").alias("index"))
+    captured = turns.where("role = 'assistant'").select(F.col("conv_id").alias("session"), F.col("turn").alias("index"), F.lit("COMPLETE").alias("status"))
+    ends = turns.select(F.col("conv_id").alias("session")).distinct().select("session", F.lit(0).alias("active_index"), F.lit("USER_STOP").alias("reason"))
+    s = runs.attributed(requests, captured, ends).groupBy(F.col("session").alias("conv_id"))
+    is_ = lambda x: F.count_if(F.col("status") == x)
+    return s.agg(F.count("*").alias("requests"), is_("COMPLETE").alias("answers"), is_("PENDING").alias("pending"), answers.failures(F.when(F.col("status") == "PENDING", "COMPLETE").otherwise(F.col("status"))).alias("failed"))
 
 
-@query("""WITH s AS (SELECT s_nationkey, sum(CAST(s_acctbal AS DECIMAL(18, 2))) AS held FROM supplier GROUP BY s_nationkey), c AS (SELECT c_nationkey, sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS owed FROM customer GROUP BY c_nationkey)
-SELECT n_name, r_name, held, owed FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN s ON s_nationkey = n_nationkey LEFT JOIN c ON c_nationkey = n_nationkey""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey, c_nationkey, n_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
 def publication_chain(t):
-    """A chain of equi joins over keys, aggregated before it is joined."""
-    held = t("supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.sum(F.col("s_acctbal").cast("decimal(18,2)")).alias("held"))
-    owed = t("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).alias("owed"))
-    nation = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return nation.join(held, "n_nationkey", "left").join(owed, "n_nationkey", "left").select("n_name", "r_name", "held", "owed")
+    """Lines, their orders, customers and nations, each bound to the next by its key."""
+    key = lambda df, *c: df.select(*c)
+    found = runs.chain([
+        (key(t("lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "", "l_orderkey"), (key(t("orders"), "o_orderkey", "o_custkey"), "o_orderkey", "o_custkey"),
+        (key(t("customer"), "c_custkey", "c_nationkey"), "c_custkey", "c_nationkey"), (key(t("nation"), "n_nationkey", "n_name"), "n_nationkey", "n_name"),
+    ])
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_custkey", "c_nationkey", "n_name")
 
 
-@query("""WITH e AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id % 2 = 0 GROUP BY doc_id), a AS (SELECT source, lang, count(*) AS n FROM documents d JOIN e USING (doc_id) GROUP BY ALL),
-b AS (SELECT source, lang, count(*) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL)
+@query("""WITH a AS (SELECT lang, quality, count(*) AS n FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL), b AS (SELECT lang, toxic AS quality, count(*) AS n FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL)
 SELECT *, 'before' AS side, 1::BIGINT AS copies FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'after', 1 FROM (FROM b EXCEPT FROM a)""")
 def state_diff(t):
-    """Rows by which two aggregated states differ, as multisets."""
-    d = t("documents").select("doc_id", "source", "lang")
-    even = d.join(t("labels").where("doc_id % 2 = 0").select("doc_id").distinct(), "doc_id", "left_semi")
-    count = lambda x: x.groupBy("source", "lang").agg(F.count("*").alias("n"))
-    return runs.table_diff(count(even).withColumnRenamed("n", "size"), count(d.where("doc_id % 3 = 0")).withColumnRenamed("n", "size")).select("source", "lang", F.col("size").alias("n"), "side", F.col("n").alias("copies"))
+    """Rows by which two aggregated states of all labelled documents differ, as multisets."""
+    both = t("documents").select("doc_id", "lang").join(t("labels"), "doc_id")
+    count = lambda x: both.groupBy("lang", F.col(x).alias("quality")).agg(F.count("*").alias("size"))
+    return runs.table_diff(count("quality"), count("toxic")).select("lang", "quality", F.col("size").alias("n"), "side", F.col("n").alias("copies"))
 
 
 @query(f"""WITH f AS (SELECT *, value < 20 AS low, sum(CASE WHEN value < 20 THEN 0 ELSE 1 END) OVER ({_W}) AS island,
@@ -248,16 +288,12 @@ def runtime_identity(t):
     return side(0, "a").join(side(1, "b"), "user_id").select("user_id", state.alias("state"), F.array_join(changed, ",").alias("changed"))
 
 
-@query("""WITH r AS (SELECT role, row_number() OVER (ORDER BY role) AS place FROM (SELECT DISTINCT role FROM conversations)), p AS (
-  SELECT conv_id, turn, c.role, place, lag(place) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations c JOIN r USING (role))
-SELECT conv_id, turn, role FROM p WHERE before >= place""")
+@query("""WITH p AS (SELECT conv_id, turn, role, CASE role WHEN 'assistant' THEN 1 WHEN 'system' THEN 2 WHEN 'user' THEN 3 END AS place FROM conversations),
+b AS (SELECT *, lag(place) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM p) SELECT conv_id, turn, role FROM b WHERE place IS NULL OR before >= place""")
 def order_preserved(t):
-    """Turns whose role does not stand after the last one's in the roles' alphabetical order."""
-    from pyspark.sql import Window
-
+    """Turns whose role does not stand after the last one's in a reference order."""
     turns = t("conversations").select("conv_id", "turn", "role")
-    # A handful of roles: one window over their distinct names.
-    reference = turns.select("role").distinct().withColumn("place", F.row_number().over(Window.orderBy("role")))
+    reference = turns.sparkSession.createDataFrame([("assistant", 1), ("system", 2), ("user", 3)], "role string, place int")
     return runs.out_of_order(turns, ["conv_id"], ["turn"], reference, "role", "place").select("conv_id", "turn", "role")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import parsed
-from ..operators.rules import Rule
+from ..operators.rules import Rule, duplicates, violations
 
 #: Largest source, in bytes.
 SOURCE_LIMIT = 100 << 20
@@ -28,15 +28,52 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return documents(spark, path).select("path", "sha256", F.col("length").alias("bytes"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, position, value): the lines of text files, numbered from zero in each file.
+
+    Files are read in splits. Lines are counted by split, and a line is numbered within its split, so
+    that a large file is neither one row nor one task's.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    counts = lines.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1
+    both = lines.withColumn("inside", inside).join(counts.select("path", "block", before.alias("before")), ["path", "block"])
+    return both.select("path", (F.col("before") + F.col("inside")).cast("long").alias("position"), "value")
+
+
 def json_lines(spark: SparkSession, path: str, form: str = "row") -> DataFrame:
-    """(path, position, value, ok, error, canonical, sha256): every line, strictly parsed.
+    """(path, position, value, ok, error, canonical, sha256): every line of numbered_lines(), strictly parsed."""
+    return numbered_lines(spark, path).withColumn("p", parsed(F.col("value"), form)).select("path", "position", "value", "p.*")
+
+
+def manifest_problems(lines: DataFrame, files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(path, rule) where files differ from their manifest (path, sha256, rows).
+
+    lines: json_lines(); files: inventory(). A file that is missing, has another hash or number of rows, or a
+    line that is no strict JSON breaks a rule; so does a file that no manifest names.
+    """
+    counted = lines.groupBy("path").agg(F.count("*").alias("found"), F.count_if(~F.col("ok")).alias("bad"))
+    both = manifest.select("path", F.col("sha256").alias("want"), "rows").join(files.select("path", F.col("sha256").alias("have"), F.lit(True).alias("there")), "path", "full_outer").join(counted, "path", "left")
+    c = F.col
+    broken = F.array_compact(F.array(
+        F.when(c("there").isNull(), "missing"), F.when(c("rows").isNull(), "not_in_manifest"), F.when(c("want") != c("have"), "hash_differs"),
+        F.when(c("there") & (c("rows") != F.coalesce("found", F.lit(0))), "rows_differ"), F.when(c("bad") > 0, "not_json"),
+    ))
+    return both.select("path", F.explode(broken).alias("rule"))
 
-    position counts the lines of a file from zero; a file is one task's, as its order counts.
+
+def framed_lines(chunks: DataFrame, key: str = "path", position: str = "position", column: str = "value", limit: int = 64 << 10) -> DataFrame:
+    """(key, line, value) of text that arrives in chunks: lines end at newlines, in the order of the chunks.
+
+    What stands open at the end is the last line. A line longer than `limit` characters is cut into pieces of
+    that size, each a line, so that no row is larger; empty lines stay. A key's chunks are one task's.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", "\\r\\n|\\n|\\r$", "\n"), "\n")).alias("position", "value"))
-    last = F.max("position").over(Window.partitionBy("path"))
-    kept = lines.withColumn("_last", last).where((F.col("position") < F.col("_last")) | (F.col("value") != "")).drop("_last")
-    return kept.withColumn("p", parsed(F.col("value"), form)).select("path", "position", "value", "p.*")
+    whole = chunks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, column))), lambda x: x[column]), "").alias("_all"))
+    lines = F.split("_all", "\n")
+    kept = F.when(F.get(lines, F.size(lines) - 1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(x) - 1) / limit), F.lit(0)).cast("int")), lambda i: F.rtrim(F.substring(x, i * limit + 1, F.lit(limit)), F.lit("\r")))
+    return whole.select(key, F.posexplode(F.flatten(F.transform(kept, cut))).alias("line", "value"))
 
 
 # Forms of the index that are kept.
@@ -65,6 +102,18 @@ def ledger_rules() -> list[Rule]:
     ]
 
 
+def ledger_problems(ledger: DataFrame, execution: str = "execution_id") -> DataFrame:
+    """(execution, rule): ledger_rules() that rows break, and executions that stand there twice."""
+    broken = violations(ledger, execution, ledger_rules()).select(F.col("entity_id").alias(execution), F.col("rule_id").alias("rule"))
+    return broken.unionByName(duplicates(ledger, execution).select(F.col(execution).cast("string").alias(execution), F.lit("execution_twice").alias("rule")))
+
+
+def read_until_broken(lines: DataFrame, schema: str, key: str = "path", position: str = "position", column: str = "value") -> DataFrame:
+    """(key, position, row) of the JSON lines of a file before its first broken one."""
+    bad = F.min(F.when(F.try_parse_json(F.col(column)).isNull(), F.col(position))).over(Window.partitionBy(key))
+    return lines.withColumn("_bad", bad).where(F.col("_bad").isNull() | (F.col(position) < F.col("_bad"))).select(key, position, F.from_json(column, schema).alias("row"))
+
+
 def tolerant_tail(lines: DataFrame, schema: str, key: str = "path", position: str = "position", column: str = "value") -> DataFrame:
     """Rows of JSON lines of which only the last of a file may be broken: `row` and `broken_before_end`."""
     read = F.from_json(column, schema)
@@ -73,13 +122,21 @@ def tolerant_tail(lines: DataFrame, schema: str, key: str = "path", position: st
     return lines.select(key, position, read.alias("row"), ok.alias("ok"), (F.col(position) == last).alias("is_last")).where(F.col("ok") | ~F.col("is_last")).select(key, position, "row", (~F.col("ok")).alias("broken_before_end"))
 
 
-def server_events(lines: DataFrame, schema: str, column: str = "value", line_limit: int = 1 << 20) -> DataFrame:
-    """Payloads of `data: ` lines before the end mark: (key, position, event, too_long)."""
+def server_events(lines: DataFrame, schema: str, column: str = "value", line_limit: int = 1 << 20, stream_limit: int = 16 << 20, token_limit: int | None = None) -> DataFrame:
+    """Payloads of `data: ` lines before the end mark: (path, position, event, too_long).
+
+    too_long: the line is over line_limit bytes, the stream up to it over stream_limit, or, with a
+    token_limit, more payloads came than that.
+    """
     is_data = F.col(column).startswith("data: ")
     done = F.min(F.when(F.col(column) == "data: [DONE]", F.col("position"))).over(Window.partitionBy("path"))
-    told = lines.withColumn("_done", done).where(is_data & (F.col("_done").isNull() | (F.col("position") < F.col("_done"))))
+    so_far = Window.partitionBy("path").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    size, place = F.octet_length(column), F.sum(is_data.cast("long")).over(so_far)
+    told = lines.withColumn("_done", done).withColumn("_bytes", F.sum(size + 1).over(so_far)).withColumn("_n", place)
+    told = told.where(is_data & (F.col("_done").isNull() | (F.col("position") < F.col("_done"))))
     body = F.substring(F.col(column), F.lit(7), F.length(column))
-    return told.select("path", "position", F.from_json(body, schema).alias("event"), (F.octet_length(column) > line_limit).alias("too_long"))
+    over = (size > line_limit) | (F.col("_bytes") > stream_limit)
+    return told.select("path", "position", F.from_json(body, schema).alias("event"), (over if token_limit is None else over | (F.col("_n") > token_limit)).alias("too_long"))
 
 
 def url_allowed(url: Column, hosts: tuple[str, ...]) -> Column:
@@ -93,7 +150,8 @@ def accession_ok(accession: Column) -> Column:
     return F.coalesce(accession.rlike("^[0-9]{10}-[0-9]{2}-[0-9]{6}$"), F.lit(False))
 
 
-# File names that one system reserves, and marks of a failure page.
+# The form of portable names, file names that one system reserves, and marks of a failure page.
+PORTABLE = "^[a-z0-9][a-z0-9.-]{0,219}$"
 RESERVED = ("con", "prn", "aux", "nul", *(f"{x}{i}" for x in ("com", "lpt") for i in range(1, 10)))
 FAILURES = ("file unavailable", "undeclared automated tool", "request rate threshold exceeded")
 
@@ -101,7 +159,7 @@ FAILURES = ("file unavailable", "undeclared automated tool", "request rate thres
 def portable_name(name: Column) -> Column:
     """True for lower-case file names of up to 220 characters that every system takes."""
     stem = F.regexp_extract(name, "^([^.]*)", 1)
-    return F.coalesce(name.rlike("^[a-z0-9][a-z0-9.-]{0,219}$") & ~F.contains(name, F.lit("..")) & ~name.endswith(".") & ~stem.isin(*RESERVED), F.lit(False))
+    return F.coalesce(name.rlike(PORTABLE) & ~F.contains(name, F.lit("..")) & ~name.endswith(".") & ~stem.isin(*RESERVED), F.lit(False))
 
 
 def relative_path(path: Column) -> Column:
