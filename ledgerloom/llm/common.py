@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -90,8 +92,16 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
 
 
+def _give_back() -> None:
+    """Returns memory that a task before has freed to the system; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, max_bytes: int = 16 << 20):
     """Cuts Arrow batches so that each holds about max_bytes at most (a single row may be longer)."""
+    _give_back()
     for batch in batches:
         rows = batch.num_rows
         if batch.nbytes <= max_bytes or rows <= 1:

@@ -230,7 +230,7 @@ APART = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 WHOLE = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", cached: int = 250_000) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", cached: int = 120_000) -> DataFrame:
     """One row per row of docs: id, token_ids, n_tokens, n_fallback (byte pieces) and round_trip.
 
     round_trip: decoding gives the text back. It is false only for texts that hold the mark U+2581
