@@ -90,8 +90,12 @@ def year_mismatch(selections: DataFrame, expected: list[int]) -> DataFrame:
     return rows.where("found <> expected")
 
 
-def evidence_problems(evidence: DataFrame) -> DataFrame:
-    """Ids whose byte range (a, b) of content does not hash to slice_sha256."""
+def evidence_problems(evidence: DataFrame, frozen: bool = False) -> DataFrame:
+    """Ids whose byte range (a, b) of content does not hash to slice_sha256; frozen evidence, whose sources need not
+    be there any more, only has to name a range and a hash."""
+    if frozen:
+        told = (F.col("a") >= 0) & (F.col("a") < F.col("b")) & F.col("slice_sha256").rlike("^[0-9a-f]{64}$")
+        return evidence.where(~F.coalesce(told, F.lit(False))).select("id")
     held = F.substring(F.col("content"), F.col("a").cast("int") + 1, (F.col("b") - F.col("a")).cast("int"))
     ok = (F.col("a") >= 0) & (F.col("a") < F.col("b")) & (F.col("b") <= F.octet_length("content")) & (F.sha2(held, 256) == F.col("slice_sha256"))
     return evidence.where(~F.coalesce(ok, F.lit(False))).select("id")

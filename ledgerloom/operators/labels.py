@@ -6,6 +6,7 @@ and both follow one table of rules for fields, so that they find the same faults
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -31,40 +32,72 @@ FAULTS = "array<struct<path:string,rule:string>>"
 QUOTES = "array<struct<path:string,quote:string>>"
 
 
-def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+class Sql(str):
+    """A condition in SQL, with the operators that the table of rules uses."""
+
+    def __invert__(self) -> Sql:
+        return Sql(f"(NOT {self})")
+
+    def __and__(self, other: str) -> Sql:
+        return Sql(f"({self} AND {other})")
+
+
+_fresh = map("v{}".format, itertools.count())
+
+
+def _let(x: str, f: Callable[[str], str]) -> str:
     """f of x, which stands in the expression once."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
+    name = next(_fresh)
+    return f"get(transform(array({x}), {name} -> {f(name)}), 0)"
 
 
-def _none(kind: str) -> Column:
-    return F.array().cast(kind)
+def _none(kind: str) -> str:
+    return f"cast(array() as {kind})"
 
 
-def _fault(at: Column, rule: str | Column) -> Column:
-    return F.array(F.struct(at.alias("path"), (F.lit(rule) if isinstance(rule, str) else rule).alias("rule")))
+def _fault(at: str, rule: str) -> str:
+    return f"array(named_struct('path', {at}, 'rule', {rule}))"
 
 
-def _members(v: Column) -> Column:
+def _members(v: str) -> str:
     """The members of a JSON object, null for anything else."""
-    return F.try_variant_get(v, "$", "map<string,variant>")
+    return f"try_variant_get({v}, '$', 'map<string,variant>')"
 
 
-def _items(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
+def _items(v: str) -> str:
+    return f"try_variant_get({v}, '$', 'array<variant>')"
 
 
-def _string(v: Column) -> Column:
+def _string(v: str) -> str:
     """A JSON string, null for anything else."""
-    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return f"if(schema_of_variant({v}) = 'STRING', try_variant_get({v}, '$', 'string'), null)"
+
+
+def _is_null(v: str) -> str:
+    return f"is_variant_null({v})"
+
 
+def _yes(condition: str) -> Sql:
+    return Sql(f"coalesce({condition}, false)")
 
-def _is_null(v: Column) -> Column:
-    return F.is_variant_null(v)
 
+def _told_names(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
 
-def _wrong_keys(members: Column, names) -> Column:
-    """Rule that an object with these members, and no others, does not break."""
-    return F.when(members.isNull(), "not_an_object").when(F.array_sort(F.map_keys(members)) != F.array(*map(F.lit, sorted(names))), "keys")
+
+def _inside(at: str, name: str) -> str:
+    return f"concat({at}, '{name}')"
+
+
+def _sound_keys(members: str, names, at: str, then: str) -> str:
+    """`then` for an object with just these members, else what is wrong with it."""
+    return f"CASE WHEN {members} IS NULL THEN {_fault(at, repr('not_an_object'))} WHEN array_sort(map_keys({members})) <> array({_told_names(sorted(names))}) THEN {_fault(at, repr('keys'))} ELSE {then} END"
+
+
+def _of(column: Column, f: Callable[[str], str]) -> Column:
+    """f, which gives SQL over a name, of a column. One parsed expression instead of thousands of calls."""
+    name = next(_fresh)
+    return F.get(F.call_function("transform", F.array(column), F.expr(f"{name} -> {f(name)}")), F.lit(0))
 
 
 def _unlike(node: Any, names) -> str | None:
@@ -82,10 +115,10 @@ class Text:
         if not isinstance(node, str):
             yield at, "not_text"
 
-    def told(self, v: Column, at: Column) -> Column:
-        return F.when(_string(v).isNull(), _fault(at, "not_text")).otherwise(_none(FAULTS))
+    def told(self, v: str, at: str) -> str:
+        return f"CASE WHEN {_string(v)} IS NULL THEN {_fault(at, repr('not_text'))} ELSE {_none(FAULTS)} END"
 
-    def quotes(self, v: Column, at: Column) -> Column:
+    def quotes(self, v: str, at: str) -> str:
         return _none(QUOTES)
 
 
@@ -99,8 +132,8 @@ class Choice(Text):
         if node not in self.names:
             yield at, "unknown_value"
 
-    def told(self, v: Column, at: Column) -> Column:
-        return F.when(~F.coalesce(_string(v).isin(*self.names), F.lit(False)), _fault(at, "unknown_value")).otherwise(_none(FAULTS))
+    def told(self, v: str, at: str) -> str:
+        return f"CASE WHEN {_yes(f'{_string(v)} IN ({_told_names(self.names)})')} THEN {_none(FAULTS)} ELSE {_fault(at, repr('unknown_value'))} END"
 
 
 class Record:
@@ -117,15 +150,13 @@ class Record:
             for name, f in self.fields.items():
                 yield from f.why(node[name], f"{at}.{name}")
 
-    def told(self, v: Column, at: Column) -> Column:
-        def inside(m: Column) -> Column:
-            wrong = _wrong_keys(m, self.fields)
-            return F.when(wrong.isNotNull(), _fault(at, wrong)).otherwise(F.concat(*[f.told(m[name], F.concat(at, F.lit(f".{name}"))) for name, f in self.fields.items()]))
-
-        return _let(_members(v), inside)
+    def told(self, v: str, at: str) -> str:
+        each = lambda m: ", ".join(f.told(f"{m}['{name}']", _inside(at, f".{name}")) for name, f in self.fields.items())
+        return _let(_members(v), lambda m: _sound_keys(m, self.fields, at, f"concat({each(m)})"))
 
-    def quotes(self, v: Column, at: Column) -> Column:
-        return _let(_members(v), lambda m: F.concat(*[f.quotes(m[name], F.concat(at, F.lit(f".{name}"))) for name, f in self.fields.items()]))
+    def quotes(self, v: str, at: str) -> str:
+        each = lambda m: ", ".join(f.quotes(f"{m}['{name}']", _inside(at, f".{name}")) for name, f in self.fields.items())
+        return _let(_members(v), lambda m: f"concat({each(m)})")
 
 
 class Filled:
@@ -142,13 +173,14 @@ class Filled:
             for i, x in enumerate(node):
                 yield from self.of.why(x, f"{at}[{i}]")
 
-    def _each(self, items: Column, at: Column, look) -> Column:
-        return F.flatten(F.transform(items, lambda x, i: look(x, F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))))
+    def _each(self, items: str, at: str, look: Callable[[str, str], str]) -> str:
+        x, i = next(_fresh), next(_fresh)
+        return f"flatten(transform({items}, ({x}, {i}) -> {look(x, f"concat({at}, '[', {i}, ']')")}))"
 
-    def told(self, v: Column, at: Column) -> Column:
-        return _let(_items(v), lambda a: F.when(F.coalesce(F.size(a), F.lit(0)) < 1, _fault(at, "not_a_filled_list")).otherwise(self._each(a, at, self.of.told)))
+    def told(self, v: str, at: str) -> str:
+        return _let(_items(v), lambda a: f"CASE WHEN coalesce(size({a}), 0) < 1 THEN {_fault(at, repr('not_a_filled_list'))} ELSE {self._each(a, at, self.of.told)} END")
 
-    def quotes(self, v: Column, at: Column) -> Column:
+    def quotes(self, v: str, at: str) -> str:
         return self._each(_items(v), at, self.of.quotes)
 
 
@@ -189,32 +221,30 @@ class Field:
         if value == "OTHER" and not raw:
             yield at, "other_without_wording"
 
-    def told(self, v: Column, at: Column) -> Column:
-        """Faults of a variant column, as array<struct<path,rule>>."""
+    def told(self, v: str, at: str) -> str:
+        """SQL of the faults of a variant, as array<struct<path,rule>>."""
 
-        def inside(m: Column) -> Column:
-            wrong, state, origin = _wrong_keys(m, PARTS), _string(m["availability"]), _string(m["origin"])
-            yes = lambda c: F.coalesce(c, F.lit(False))
-            empty = yes(F.size(_items(m["value"])) == 0) & yes(state == "NOT_APPLICABLE") & yes(origin == "DERIVED")
+        def inside(m: str) -> str:
+            value, raw, state, origin = (f"{m}['{p}']" for p in PARTS)
+            empty = _yes(f"size({_items(value)}) = 0") & _yes(f"{_string(state)} = 'NOT_APPLICABLE'") & _yes(f"{_string(origin)} = 'DERIVED'")
             view = SimpleNamespace(
-                known=yes(state.isin(*AVAILABILITY)), worded=_is_null(m["raw_text"]) | _string(m["raw_text"]).isNotNull(), present=yes(state == "PRESENT"),
-                filled=~(_is_null(m["value"]) & _is_null(m["origin"])), has_origin=yes(origin.isin(*ORIGINS)), rightly_empty=empty if self.may_be_empty else F.lit(False),
+                known=_yes(f"{_string(state)} IN ({_told_names(AVAILABILITY)})"), worded=Sql(f"({_is_null(raw)} OR {_string(raw)} IS NOT NULL)"), present=_yes(f"{_string(state)} = 'PRESENT'"),
+                filled=~Sql(f"({_is_null(value)} AND {_is_null(origin)})"), has_origin=_yes(f"{_string(origin)} IN ({_told_names(ORIGINS)})"), rightly_empty=empty if self.may_be_empty else Sql("false"),
             )
-            unworded = yes(_string(m["value"]) == "OTHER") & (F.coalesce(_string(m["raw_text"]), F.lit("")) == "")
-            found = F.when(wrong.isNotNull(), _fault(at, wrong))
-            for rule, holds in FIELD_TABLE:
-                found = found.when(holds(view), _fault(at, rule) if rule else _none(FAULTS))
-            return found.otherwise(F.concat(self.shape.told(m["value"], at), F.when(unworded, _fault(at, "other_without_wording")).otherwise(_none(FAULTS))))
+            rows = " ".join(f"WHEN {holds(view)} THEN {_fault(at, repr(rule)) if rule else _none(FAULTS)}" for rule, holds in FIELD_TABLE)
+            unworded = _yes(f"{_string(value)} = 'OTHER'") & f"coalesce({_string(raw)}, '') = ''"
+            after = f"concat({self.shape.told(value, at)}, CASE WHEN {unworded} THEN {_fault(at, repr('other_without_wording'))} ELSE {_none(FAULTS)} END)"
+            return _sound_keys(m, PARTS, at, f"CASE {rows} ELSE {after} END")
 
         return _let(_members(v), inside)
 
-    def quotes(self, v: Column, at: Column) -> Column:
-        """Wordings that are not empty, with their paths, of a variant column that holds a sound field."""
+    def quotes(self, v: str, at: str) -> str:
+        """SQL of the wordings that are not empty, with their paths, of a variant that holds a sound field."""
 
-        def inside(m: Column) -> Column:
-            raw = _string(m["raw_text"])
-            own = F.when(F.length(raw) > 0, F.array(F.struct(at.alias("path"), raw.alias("quote")))).otherwise(_none(QUOTES))
-            return F.concat(own, F.coalesce(self.shape.quotes(m["value"], F.concat(at, F.lit(".value"))), _none(QUOTES)))
+        def inside(m: str) -> str:
+            raw = _string(f"{m}['raw_text']")
+            own = f"CASE WHEN length({raw}) > 0 THEN array(named_struct('path', {at}, 'quote', {raw})) ELSE {_none(QUOTES)} END"
+            return f"concat({own}, coalesce({self.shape.quotes(f"{m}['value']", _inside(at, '.value'))}, {_none(QUOTES)}))"
 
         return _let(_members(v), inside)
 
@@ -253,7 +283,7 @@ class Across:
     rule: str
     needs: tuple[str, ...]
     why: Callable[[dict], bool]
-    told: Callable[[Callable[[str], Column]], Column]
+    told: Callable[[Callable[[str], str]], str]
 
 
 def _no_calendar_day(text: str) -> bool:
@@ -263,14 +293,14 @@ def _no_calendar_day(text: str) -> bool:
         return True
 
 
-def _odd_day(part: Callable[[str], Column]) -> Column:
-    day = _string(part("meeting_date")["value"])
-    return day.isNotNull() & (F.try_to_date(day, "yyyy-MM-dd").isNull() | ~day.rlike("^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}$"))
+def _odd_day(part: Callable[[str], str]) -> str:
+    day = _string(f"{part('meeting_date')}['value']")
+    return f"({day} IS NOT NULL AND (try_to_date({day}, 'yyyy-MM-dd') IS NULL OR NOT {day} RLIKE '^(?!0000)[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$'))"
 
 
-def _votes_differ(part: Callable[[str], Column]) -> Column:
-    silent = F.coalesce(_string(part("participation")["value"]) == "DID_NOT_VOTE", F.lit(False))
-    return silent != F.coalesce(F.size(_items(part("vote_components")["value"])) == 0, F.lit(False))
+def _votes_differ(part: Callable[[str], str]) -> str:
+    silent, votes = _string(f"{part('participation')}['value']"), _items(f"{part('vote_components')}['value']")
+    return f"({_yes(f"{silent} = 'DID_NOT_VOTE'")} <> {_yes(f'size({votes}) = 0')})"
 
 
 ACROSS = (
@@ -303,27 +333,20 @@ def parse_label(text: str | None) -> dict | None:
     return label if label is not None and next(problems(label), None) is None else None
 
 
-def faults_of(label: Column) -> Column:
-    """problems() of a variant column, as array<struct<path,rule>>."""
-
-    def of_fields(m: Column) -> Column:
-        wrong = _wrong_keys(m, CONTRACT)
-        each = F.create_map(*[x for name, f in CONTRACT.items() for x in (F.lit(name), f.told(m[name], F.lit(name)))])
+def _faults_of(label: str) -> str:
+    """SQL of problems() of a variant, as array<struct<path,rule>>."""
 
-        def across(found: Column) -> Column:
-            rows = [
-                F.when(F.lit(sum(1 for _ in x.needs)) == sum((F.size(found[n]) == 0).cast("int") for n in x.needs), F.when(x.told(lambda name: _members(m[name])), _fault(F.lit(x.at), x.rule)))
-                for x in ACROSS
-            ]
-            return F.concat(*[found[name] for name in CONTRACT], *[F.coalesce(r, _none(FAULTS)) for r in rows])
+    def of_fields(m: str) -> str:
+        each = ", ".join(f"'{name}', {f.told(f"{m}['{name}']", repr(name))}" for name, f in CONTRACT.items())
 
-        return F.when(wrong.isNotNull(), _fault(F.lit("fields"), wrong)).otherwise(_let(each, across))
+        def across(found: str) -> str:
+            sound = lambda x: " AND ".join(f"size({found}['{n}']) = 0" for n in x.needs)
+            rows = [f"CASE WHEN {sound(x)} THEN CASE WHEN {x.told(lambda n: _members(f"{m}['{n}']"))} THEN {_fault(repr(x.at), repr(x.rule))} ELSE {_none(FAULTS)} END ELSE {_none(FAULTS)} END" for x in ACROSS]
+            return f"concat({', '.join([*(f"{found}['{n}']" for n in CONTRACT), *rows])})"
 
-    def of_label(m: Column) -> Column:
-        wrong = _wrong_keys(m, ("fields",))
-        return F.when(wrong.isNotNull(), _fault(F.lit("label"), wrong)).otherwise(_let(_members(m["fields"]), of_fields))
+        return _sound_keys(m, CONTRACT, "'fields'", _let(f"map({each})", across))
 
-    return _let(_members(label), of_label)
+    return _let(_members(label), lambda m: _sound_keys(m, ("fields",), "'label'", _let(_members(f"{m}['fields']"), of_fields)))
 
 
 def label_problems(text: Column) -> Column:
@@ -332,13 +355,13 @@ def label_problems(text: Column) -> Column:
     Only the strict parse runs in Python; the rules are expressions over the parsed variant.
     """
     told = F.try_parse_json(parsed(text, "row")["canonical"])
-    return F.when(told.isNull(), _fault(F.lit("label"), "json")).otherwise(faults_of(told))
+    return _of(told, lambda v: f"CASE WHEN {v} IS NULL THEN {_fault("'label'", "'json'")} ELSE {_faults_of(v)} END")
 
 
 def quotations(labels: DataFrame, key: str, label: str) -> DataFrame:
     """(key, path, quote): every wording that is not empty in valid JSON labels, with list places in its path."""
-    fields = F.try_variant_get(F.try_parse_json(label), "$.fields", "map<string,variant>")
-    found = _let(fields, lambda m: F.concat(*[f.quotes(m[name], F.lit(name)) for name, f in CONTRACT.items()]))
+    each = lambda m: f"concat({', '.join(f.quotes(f"{m}['{name}']", repr(name)) for name, f in CONTRACT.items())})"
+    found = _of(F.try_parse_json(label), lambda v: _let(f"try_variant_get({v}, '$.fields', 'map<string,variant>')", each))
     return labels.select(key, F.explode(found).alias("q")).select(key, "q.path", "q.quote")
 
 
@@ -356,9 +379,9 @@ def review_fields(labels: DataFrame, key: str, label: str) -> DataFrame:
     """(key, field, value, raw_text, availability, origin, evidence_input, note): editable texts of each field of
     valid labels; values and wordings are JSON without spaces, a null origin is empty."""
     m = F.try_variant_get(F.try_parse_json(label), "$.fields", "map<string,variant>")
-    each = labels.select(key, F.posexplode(F.array(*map(F.lit, CONTRACT))).alias("place", "field"), m.alias("m")).select(key, "field", _members(F.col("m")[F.col("field")]).alias("f"))
+    each = labels.select(key, F.explode(F.array(*map(F.lit, CONTRACT))).alias("field"), m.alias("m")).select(key, "field", F.try_variant_get(F.col("m")[F.col("field")], "$", "map<string,variant>").alias("f"))
     told = lambda name: F.to_json(F.col("f")[name])
-    text = lambda name: F.coalesce(_string(F.col("f")[name]), F.lit(""))
+    text = lambda name: F.coalesce(F.try_variant_get(F.col("f")[name], "$", "string"), F.lit(""))
     return each.select(key, "field", told("value").alias("value"), told("raw_text").alias("raw_text"), text("availability").alias("availability"), text("origin").alias("origin"), F.lit("").alias("evidence_input"), F.lit("").alias("note"))
 
 

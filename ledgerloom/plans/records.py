@@ -75,6 +75,14 @@ def evidence_hashes(t):
     return bad.join(p.select("packet_id", (c("target.b") - c("target.a")).alias("bytes"), (c("at") % 3 == 0).alias("broken")), "packet_id")
 
 
+@query("SELECT doc_id AS id FROM documents WHERE n_chars % 5 = 0 OR n_chars = 0")
+def frozen_evidence(t):
+    """Documents as frozen evidence without content; some have a hash in upper case."""
+    h = F.sha2("text", 256)
+    ev = t("documents").select(c("doc_id").alias("id"), F.lit(0).alias("a"), c("n_chars").alias("b"), F.when(c("n_chars") % 5 == 0, F.concat(F.lit("A"), F.substring(h, 2, 63))).otherwise(h).alias("slice_sha256"))
+    return holdout.evidence_problems(ev, frozen=True)
+
+
 @query(f"""WITH {_CUT}, x AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages)
 SELECT doc_id::VARCHAR AS packet_id, sha256((CASE WHEN title <> '' THEN 'D1:B1 source bytes 0:' || octet_length(encode(title)) || chr(10) || to_json(title)::VARCHAR || chr(10) || '[OMITTED D1 SOURCE BYTES ' || octet_length(encode(title)) || ':' || (octet_length(encode(title)) + 1) || ']' || chr(10) ELSE '' END)
   || 'BEGIN MARKED TARGET' || chr(10) || (CASE WHEN title <> '' THEN 'D2:' ELSE '' END) || 'B1 source bytes 0:' || pos || chr(10) || to_json(string_split(text, chr(10))[1])::VARCHAR || chr(10) || 'END MARKED TARGET' || chr(10) || '[OMITTED SOURCE BYTES ' || pos || ':' || size || ']') AS input_sha256
@@ -576,7 +584,7 @@ def published_lines(t):
     lines = _turn_lines(t)
     at = shared(lines.sparkSession, "published")
     sinks.publish(lines, at)
-    found = sinks._read_back(lines.sparkSession, at, "split", "position", "value").withColumn("p", canonical.parsed(c("value"), "row"))
+    found = sinks.published(lines.sparkSession, at, "split", "position", "value").withColumn("p", canonical.parsed(c("value"), "row"))
     return found.select("split", "position", F.sha2("value", 256).alias("value_sha256"), c("p.ok").alias("ok"))
 
 

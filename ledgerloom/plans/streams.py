@@ -13,8 +13,11 @@ from .audit import ORACLES, QUERIES
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-")
+    """A new path in the folder that driver and executors share; a temporary one where the driver is the executor."""
+    at, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not at and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    at = at or tempfile.mkdtemp(prefix="ledgerloom-")
     return f"{at}/{name}-{uuid.uuid4().hex}"
 
 
@@ -45,6 +48,17 @@ def stream_idempotent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.settled(events.committed(spark, f"{at}/rows"), "key", "value")
 
 
+def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of each user's stream, appended as they come in, each with its own time of arrival."""
+    chunks = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("position"), F.col("props").alias("chunk"), F.unix_micros(F.col("ts").cast("timestamp")).alias("arrived"))
+    at = shared(spark, "chunks")
+    events.run_to_end(chunks, events.append_to(f"{at}/rows"), f"{at}/checkpoint", "append")
+    found = events.committed(spark, f"{at}/rows")
+    return found.groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("chunks"), F.sum(F.octet_length("chunk")).alias("bytes"), F.min("arrived").alias("first_us"), F.max("arrived").alias("last_us"))
+
+
+QUERIES["stream_chunks"] = stream_chunks
+ORACLES["stream_chunks"] = "SELECT user_id, count(*) AS chunks, sum(octet_length(encode(props)))::BIGINT AS bytes, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM events GROUP BY user_id"
 QUERIES["stream_state"] = stream_state
 QUERIES["stream_idempotent_merge"] = stream_idempotent_merge
 ORACLES["stream_state"] = "SELECT user_id, max(event_id) AS last_id, max_by(event_type, event_id) AS state, count(*) AS seen FROM events GROUP BY user_id"

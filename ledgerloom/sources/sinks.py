@@ -63,7 +63,7 @@ def publish(rows: DataFrame, path: str, split: str = "split", position: str = "p
         h = F.xxhash64(F.col(position).cast("long"), line)
         sums = (F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor(h).alias("xor"))
         print_of = lambda df: {r[split]: (r["n"], f"{r['total']}:{r['xor']}") for r in df.groupBy(split).agg(*sums).collect()}
-        want, got = print_of(rows), print_of(_read_back(spark, staged, split, position, line))
+        want, got = print_of(rows), print_of(published(spark, staged, split, position, line))
         if want != got:
             raise ValueError("what was written differs from the rows, or positions do not count from zero")
         manifest = {"schema": "training-dataset-v1", "files": {k: {"rows": n, "rows_hash": h} for k, (n, h) in sorted(want.items())}} | (more or {})
@@ -75,7 +75,7 @@ def publish(rows: DataFrame, path: str, split: str = "split", position: str = "p
     return manifest
 
 
-def _read_back(spark: SparkSession, path: str, split: str, position: str, line: str) -> DataFrame:
+def published(spark: SparkSession, path: str, split: str, position: str, line: str) -> DataFrame:
     """Lines of a partitioned text folder, numbered through each split's files in the order of their names."""
     lines = numbered_lines(spark, path).withColumn(split, F.regexp_extract("path", f"/{split}=([^/]*)/[^/]*$", 1))
     counts = lines.groupBy(split, "path").agg(F.count("*").alias("n"))
