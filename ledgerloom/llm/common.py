@@ -18,10 +18,13 @@ SPACE = "\\x20\\x09-\\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where none is set."""
+    """The folder that the driver and all executors see. Where none is set, a temporary one serves a driver that is
+    its own executor; on a cluster that is an error, as executors could not see it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        known, master = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext.master
+        if not known.isDefined() and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         at = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -40,6 +43,12 @@ def lean(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(name, f"{most}b")
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a path in the shared folder, once nothing reads it any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once into the shared folder and ends its lineage there."""
     spark = df.sparkSession

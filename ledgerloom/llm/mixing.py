@@ -107,6 +107,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
+def mixture_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the mixture is fixed without a seed: sizes, and the target of each document's source."""
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target")
+
+
+TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER o AS rank, coalesce(sum(source_size * 2.0::DOUBLE) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM s WINDOW o AS (ORDER BY source_size / weight, weight, source NULLS LAST)),
+l AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - before) / rest AS level FROM r),
+f AS (SELECT min_by(level, rank) AS level FROM l WHERE level * weight < source_size * 2.0::DOUBLE)
+SELECT d.doc_id, d.size, s.source_size, CASE WHEN f.level IS NULL THEN s.source_size * 2.0::DOUBLE ELSE least(s.source_size * 2.0::DOUBLE, f.level * s.weight) END AS target
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source CROSS JOIN f
+"""
+
+
 def op7_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mixture takes each document; nulls, ties and repeated rows as mix() has them."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lean, remainder, scratch_path, slices, texts_of
+from .common import cut, forget, lean, remainder, scratch_path, slices, texts_of
 from .eliasfano import EliasFano, Quantised, Store
 
 LISTED = 1 << 18
@@ -148,15 +148,10 @@ def unigrams(training: DataFrame, exact: int = LISTED, bucket: int = BUCKET) ->
     h = top.column("h").to_numpy().view(np.uint64) if top is not None else np.zeros(0, np.uint64)
     c = top.column("c").to_numpy() if top is not None else np.zeros(0, np.int64)
     order = np.argsort(h)
-    _forget(spark, path)
+    forget(spark, path)
     return Unigrams(tokens, types, texts, h[order], c[order], bucket)
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def _shrink(a: np.ndarray) -> bytes:
     """Integers from 0 to 2^31 - 1 as four byte planes, compressed."""
     a = a.astype(np.uint32)

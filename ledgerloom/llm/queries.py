@@ -15,10 +15,16 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_int8_tiles": vectors.op10_int8_tiles,
+    "rule_ablations": rules.rule_ablations,
+    "mixture_targets": mixing.mixture_targets,
+    "secret_base_counts": secrets.secret_base_counts,
 }
 
 ORACLES = {
     "op4_warc_round_trip": warc.OP4_SQL,
     "op6_rule_ledger": rules.OP6_SQL,
     "op10_int8_tiles": vectors.OP10_SQL,
+    "rule_ablations": rules.ABLATIONS_SQL,
+    "mixture_targets": mixing.TARGETS_SQL,
+    "secret_base_counts": secrets.COUNTS_SQL,
 }

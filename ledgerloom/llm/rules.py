@@ -124,6 +124,11 @@ def ablations(ledgered: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of the last policy: documents it fails, fails alone, and kept without it, from the ledger's masks."""
+    return ablations(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), POLICIES[-1])
+
+
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and verdicts of all whole documents."""
     found = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -171,3 +176,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (fail_bits & 27) = 0 AS kept_v1, n_lines, n_bullets, n_ellipses
 FROM f
 """
+
+ABLATIONS_SQL = f"""
+WITH o AS (SELECT fail_bits & {POLICIES[-1].mask} AS m FROM ({OP6_SQL})), r AS (SELECT * FROM (VALUES {", ".join(f"('{x}', {1 << RULES.index(x)})" for x in POLICIES[-1].rules)}) v(rule, bit))
+SELECT rule, count(*) FILTER (WHERE m & bit <> 0) AS n_failed, count(*) FILTER (WHERE m = bit) AS n_failed_alone, count(*) FILTER (WHERE m & ~bit = 0) AS n_kept_without, bit_or(m) AS masks_seen FROM o, r GROUP BY rule
+"""

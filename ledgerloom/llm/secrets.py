@@ -281,6 +281,20 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return chosen.mapInArrow(run, ", ".join(fields))
 
 
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many base matches of each kind the scan finds in each document."""
+    return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+COUNTS_SQL = r"""
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16))::BIGINT AS n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32))::BIGINT AS n_hex
+FROM documents
+"""
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all whole documents. Repeated rows and rows without an id are scanned like others."""
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
