@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, mixing, pieces, secrets, simhash
-from ledgerloom.llm.common import connected_components, cut, lookup, scratch_path
+from ledgerloom.llm.common import connected_components, cut, forget, lookup, scratch_path
 from ledgerloom.llm.similar import similar
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -78,10 +78,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each is written to the shared folder and read again by the next, then deleted.
+
+    What the last one reads stays, as the result is lazy."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            forget(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
