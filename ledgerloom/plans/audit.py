@@ -169,8 +169,8 @@ def _paragraphs(t):
     return found.select("page_id", F.col("i").cast("long").alias("block_index"), "c")
 
 
-# What a reader shows of these pages' markup: they hold b, br and p, and one kind of reference.
-_SHOWN = r"""trim(regexp_replace(replace(regexp_replace(regexp_replace(c, '<(br|/?p)>', ' ', 'g'), '</?[a-z0-9]+>', '', 'g'), '&amp;', '&'), '[\t\n\x0b\f\r \x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'))"""
+# What a reader shows of these pages' markup: they hold b, br and p, and five references.
+_SHOWN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(c, '<(br|/?p)>', ' ', 'g'), '</?[a-z0-9]+>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;', '&'), '[\t\n\x0b\f\r \x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'))"""
 
 
 @query(f"""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<p>.*?</p>')) AS c, generate_subscripts(regexp_extract_all(html, '(?s)<p>.*?</p>'), 1) - 1 AS block_index FROM pages),
@@ -333,9 +333,10 @@ def set_operations(t):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("""WITH k AS (SELECT source, list_distinct(list(lang)) AS known FROM documents WHERE doc_id % 2 = 0 GROUP BY source), n AS (SELECT source, list_distinct(list(lang)) AS new FROM documents WHERE doc_id % 2 = 1 GROUP BY source)
+@query("""WITH k AS (SELECT source, list_distinct(list(lang)) AS known FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND toxic = 0 GROUP BY source), n AS (SELECT source, list_distinct(list(lang)) AS new FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND quality = 1 GROUP BY source)
 SELECT source, array_to_string(list_sort(list_distinct(list_concat(known, new))), ',') AS merged, list_has_all(known, new) AS covered FROM k JOIN n USING (source)""")
 def sorted_union(t):
-    d = t("documents")
-    k, n = (d.where(f"doc_id % 2 = {i}").groupBy("source").agg(F.collect_set("lang").alias(name)) for i, name in ((0, "known"), (1, "new")))
+    """Languages of each source's harmless documents, with those of its good ones."""
+    both = t("documents").select("doc_id", "source", "lang").join(t("labels"), "doc_id")
+    k, n = (both.where(mark).groupBy("source").agg(F.collect_set("lang").alias(name)) for mark, name in (("toxic = 0", "known"), ("quality = 1", "new")))
     return k.join(n, "source").select("source", F.array_join(F.array_sort(F.array_union("known", "new")), ",").alias("merged"), (F.size(F.array_except("new", "known")) == 0).alias("covered"))
