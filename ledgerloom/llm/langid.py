@@ -133,7 +133,7 @@ def fit(texts: list[str], langs: list[str], n_landmarks: int = 96, ridge: float
     target = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     gram = features.T @ (features * weight[:, None]) + ridge * len(langs) * np.eye(features.shape[1]) / features.shape[1]
     model.weights = (root @ np.linalg.solve(gram, features.T @ (target * weight[:, None]))).astype(np.float32)
-    model.least = float(np.quantile(np.concatenate(known), 0.01)) / 2
+    model.least = float(np.quantile(np.concatenate(known), 0.01)) / 3
     return model
 
 
