@@ -187,6 +187,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows without an id keep their fingerprint and take the component of equal fingerprints with an
     id (null if there is none). Repeated rows are kept. Other columns of docs are ignored.
     """
+    prints, nodes, links = _linked(docs, id_col, text_col, width, radius, most)
+    roots = connected_components(links)
+    by_print = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(by_print, "fp").select(
+        F.col("id").alias(id_col),
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        "component_id",
+    )
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, most: int = 8192) -> DataFrame:
+    """(a, b): links of ids whose components are those of near_duplicates(), for callers that have more links to add."""
+    prints, nodes, links = _linked(docs, id_col, text_col, width, radius, most)
+    return links.unionByName(prints.join(nodes, "fp").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, fp) of all rows, (fp, rep) of the distinct fingerprints, and spanning links (a, b) between reps."""
     lean(docs.sparkSession)
     prints = cut(fingerprints(docs, id_col, text_col, width))
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
@@ -196,13 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, large = found.where("t is null").select("a", "b"), found.where("t is not null").select("t", "key", "fp", F.col("b").alias("rep"))
     if not large.isEmpty():
         links = links.unionByName(_dealt(large, radius, most))
-    roots = connected_components(links)
-    by_print = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(by_print, "fp").select(
-        F.col("id").alias(id_col),
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        "component_id",
-    )
+    return prints, nodes, links
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

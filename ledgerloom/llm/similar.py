@@ -151,6 +151,20 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     `tile` texts is dealt into tiles, and each pair of tiles is a task's unit of work. A set is sent once for
     each tile of its group, TILES times at most as long as TILES tiles of TILE_SHINGLES hold the group.
     """
+    prints, nodes, decided = _linked(docs, id_col, text_col, width, least, tile)
+    roots = connected_components(decided)
+    by_node = nodes.select("node", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
+    return prints.select("id", "node").join(by_node, "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, tile: int = TILE) -> DataFrame:
+    """(a, b): links of ids whose components are those of similar(), for callers that have more links to add."""
+    prints, nodes, decided = _linked(docs, id_col, text_col, width, least, tile)
+    return decided.unionByName(prints.select("id", "node").join(nodes.select("node", "rep"), "node").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, least: float, tile: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Prints of all rows, the distinct sets as nodes, and spanning links (a, b) between their reps."""
     lean(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = cut(rows.mapInArrow(_prints(width), "id long, node long, size long, bands array<long>"))
@@ -168,6 +182,4 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("component", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "rep", "codes")
     decided = dealt.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q").mapInArrow(_decide(least), "a long, b long")
-    roots = connected_components(decided)
-    by_node = nodes.select("node", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
-    return prints.select("id", "node").join(by_node, "node").select(F.col("id").alias(id_col), "component_id")
+    return prints, nodes, decided
