@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, mixing, pieces, secrets, simhash
 from ledgerloom.llm.common import connected_components, cut, forget, lookup, scratch_path
-from ledgerloom.llm.similar import similar
+from ledgerloom.llm.similar import similar_links
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -41,8 +41,7 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
         one = known.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("x"))
         known = cut(one.select("doc_id", "x.*"))
-    pairs = simhash.near_duplicates(known).unionByName(similar(known), allowMissingColumns=True)
-    roots = connected_components(pairs.select("doc_id", "component_id"), "doc_id", "component_id")
+    roots = connected_components(simhash.near_links(known).unionByName(similar_links(known)))
     dropped = cut(roots.where("node <> component").select(F.col("node").alias("doc_id")))
     return lookup(known, dropped, "doc_id", "left_anti").select(*COLUMNS)
 
