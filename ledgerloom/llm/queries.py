@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, ngrams, pieces, quality, rules, secrets, simhash, vectors, warc
+from . import langid, mixing, ngrams, packing, pieces, quality, rules, secrets, simhash, vectors, warc
 
 QUERIES = {
     "op1_elias_fano_lm": ngrams.op1_elias_fano_lm,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_int8_tiles": vectors.op10_int8_tiles,
+    "op11_pattern_packing": packing.op11_pattern_packing,
     "rule_ablations": rules.rule_ablations,
     "mixture_targets": mixing.mixture_targets,
     "secret_base_counts": secrets.secret_base_counts,
