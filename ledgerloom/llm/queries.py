@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, ngrams, packing, pieces, quality, rules, secrets, simhash, vectors, warc
+from . import langid, mining, mixing, ngrams, packing, pieces, quality, rules, secrets, simhash, vectors, warc
 
 QUERIES = {
     "op1_elias_fano_lm": ngrams.op1_elias_fano_lm,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_int8_tiles": vectors.op10_int8_tiles,
     "op11_pattern_packing": packing.op11_pattern_packing,
+    "op12_rotated_negatives": mining.op12_rotated_negatives,
     "rule_ablations": rules.rule_ablations,
     "mixture_targets": mixing.mixture_targets,
     "secret_base_counts": secrets.secret_base_counts,
@@ -25,6 +26,7 @@ ORACLES = {
     "op4_warc_round_trip": warc.OP4_SQL,
     "op6_rule_ledger": rules.OP6_SQL,
     "op10_int8_tiles": vectors.OP10_SQL,
+    "op12_rotated_negatives": mining.OP12_SQL,
     "rule_ablations": rules.ABLATIONS_SQL,
     "mixture_targets": mixing.TARGETS_SQL,
     "secret_base_counts": secrets.COUNTS_SQL,
