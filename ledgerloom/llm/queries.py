@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mining, mixing, ngrams, packing, pieces, quality, rules, secrets, simhash, vectors, warc
+from . import dialogues, langid, mining, mixing, ngrams, packing, pieces, quality, rules, secrets, simhash, vectors, warc
 
 QUERIES = {
     "op1_elias_fano_lm": ngrams.op1_elias_fano_lm,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_int8_tiles": vectors.op10_int8_tiles,
     "op11_pattern_packing": packing.op11_pattern_packing,
     "op12_rotated_negatives": mining.op12_rotated_negatives,
+    "op13_signature_repair": dialogues.op13_signature_repair,
     "rule_ablations": rules.rule_ablations,
     "mixture_targets": mixing.mixture_targets,
     "secret_base_counts": secrets.secret_base_counts,
@@ -27,6 +28,7 @@ ORACLES = {
     "op6_rule_ledger": rules.OP6_SQL,
     "op10_int8_tiles": vectors.OP10_SQL,
     "op12_rotated_negatives": mining.OP12_SQL,
+    "op13_signature_repair": dialogues.OP13_SQL,
     "rule_ablations": rules.ABLATIONS_SQL,
     "mixture_targets": mixing.TARGETS_SQL,
     "secret_base_counts": secrets.COUNTS_SQL,
