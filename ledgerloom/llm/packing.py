@@ -6,6 +6,7 @@ import bisect
 import functools
 import itertools
 import os
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,24 +45,77 @@ def _chunks(text: bytes, most: int = 1 << 20):
     yield text[at:].split() if at else text.split()
 
 
+#: Letters that are letters in every version of Unicode, without combining marks, and marks around them: a word of that
+#: form is one run of the tokenizer's for each group that isn't empty.
+PLAIN = re.compile("([(\"\\[]*)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?)\\]\"-]*)")
+BATCH = 1 << 14
+
+
 class Encoder:
-    """Ids of whole texts. No token spans ASCII space, and its kind and number don't matter, so each distinct run is encoded once."""
+    """Ids of whole texts. No token spans ASCII space, and its kind and number don't matter, so each distinct word is encoded once.
+
+    Plain words are encoded together, parted by spaces; where a word ends in the ids is told by the tokens that end a run.
+    Once more than `cached` words are known, those met least are forgotten.
+    """
 
-    def __init__(self, path: str, cached: int = 400_000):
-        self.path, self.cached, self.cache = path, cached, Cache()
+    def __init__(self, path: str, cached: int = 700_000):
+        self.path, self.cached, self.cache, self.met = path, cached, Cache(), np.zeros(0, np.int64)
+        words = _tokenizer(path).get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in _tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(itertools.chain.from_iterable(ids), np.int32)
+
+    def _together(self, words: list[str], runs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(_tokenizer(self.path).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != sum(runs):  # not a tokenizer whose runs end so
+            return self._each(words)
+        return np.diff(ends[np.cumsum(runs, dtype=np.int64) - 1] + 1, prepend=0), ids
+
+    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each word start, how many they are, and the ids; those of plain words come first."""
+        match = PLAIN.fullmatch
+        forms = [match(w) for w in words]
+        plain = [k for k, m in enumerate(forms) if m]
+        runs = [1 + (forms[k][1] != "") + (forms[k][3] != "") for k in plain]
+        rest = [k for k, m in enumerate(forms) if not m]
+        sizes, ids = zip(self._together([words[k] for k in plain], runs), self._each([words[k] for k in rest]))
+        size, order = np.concatenate(sizes), np.array(plain + rest, np.int64)
+        starts = np.empty((2, len(words)), np.int64)
+        starts[0, order], starts[1, order] = np.cumsum(size) - size, size
+        return starts[0], starts[1], np.concatenate(ids)
+
+    def _forget(self) -> None:
+        least = 2
+        while (self.met >= least).sum() > self.cached // 2:
+            least *= 2
+        kept, old = np.flatnonzero(self.met >= least), self.cache
+        words = list(old.place)
+        self.cache, size = Cache(), old.sizes[kept]
+        for k in kept.tolist():
+            self.cache.place[words[k]]  # noqa: B018 - asking for a word gives it its place
+        self.cache.starts, self.cache.sizes, self.met = np.cumsum(size) - size, size, np.ones(len(kept), np.int64)
+        self.cache.ids = old.ids[np.repeat(old.starts[kept] - self.cache.starts, size) + np.arange(size.sum())]
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.cache.place) > self.cached:
-            self.cache = Cache()
+            self._forget()
         known, cache = len(self.cache.starts), self.cache
         places = []
         for text in texts:
             parts = [np.fromiter(map(cache.place.__getitem__, c), np.int32, len(c)) for c in _chunks(text)]
             places.append(np.concatenate(parts))
         new = [w.decode() for w in itertools.islice(cache.place, known, None)]
-        for i in range(0, len(new), 1 << 14):
-            ids = [e.ids for e in _tokenizer(self.path).encode_batch_fast(new[i : i + (1 << 14)], add_special_tokens=False)]
-            cache.add(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), np.fromiter(itertools.chain.from_iterable(ids), np.int32))
+        for i in range(0, len(new), BATCH):
+            starts, sizes, ids = self.segment(new[i : i + BATCH])
+            cache.starts, cache.sizes = np.concatenate((cache.starts, len(cache.ids) + starts)), np.concatenate((cache.sizes, sizes))
+            cache.ids = np.concatenate((cache.ids, ids))
+        self.met = np.concatenate((self.met, np.zeros(len(cache.starts) - len(self.met), np.int64)))
+        for p in places:
+            np.add.at(self.met, p, 1)
         out = []
         for p in places:
             size = cache.sizes[p]
@@ -69,6 +123,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """Lives on in the worker from task to task; its cache is bounded."""
+    return Encoder(path)
+
+
 def tokenise(docs: DataFrame, path: str | None = None, limit: int = 4096, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most `limit` tokens: id, piece (from 0), start (tokens of the document before it), length and
     ids (little-endian unsigned 32 bits).
@@ -85,7 +145,7 @@ def tokenise(docs: DataFrame, path: str | None = None, limit: int = 4096, end: i
     names = [id_col, "piece", "start", "length", "ids"]
 
     def run(batches):
-        encode = Encoder(path)
+        encode = _encoder(path)
         for batch in slices(batches, 2 << 20):
             ids = encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
             rows = [[], [], [], [], []]

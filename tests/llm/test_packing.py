@@ -48,6 +48,26 @@ def test_ids_are_those_of_the_whole_texts(docs):
     assert [r.length for r in got if r.doc_id == 8] == [4096] and sorted(r.length for r in got if r.doc_id == 9) == [1, 4096]
 
 
+def test_words_together_are_words_one_by_one():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = ['("Haus,', "Über.", "don't", "it's.", "x1", "naïve", "(a)", "...", "[ÀÖØ]-", "ſtraße!", "a\u0301b", "日本", "ab\u00a0c", "<|endoftext|>", "AKIA-x", "ɏ?", "İx", "ǅ", "e-f"] * 3
+    whole = Tokenizer.from_file(path)
+    starts, sizes, ids = packing.Encoder(path).segment(words)
+    assert [ids[a : a + n].tolist() for a, n in zip(starts, sizes)] == [whole.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_cache_may_be_dropped_between_blocks():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    one, many = packing.Encoder(path, cached=3), packing.Encoder(path)
+    for texts in ([b"a b c d", b""], [b"d c b a " * 3], [b"x. y, z"], [b"a x. nota bene x."], [b"", b"bene nota a"]):
+        assert [x.tolist() for x in one(texts)] == [x.tolist() for x in many(texts)]
+
+
 def test_windows_of_a_long_text_part_at_spaces():
     text = b"ab cde  f\nghij" * 9
     assert [w for c in packing._chunks(text, 5) for w in c] == text.split() and list(packing._chunks(b"")) == [[]]
