@@ -48,6 +48,18 @@ def strict_loads(text: str | bytes) -> Any:
         raise NotStrict(str(e)) from None
 
 
+def strict_variant(text: Column) -> Column:
+    """The variant of a strict JSON text, null for others: repeated keys, NaN, and anything after the value are refused.
+
+    The parser reads one value and leaves what follows. So the text is read as the one item of a list and as the one member of
+    an object: what could end the first can't end the second. Half a surrogate pair becomes a question mark; texts that nest deeper, or
+    are longer, than a variant allows are refused.
+    """
+    item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    return F.when(item.isNotNull(), F.try_variant_get(member, "$.x", "variant"))
+
+
 def encode(value: Any, form: str) -> str:
     return json.dumps(value, **FORMS[form])
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+import itertools
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: White space of the contract for Java's engine: Unicode spaces, U+001C to U+001F and U+0085.
 SPACES = "[\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}]"
@@ -16,10 +18,31 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACES}+", " "))
 
 
-@F.pandas_udf(StringType())
-def casefold(text: pd.Series) -> pd.Series:
-    """Full case folding, for which Spark has no function (lower() keeps the sharp s)."""
-    return text.map(lambda x: None if x is None else x.casefold())
+@functools.cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What full case folding makes of single characters: two strings of equal length, and those that become several."""
+    changed = {c: c.casefold() for c in map(chr, itertools.chain(range(0xD800), range(0xE000, sys.maxunicode + 1))) if c.casefold() != c}
+    one = {c: f for c, f in changed.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in changed.items() if len(f) > 1}
+
+
+def casefold_sql(text: str) -> str:
+    """SQL of the full case folding of an expression, for which Spark has no function (lower() keeps the sharp s)."""
+    old, new, several = _folds()
+    pairs = ", ".join(f"'{c}', '{f}'" for c, f in several.items())
+    spread = f"array_join(transform(split({text}, ''), _c -> coalesce(try_element_at(map({pairs}), _c), _c)), '')"
+    return f"translate(CASE WHEN {text} RLIKE '[{''.join(several)}]' THEN {spread} ELSE {text} END, '{old}', '{new}')"
+
+
+def casefold(text: Column | str) -> Column:
+    """Full case folding, as casefold_sql() has it."""
+    column = F.col(text) if isinstance(text, str) else text
+    return F.get(F.call_function("transform", F.array(column), F.expr(f"_t -> {casefold_sql('_t')}")), F.lit(0))
+
+
+def collapse_sql(text: str) -> str:
+    """SQL of collapse()."""
+    return f"trim(regexp_replace({text}, r'{SPACES}+', ' '))"
 
 
 def json_quoted(text: Column) -> Column:

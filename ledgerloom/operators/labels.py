@@ -7,7 +7,6 @@ and both follow one table of rules for fields, so that they find the same faults
 from __future__ import annotations
 
 import itertools
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date
@@ -18,7 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import NotStrict, parsed, strict_loads
+from ..functions.canonical import NotStrict, strict_loads, strict_variant
+from ..functions.text import json_quoted
 
 # Names and vocabularies of the contract.
 AVAILABILITY = ("PRESENT", "ABSENT_IN_CONTEXT", "AMBIGUOUS", "UNREADABLE", "CONFLICTING", "NOT_APPLICABLE")
@@ -118,6 +118,14 @@ class Text:
     def told(self, v: str, at: str) -> str:
         return f"CASE WHEN {_string(v)} IS NULL THEN {_fault(at, repr('not_text'))} ELSE {_none(FAULTS)} END"
 
+    def schema(self) -> str:
+        """A pattern of the schema that a variant of the shape has."""
+        return "STRING"
+
+    def sound(self, x: str) -> str:
+        """SQL of whether a typed value has no fault."""
+        return f"{x} IS NOT NULL"
+
     def quotes(self, v: str, at: str) -> str:
         return _none(QUOTES)
 
@@ -135,6 +143,9 @@ class Choice(Text):
     def told(self, v: str, at: str) -> str:
         return f"CASE WHEN {_yes(f'{_string(v)} IN ({_told_names(self.names)})')} THEN {_none(FAULTS)} ELSE {_fault(at, repr('unknown_value'))} END"
 
+    def sound(self, x: str) -> str:
+        return _yes(f"{x} IN ({_told_names(self.names)})")
+
 
 class Record:
     """An object of just these fields."""
@@ -154,6 +165,12 @@ class Record:
         each = lambda m: ", ".join(f.told(f"{m}['{name}']", _inside(at, f".{name}")) for name, f in self.fields.items())
         return _let(_members(v), lambda m: _sound_keys(m, self.fields, at, f"concat({each(m)})"))
 
+    def schema(self) -> str:
+        return f"OBJECT<{', '.join(f'{name}: {f.schema()}' for name, f in sorted(self.fields.items()))}>"
+
+    def sound(self, x: str) -> str:
+        return f"({x} IS NOT NULL AND {' AND '.join(f.sound(f'{x}.{name}') for name, f in self.fields.items())})"
+
     def quotes(self, v: str, at: str) -> str:
         each = lambda m: ", ".join(f.quotes(f"{m}['{name}']", _inside(at, f".{name}")) for name, f in self.fields.items())
         return _let(_members(v), lambda m: f"concat({each(m)})")
@@ -180,6 +197,13 @@ class Filled:
     def told(self, v: str, at: str) -> str:
         return _let(_items(v), lambda a: f"CASE WHEN coalesce(size({a}), 0) < 1 THEN {_fault(at, repr('not_a_filled_list'))} ELSE {self._each(a, at, self.of.told)} END")
 
+    def schema(self) -> str:
+        return f"ARRAY<(?:VOID|{self.of.schema()})>"
+
+    def sound(self, x: str) -> str:
+        m = next(_fresh)
+        return f"(coalesce(size({x}), 0) > 0 AND forall({x}, {m} -> {self.of.sound(m)}))"
+
     def quotes(self, v: str, at: str) -> str:
         return self._each(_items(v), at, self.of.quotes)
 
@@ -238,6 +262,17 @@ class Field:
 
         return _let(_members(v), inside)
 
+    def schema(self) -> str:
+        return f"OBJECT<availability: STRING, origin: (?:STRING|VOID), raw_text: (?:STRING|VOID), value: (?:VOID|{self.shape.schema()})>"
+
+    def sound(self, x: str) -> str:
+        """SQL of whether a typed field has no fault; that its parts are all there and of their types is not looked at."""
+        state, origin, value = f"{x}.availability", f"{x}.origin", f"{x}.value"
+        worded = f" AND NOT ({value} = 'OTHER' AND coalesce({x}.raw_text, '') = '')" if isinstance(self.shape, Text) else ""
+        present = f"{state} = 'PRESENT' AND {_yes(f"{origin} IN ({_told_names(ORIGINS)})")} AND {self.shape.sound(value)}{worded}"
+        empty = f" OR ({state} = 'NOT_APPLICABLE' AND {_yes(f"{origin} = 'DERIVED'")} AND {_yes(f'size({value}) = 0')})" if self.may_be_empty else ""
+        return f"({_yes(f'{state} IN ({_told_names(AVAILABILITY)})')} AND (({present}) OR ({state} <> 'PRESENT' AND {value} IS NULL AND {origin} IS NULL){empty}))"
+
     def quotes(self, v: str, at: str) -> str:
         """SQL of the wordings that are not empty, with their paths, of a variant that holds a sound field."""
 
@@ -349,19 +384,44 @@ def _faults_of(label: str) -> str:
     return _let(_members(label), lambda m: _sound_keys(m, ("fields",), "'label'", _let(_members(f"{m}['fields']"), of_fields)))
 
 
+def is_sound(v: str) -> str:
+    """SQL of whether a variant is a label without fault; cheaper than to list all faults.
+
+    Its schema must be that of a label, and of each member of its lists that of a member, as a list's own schema is merged from
+    them; then every field of the static struct must keep the rules.
+    """
+    lists = [(f"$.fields.{n}.value", f.shape.of) for n, f in CONTRACT.items() if isinstance(f.shape, Filled)]
+    lists += [(f"$.fields.{n}.value.{k}.value", g.shape.of) for n, f in CONTRACT.items() if isinstance(f.shape, Record) for k, g in f.shape.fields.items() if isinstance(g.shape, Filled)]
+    whole = f"^OBJECT<fields: OBJECT<{', '.join(f'{n}: {f.schema()}' for n, f in sorted(CONTRACT.items()))}>>$"
+    alike = " AND ".join(_let(f"try_variant_get({v}, '{at}', 'array<variant>')", lambda a, of=of: f"(coalesce(size({a}), 0) < 2 OR forall({a}, _m -> schema_of_variant(_m) RLIKE '^{of.schema()}$'))") for at, of in lists)
+
+    def keeps(w: str) -> str:
+        part = lambda n: f"{w}.fields.{n}"
+        day = f"{part('meeting_date')}.value"
+        dated = f"({day} IS NULL OR (try_to_date({day}, 'yyyy-MM-dd') IS NOT NULL AND {day} RLIKE '^(?!0000)[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$'))"
+        voted = f"{_yes(f"{part('participation')}.value = 'DID_NOT_VOTE'")} = {_yes(f"size({part('vote_components')}.value) = 0")}"
+        fields = " AND ".join(f.sound(part(n)) for n, f in CONTRACT.items())
+        return f"coalesce({w} IS NOT NULL AND schema_of_variant({v}) RLIKE '{whole}' AND {alike} AND {fields} AND {dated} AND {voted}, false)"
+
+    return _let(f"try_variant_get({v}, '$', 'struct<fields:{LABEL_TYPE}>')", keeps)
+
+
 def label_problems(text: Column) -> Column:
     """array<struct(path, rule)> of a JSON label; a text that is no strict JSON has one entry, (label, json).
 
-    Only the strict parse runs in Python; the rules are expressions over the parsed variant.
+    The strict parse and the rules are expressions over the parsed variant.
     """
-    told = F.try_parse_json(parsed(text, "row")["canonical"])
-    return _of(told, lambda v: f"CASE WHEN {v} IS NULL THEN {_fault("'label'", "'json'")} ELSE {_faults_of(v)} END")
+    return _of(strict_variant(text), lambda v: f"CASE WHEN {v} IS NULL THEN {_fault("'label'", "'json'")} ELSE {_faults_of(v)} END")
+
+
+def wordings_of(members: str) -> str:
+    """SQL of the wordings that are not empty, with their paths, of the members of a valid label."""
+    return f"concat({', '.join(f.quotes(f"{members}['{name}']", repr(name)) for name, f in CONTRACT.items())})"
 
 
 def quotations(labels: DataFrame, key: str, label: str) -> DataFrame:
     """(key, path, quote): every wording that is not empty in valid JSON labels, with list places in its path."""
-    each = lambda m: f"concat({', '.join(f.quotes(f"{m}['{name}']", repr(name)) for name, f in CONTRACT.items())})"
-    found = _of(F.try_parse_json(label), lambda v: _let(f"try_variant_get({v}, '$.fields', 'map<string,variant>')", each))
+    found = _of(F.try_parse_json(label), lambda v: _let(f"try_variant_get({v}, '$.fields', 'map<string,variant>')", wordings_of))
     return labels.select(key, F.explode(found).alias("q")).select(key, "q.path", "q.quote")
 
 
@@ -385,19 +445,24 @@ def review_fields(labels: DataFrame, key: str, label: str) -> DataFrame:
     return each.select(key, "field", told("value").alias("value"), told("raw_text").alias("raw_text"), text("availability").alias("availability"), text("origin").alias("origin"), F.lit("").alias("evidence_input"), F.lit("").alias("note"))
 
 
-def to_review(label: dict, notes: dict[str, str] | None = None) -> dict[str, dict]:
-    """Editable texts of each field."""
-    told = lambda x: json.dumps(x, ensure_ascii=False, allow_nan=False)
-    return {
-        name: {"value": told(f["value"]), "raw_text": told(f["raw_text"]), "availability": f["availability"], "origin": f["origin"] or "", "evidence_input": (notes or {}).get(name, ""), "note": ""}
-        for name, f in label["fields"].items()
-    }
+def from_review(fields: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The labels that edited texts spell, (key, label), and what is wrong with others, (key, path, rule).
 
-
-def from_review(review: dict[str, dict]) -> dict:
-    """The label that edited texts spell; NotStrict or ValueError if it breaks the contract."""
-    label = {"fields": {name: {"value": strict_loads(f["value"]), "raw_text": strict_loads(f["raw_text"]), "availability": f["availability"], "origin": f["origin"] or None} for name, f in review.items()}}
-    wrong = next(problems(label), None)
-    if wrong:
-        raise ValueError(f"{wrong[0]}: {wrong[1]}")
-    return label
+    fields: key, field, value, raw_text, availability, origin, as review_fields() tells them. Values and wordings are strict
+    JSON, an empty origin is none. A field that is told twice, is missing or is none of the contract, and a text that is no JSON, are faults.
+    """
+    quoted = lambda c: json_quoted(F.col(c))
+    json_of = lambda c: F.to_json(strict_variant(F.col(c)))
+    spelled = F.concat(
+        F.lit('{"value": '), json_of("value"), F.lit(', "raw_text": '), json_of("raw_text"), F.lit(', "availability": '), F.coalesce(quoted("availability"), F.lit("null")),
+        F.lit(', "origin": '), F.when(F.coalesce(F.col("origin"), F.lit("")) == "", "null").otherwise(quoted("origin")), F.lit("}"),
+    )
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, CONTRACT)), F.col("field")), F.lit(0))
+    each = fields.select(key, place.alias("place"), F.col("field"), F.concat(quoted("field"), F.lit(": "), spelled).alias("told"))
+    unread = each.where("told is null").select(key, F.coalesce("field", F.lit("fields")).alias("path"), F.lit("json").alias("rule"))
+    whole = F.concat(F.lit('{"fields": {'), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "field", "told"))), lambda x: x["told"]), ", "), F.lit("}}"))
+    labels = each.groupBy(key).agg(whole.alias("label"), F.bool_or(F.col("told").isNull()).alias("unread")).where("not unread").select(key, "label")
+    # A generated row keeps the problems from being looked for twice.
+    found = labels.select(key, "label", F.explode(F.array(label_problems(F.col("label")))).alias("p"))
+    wrong = found.select(key, F.explode("p").alias("p")).select(key, "p.path", "p.rule")
+    return found.where(F.size("p") == 0).select(key, "label"), unread.unionByName(wrong)
