@@ -62,10 +62,15 @@ def cut(df: DataFrame) -> DataFrame:
 FEW = 1 << 20
 
 
+def sent(few: DataFrame, rows: int = FEW) -> DataFrame:
+    """A checkpoint or table of narrow rows, to be broadcast while it is counted to hold at most `rows` rows."""
+    return F.broadcast(few) if few.count() <= rows else few
+
+
 def lookup(df: DataFrame, few: DataFrame, on, how: str = "inner", rows: int = FEW) -> DataFrame:
     """df joined with a checkpoint or table of narrow rows: broadcast while it is counted to hold at most
     `rows` rows, else shuffled by the key."""
-    return df.join(F.broadcast(few) if few.count() <= rows else few, on, how)
+    return df.join(sent(few, rows), on, how)
 
 
 def groups(batches, keys: int):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, lean
+from .common import SPACE, cut, lean, sent
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -69,7 +69,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the target is spent. To place that point without ordering a source in one task, hashes fall into buckets of
     about per_bucket rows: buckets before the point are taken by their sums, and only the bucket
     that holds it is decided row by row (first fit in hash order, then one row more if that comes
-    nearer). Reruns agree. Null sources are one source, last in order; null texts have size 0.
+    nearer). The plan, a row for each source, is counted and broadcast, so rows stay where they are; only with more
+    than FEW sources are they shuffled by source. Reruns agree. Null sources are one source, last in order; null texts have size 0.
     A source without a word has target 0 and takes nothing. Rows equal in id, source and size count apart.
     """
     lean(docs.sparkSession)
@@ -83,10 +84,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     bits = F.least(F.lit(20), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / per_bucket)))).cast("int")
     targets = cut(water_fill(weighted, share, cap).select("source", "source_size", "target", bits.alias("bits"),
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("whole")))
-    same = lambda a, b: a.source.eqNullSafe(b.source)
 
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("size"))
-    t = targets.select(F.col("source").alias("s"), "bits", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
+    t = sent(targets).select(F.col("source").alias("s"), "bits", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
     bucket = F.expr("cast(part div shiftleft(1, 20 - bits) as int)")
     sums = parts.join(t, parts.source.eqNullSafe(t.s)).select("source", bucket.alias("bucket"), "size", "rest").groupBy("source", "bucket", "rest").agg(F.sum("size").alias("size"))
     up_to = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     first = first.select(F.col("source").alias("s"), F.col("x.bucket").alias("edge"), F.col("x.remaining").alias("remaining"))
     plan = cut(targets.join(first, targets.source.eqNullSafe(first.s), "left").drop("s").withColumnRenamed("source", "s"))
 
-    dealt = rows.join(plan, rows.source.eqNullSafe(plan.s)).withColumn("bucket", bucket)
+    dealt = rows.join(sent(plan), rows.source.eqNullSafe(plan.s)).withColumn("bucket", bucket)
     dealt = dealt.select("id", "source", "size", "h", "source_size", "target", "whole", "bucket", "edge", "remaining")
     columns = ["id", "size", "source_size", "target", "whole", "extra"]
     sure = dealt.where("edge is null or bucket <> edge").withColumn("extra", F.col("edge").isNotNull() & (F.col("bucket") < F.col("edge"))).select(*columns)

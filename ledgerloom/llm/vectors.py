@@ -20,14 +20,23 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Tile:
-    """Vectors with their int8 codes, scales, error lengths and norms; single rows are computed in double precision."""
+    """Vectors with their int8 codes, scales, error lengths and norms; single rows are computed in double precision.
+
+    Vectors are first divided by the power of two above their largest component, which is exact, so that no square overflows or vanishes.
+    """
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        return np.ldexp(self.x[at].astype(np.float64), -self.power[at][:, None])
 
     def __init__(self, x: np.ndarray, step: int = 1024):
         self.x, self.step = x, step
         self.norm, self.scale, self.missed = (np.empty(len(x)) for _ in range(3))
+        self.power = np.empty(len(x), np.int32)
         self.codes = np.empty(x.shape, np.int8)
         for k in range(0, len(x), step):
             part = x[k : k + step].astype(np.float64)
+            self.power[k : k + step] = power = np.frexp(np.abs(part).max(1))[1]
+            part = np.ldexp(part, -power[:, None])
             norm = self.norm[k : k + step] = np.sqrt((part * part).sum(1))
             self.codes[k : k + step], self.scale[k : k + step], self.missed[k : k + step] = quantise(part / norm[:, None])
 
@@ -52,7 +61,7 @@ def block_links(a: Tile, b: Tile, at: int, to: int, threshold: float) -> tuple[n
     kept = [np.zeros(0, bool)]
     for k in range(0, len(i), 32768):
         x, y = i[k : k + 32768], j[k : k + 32768]
-        kept.append(np.einsum("ij,ij->i", a.x[x].astype(np.float64), b.x[y].astype(np.float64)) / (a.norm[x] * b.norm[y]) >= threshold)
+        kept.append(np.einsum("ij,ij->i", a.rows(x), b.rows(y)) / (a.norm[x] * b.norm[y]) >= threshold)
     keep = np.concatenate(kept)
     return i[keep], j[keep]
 

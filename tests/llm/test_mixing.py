@@ -1,6 +1,8 @@
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import mixing as M
 
@@ -57,3 +59,47 @@ def test_few_sources_and_no_words(spark):
     none = M.mix(spark.createDataFrame([(1, None, "s", "x", "y"), (2, " ", "s", "x", "y")], SCHEMA)).collect()
     assert [(r.size, r.target, r.taken) for r in none] == [(0, 0.0, 0)] * 2
     assert M.mix(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("seed,per_bucket", [(4, 1024), (5, 16), (6, 3)])
+def test_taken_is_that_of_a_plain_walk(spark, seed, per_bucket):
+    rows = rows_of(seed, 700, ["b", "a", None])
+    rows += rows[:5] * 4  # equal rows
+    df = spark.createDataFrame(rows, SCHEMA)
+    h = F.xxhash64(F.lit(11), "id", "size", "source").bitwiseAND(F.lit((1 << 62) - 1))
+    hashed = M.sizes(df, "doc_id", "text", "source").withColumn("h", h).collect()
+    targets = {r.doc_id: r.target for r in M.mix(df).collect()}
+    expected = []
+    for source in {r.source for r in hashed}:
+        mine = sorted((r for r in hashed if r.source == source), key=lambda r: (r.h, r.id, r["size"]))
+        total, target = sum(r["size"] for r in mine), targets[mine[0].id]
+        times, bits = int(target // total), min(20, max(0, math.ceil(math.log2(len(mine) / per_bucket))))
+        left, extra, edge = target - times * total, [False] * len(mine), None
+        bucket = [(r.h >> 42) // (1 << (20 - bits)) for r in mine]
+        for b in sorted(set(bucket)):
+            size = sum(r["size"] for r, k in zip(mine, bucket) if k == b)
+            if size > left and left > 0:
+                edge = b
+                break
+            if left > 0:
+                extra = [x or k == b for x, k in zip(extra, bucket)]
+                left -= size
+        inside = [i for i, k in enumerate(bucket) if k == edge]
+        if edge is None:
+            extra = [False] * len(mine)
+        for i in inside:
+            if mine[i]["size"] <= left:
+                extra[i], left = True, left - mine[i]["size"]
+        near = [(abs(mine[i]["size"] - left), k, i) for k, i in enumerate(inside) if not extra[i] and mine[i]["size"] < 2 * left]
+        if near:
+            extra[min(near)[2]] = True
+        expected += [(r.id, (times + x) * r["size"]) for r, x in zip(mine, extra)]
+    got = [(r.doc_id, r.taken) for r in M.mix(df, per_bucket=per_bucket).collect()]
+    assert sorted(got) == sorted(expected)
+
+
+def test_rows_stay_where_they_are(spark):
+    """No exchange of rows by source: the plan is broadcast, and of the rows only those of edge buckets move."""
+    df = spark.range(240_000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("only").alias("source"))
+    plan = M.mix(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("BroadcastHashJoin") >= 2

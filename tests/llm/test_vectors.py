@@ -55,3 +55,13 @@ def test_bounds_hold():
 
 def test_empty(spark):
     assert V.near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 5e-324, 1.7e308])
+def test_extreme_lengths_link_like_others(spark, size):
+    x = np.array([[1.0, 1.0], [1.0, -1.0]]) * size
+    i, j = V.tile_links(x, x, 0.98)
+    assert sorted(zip(i.tolist(), j.tolist())) == [(0, 0), (1, 1)]
+    rows = [(1, [size, size], 0), (2, [size * 0.99, size], 0), (3, [1.0, 1.0], 0), (4, [-size, size], 0)]
+    got = V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]

@@ -120,3 +120,16 @@ def test_many_false_version_lines_take_linear_time():
     assert took[1] < 8 * took[0] + 0.5
     began = time.perf_counter()
     assert ids(W.salvage(b"WARC/1.1\r\n" * 500_000)) == [] and time.perf_counter() - began < 30
+
+
+def test_gaps_are_no_silent_loss(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"page {k}" * 20) for k in range(20)], "page_id long, url string, html string").coalesce(1)
+    W.write(pages, f"file://{tmp_path}/w")
+    assert W.whole(W.read(spark, f"file://{tmp_path}/w")).count() == 20
+    part = next(p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-"))
+    held = bytearray(part.read_bytes())
+    held[len(held) // 2] ^= 0xFF
+    part.write_bytes(held)
+    (tmp_path / "w" / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="unreadable bytes in"):
+        W.whole(W.read(spark, f"file://{tmp_path}/w")).select("page_id").collect()
