@@ -1,6 +1,6 @@
 """Ordered analytics: rolling rates, progress, intervals, islands, schedules.
 
-All windows are over a key, in an order that the caller makes unique.
+All run over a key, in an order that the caller makes unique; a key that is too large for one task is scanned in parts.
 """
 
 from __future__ import annotations
@@ -8,17 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _over(keys, order):
-    return Window.partitionBy(*keys).orderBy(*order)
+from .scan import Fold, over_last, running
 
 
 def rolling(df: DataFrame, keys: list[str], order: list, sums: dict[str, Column], n: int = 12) -> DataFrame:
     """Adds running sums over the last n rows, and `updates`, how many those are."""
     if n < 1:
         raise ValueError("a window holds one update or more")
-    last = _over(keys, order).rowsBetween(1 - n, 0)
-    return df.select("*", F.count(F.lit(1)).over(last).alias("updates"), *[F.sum(c).over(last).alias(name) for name, c in sums.items()])
+    return over_last(df, keys, order, sums, n)
 
 
 def rate(amount: Column, seconds: Column) -> Column:
@@ -31,27 +28,26 @@ def overlaps(df: DataFrame, keys: list[str], start: str, end: str, order: list)
 
     The largest end so far decides, in one sorted pass, instead of a self join on ranges.
     """
-    before = _over(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_reach", F.max(end).over(before)).where(F.col("_reach") > F.col(start)).drop("_reach")
+    return running(df, keys, order, {"_reach": Fold("max", F.col(end), before=True)}).where(F.col("_reach") > F.col(start)).drop("_reach")
 
 
 def gaps(df: DataFrame, keys: list[str], start: str, end: str, total: str) -> DataFrame:
     """(keys, gap_start, gap_end): what ranges leave open between 0 and the key's total."""
-    before = _over(keys, [F.col(start), F.col(end)])
-    reach = F.coalesce(F.max(end).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inner = df.select(*keys, reach.alias("gap_start"), F.col(start).alias("gap_end"))
+    reached = running(df, keys, [F.col(start), F.col(end)], {"_reach": Fold("max", F.col(end), before=True)})
+    inner = reached.select(*keys, F.coalesce("_reach", F.lit(0)).alias("gap_start"), F.col(start).alias("gap_end"))
     last = df.groupBy(*keys).agg(F.max(end).alias("gap_start"), F.max(total).alias("gap_end"))
     return inner.unionByName(last).where("gap_start < gap_end")
 
 
 def not_increasing(df: DataFrame, keys: list[str], order: list, counter: str) -> DataFrame:
     """Rows whose counter does not exceed the one before."""
-    return df.withColumn("previous", F.lag(counter).over(_over(keys, order))).where(F.col("previous") >= F.col(counter))
+    return running(df, keys, order, {"previous": Fold("lag", F.col(counter))}).where(F.col("previous") >= F.col(counter))
 
 
 def periods(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Adds update_period: first_update for a key's first row, steady_state for later ones."""
-    return df.withColumn("update_period", F.when(F.row_number().over(_over(keys, order)) == 1, "first_update").otherwise("steady_state"))
+    told = running(df, keys, order, {"_n": Fold("count")})
+    return told.withColumn("update_period", F.when(F.col("_n") == 1, "first_update").otherwise("steady_state")).drop("_n")
 
 
 def remaining(df: DataFrame, keys: list[str], order: list, seconds: str, step: str, planned: int) -> DataFrame:
@@ -60,11 +56,10 @@ def remaining(df: DataFrame, keys: list[str], order: list, seconds: str, step: s
     Rows after the first count, or the first where it is alone; `left` updates times the mean is the
     estimate, and there is none where later_seconds is zero.
     """
-    w = _over(keys, order)
-    n, so_far = F.row_number().over(w), w.rowsBetween(Window.unboundedPreceding, 0)
-    first, total = F.first(seconds).over(so_far), F.sum(seconds).over(so_far)
-    return df.select(
-        "*",
+    told = running(df, keys, order, {"_n": Fold("count"), "_first": Fold("first", F.col(seconds)), "_total": Fold("sum", F.col(seconds))})
+    n, first, total = F.col("_n"), F.col("_first"), F.col("_total")
+    return told.select(
+        *df.columns,
         F.when(n == 1, total).otherwise(total - first).alias("later_seconds"),
         F.greatest(n - 1, F.lit(1)).cast("long").alias("later_updates"),
         F.greatest(F.lit(planned) - F.col(step), F.lit(0)).cast("long").alias("left"),
@@ -84,17 +79,16 @@ def epoch(position: Column, bounds: list[int]) -> dict[str, Column]:
 
 def runs_below(df: DataFrame, keys: list[str], order: list, below: Column, least: int = 2) -> DataFrame:
     """Adds `below_count`, rows in a row so far for which `below` holds, and `limit` once they are `least`."""
-    w = _over(keys, order)
-    islands = df.withColumn("_low", F.coalesce(below, F.lit(False))).withColumn("_island", F.sum(F.when(F.col("_low"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*keys, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = islands.withColumn("below_count", F.sum(F.col("_low").cast("long")).over(inside))
-    return counted.withColumn("limit", F.col("below_count") >= least).drop("_low", "_island")
+    told = running(df, keys, order, {"_n": Fold("count")})
+    high = running(told.withColumn("_high", F.when(F.coalesce(below, F.lit(False)), None).otherwise(F.col("_n"))), keys, order, {"_last": Fold("max", F.col("_high"))})
+    counted = high.withColumn("below_count", F.col("_n") - F.coalesce("_last", F.lit(0)))
+    return counted.withColumn("limit", F.col("below_count") >= least).drop("_n", "_high", "_last")
 
 
 def bucket_changes(df: DataFrame, keys: list[str], order: list, value: str, width: int = 10) -> DataFrame:
     """Rows where the value enters another bucket of the width than the row before."""
     bucket = F.floor(F.col(value) / width)
-    return df.withColumn("_before", F.lag(bucket).over(_over(keys, order))).where(F.col("_before").isNull() | (bucket > F.col("_before"))).drop("_before")
+    return running(df, keys, order, {"_before": Fold("lag", bucket)}).where(F.col("_before").isNull() | (bucket > F.col("_before"))).drop("_before")
 
 
 def scheduled(step: Column, every: int, listed: tuple[int, ...] = ()) -> Column:
@@ -110,30 +104,27 @@ def tail(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
 
 def charges(df: DataFrame, keys: list[str], order: list, amount: Column, budget) -> DataFrame:
     """Adds `charged`, the running sum of reserved and settled amounts, and whether it is over the budget."""
-    so_far = _over(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("charged", F.sum(amount).over(so_far)).withColumn("over_budget", F.col("charged") > budget)
+    return running(df, keys, order, {"charged": Fold("sum", amount)}).withColumn("over_budget", F.col("charged") > budget)
 
 
 def positions(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Adds `position`, from zero, in each key."""
-    return df.withColumn("position", (F.row_number().over(_over(keys, order)) - 1).cast("long"))
+    return running(df, keys, order, {"position": Fold("count", before=True)})
 
 
 def extremes(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:
     """Adds `least` and `most`, the smallest and largest value of the key so far."""
-    so_far = _over(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("least", F.min(value).over(so_far)).withColumn("most", F.max(value).over(so_far))
+    return running(df, keys, order, {"least": Fold("min", F.col(value)), "most": Fold("max", F.col(value))})
 
 
 def shown_counters(df: DataFrame, keys: list[str], order: list, counter: str) -> DataFrame:
     """Adds `shown`, the counter as a display keeps it: a fall is ignored."""
-    return df.withColumn("shown", F.max(counter).over(_over(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
+    return running(df, keys, order, {"shown": Fold("max", F.col(counter))})
 
 
 def adjacent(df: DataFrame, keys: list[str], order: list, columns: list[str]) -> DataFrame:
     """Adds before_<column> and after_<column>, those of the neighbours in the key."""
-    w = _over(keys, order)
-    return df.select("*", *[F.lag(c).over(w).alias(f"before_{c}") for c in columns], *[F.lead(c).over(w).alias(f"after_{c}") for c in columns])
+    return running(df, keys, order, {f"{side}_{c}": Fold(how, F.col(c)) for side, how in (("before", "lag"), ("after", "lead")) for c in columns})
 
 
 def attempt_totals(df: DataFrame, keys: list[str], order: list, sums: list[str], loop: str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import answers, datasets, holdout, ordered, packets, rules, run
 from ..sources import files, sinks
 from ..streaming import events as event_streams
 from .audit import query
-from .streams import shared
+from ..sources.scratch import shared
 
 c = F.col
 

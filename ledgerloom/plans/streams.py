@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared
 from ..streaming import events
 from .audit import ORACLES, QUERIES
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one where the driver is the executor."""
-    at, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-    if not at and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
-    at = at or tempfile.mkdtemp(prefix="ledgerloom-")
-    return f"{at}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The files of a table as a stream; a table that is one file is read from its folder."""
     path = f"{sf_dir}/{table}.parquet"
