@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import grams
+from ..sources.scratch import cut
+
 
 def keyed(df: DataFrame, keys: dict[str, Column], *keep: str) -> DataFrame:
     """A row (kind, key) for each key of a row that is not null; an array gives one for each element."""
@@ -54,38 +58,64 @@ def supported(quote: Column, cells: Column) -> Column:
     return (F.length(quote) > 0) & F.exists(cells, lambda c: F.contains(c, quote))
 
 
-def quotations_in(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, quote: str, held: int = 8 << 20) -> DataFrame:
-    """(doc, item) where the document holds the whole quotation, compared exactly.
-
-    A task holds one Aho-Corasick automaton of about `held` bytes of quotations and reads each text once.
-    More quotations are dealt by hash into as many passes over the texts as that takes; the driver holds
-    the quotations of all passes, so they may not exceed its memory. Texts are never shuffled.
-    """
-    quotes = items.select(F.col(item_id).cast("long").alias("i"), F.col(quote).alias("q")).where(F.length("q") > 0)
-    docs = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("t is not null")
-    n, size = quotes.agg(F.count_distinct("q"), F.sum(F.octet_length("q"))).first()
-    passes = max(1, min(n, -(-(size or 0) // max(1, held))))
-    part = F.pmod(F.xxhash64("q"), F.lit(passes))
-    return reduce(DataFrame.unionByName, [_pass(docs, quotes.where(part == k) if passes > 1 else quotes, doc_id, item_id) for k in range(passes)])
-
+def _grams_of(widths: list[int] | None, key: str):
+    """(key, width, gram) of texts; of all given widths, or of the text's own where none are given."""
 
-def _pass(docs: DataFrame, quotes: DataFrame, doc_id: str, item_id: str) -> DataFrame:
-    by_text: dict[str, list[int]] = {}
-    for r in quotes.collect():
-        by_text.setdefault(r["q"], []).append(r["i"])
+    def told(held: list):
+        rows, some, found = zip(*held)
+        sizes = [len(f) for f in found]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.repeat(r, n) for r, n in zip(rows, sizes)]), pa.array(np.repeat(some, sizes), pa.int32()), pa.array(np.concatenate(found))], [key, "width", "gram"])
 
     def run(batches):
-        import ahocorasick
-
-        found = ahocorasick.Automaton()
-        for q, ids in by_text.items():
-            found.add_word(q, ids)
-        found.make_automaton()
+        held, size = [], 0
         for batch in batches:
-            pairs = [(d, i) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in dict.fromkeys(i for _, ids in found.iter(t) for i in ids)] if by_text else []
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], [doc_id, item_id])
-
-    return docs.mapInArrow(run, f"{doc_id} long, {item_id} long")
+            for k in range(batch.num_rows):
+                data = batch.column(1)[k].as_buffer().to_pybytes()
+                for width in [w for w in widths if w <= len(data)] if widths is not None else [grams.width_of(len(data))]:
+                    held.append((batch.column(0)[k], width, grams.grams(data, width)))
+                    size += len(held[-1][2])
+                if size > 1 << 18:
+                    yield told(held)
+                    held, size = [], 0
+        if held:
+            yield told(held)
+
+    return run
+
+
+def anchors(quotes: DataFrame) -> DataFrame:
+    """(quote, width, gram) of distinct quotations that are not empty: of a quotation's grams, the one that fewest others have."""
+    each = quotes.select("quote", F.col("quote").cast("binary").alias("b")).mapInArrow(_grams_of(None, "quote"), "quote string, width int, gram long")
+    each = cut(each)
+    counts = each.groupBy("width", "gram").agg(F.count("*").alias("n"))
+    return each.join(counts, ["width", "gram"]).groupBy("quote", "width").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+
+
+def _few(df: DataFrame, size: Column, rows: int, held: int) -> DataFrame:
+    """A checkpoint, to be broadcast while it is counted to hold at most so many rows and bytes."""
+    n, total = df.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= held else df
+
+
+def quotations_in(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, quote: str, rows: int = 1 << 17, held: int = 32 << 20) -> DataFrame:
+    """(doc, item) where the document holds the whole quotation, compared exactly, byte by byte.
+
+    Each distinct quotation is found by one gram of it, its rarest, in an equi join with the grams of the texts: of those only the least of each
+    window travel, which any text with the quotation shares. Pairs that share one are compared in full. The driver holds no
+    quotation; anchors are broadcast while they are counted to be at most `rows` and of `held` bytes, else both sides are shuffled, and so
+    are the documents that may hold a quotation. Quotations of under 8 bytes meet every gram of the texts.
+    Null texts and quotations, and empty quotations, are in nothing; documents and items without an id are left
+    out. Rows that repeat an id count apart.
+    """
+    asked = items.select(F.col(item_id).cast("long").alias("item"), F.col(quote).alias("quote")).where("item is not null and length(quote) > 0")
+    told = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
+    known = cut(anchors(asked.select("quote").distinct()))
+    widths = sorted(known.agg(F.collect_set("width")).first()[0])  # at most one for each of GRAMS
+    met = told.select("doc", F.col("text").cast("binary").alias("b")).mapInArrow(_grams_of(widths, "doc"), "doc long, width int, gram long")
+    pairs = cut(met.join(_few(known, F.octet_length("quote"), rows, held), ["width", "gram"]).select("doc", "quote").distinct())
+    size = F.octet_length("quote")
+    found = told.join(_few(pairs, size, rows, held), "doc").where(F.contains("text", F.col("quote"))).select("doc", "quote")
+    return found.join(asked, "quote").select(F.col("doc").alias(doc_id), F.col("item").alias(item_id))
 
 
 def missing(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import grams
 from ledgerloom.functions import markup as M
 from ledgerloom.functions import text as T
 from ledgerloom.operators import answers as A
@@ -78,13 +79,48 @@ def test_reached_by_any_key(spark):
     assert rows(J.reached(c, "id", {"hash": F.col("h"), "cik": F.col("ciks")}, protected)) == [(1,), (2,)]
 
 
-@pytest.mark.parametrize("held", [1 << 20, 0])
+@pytest.mark.parametrize("held", [0, 1 << 20])
 def test_quotations(spark, held):
-    docs = [(1, "the one two three four end"), (2, "xone two three fourx"), (3, "one  two three four"), (4, None), (5, "ab"), (6, "a b one two three four a b one two three four")]
-    items = [(1, "one two three four"), (2, "b"), (3, ""), (4, None), (5, "one two three four"), (6, "ne two three fou"), (7, "absent one two three words")]
-    d, i = spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i long, q string")
-    want = sorted((a, b) for a, t in docs for b, q in items if t and q and q in t)
+    docs = [(1, "the one two three four end"), (2, "xone two three fourx"), (3, "one  two three four"), (4, None), (5, "ab"), (6, "a b one two three four a b one two three four"), (7, ""), (6, "b"), (None, "b")]
+    items = [(1, "one two three four"), (2, "b"), (3, ""), (4, None), (5, "one two three four"), (6, "ne two three fou"), (7, "absent one two three words"), (5, "b"), (None, "b")]
+    d, i = spark.createDataFrame(docs, "d long, t string").repartition(3), spark.createDataFrame(items, "i long, q string").repartition(2)
+    want = sorted((a, b) for a, t in docs for b, q in items if t and q and q in t and a is not None and b is not None)
     assert rows(J.quotations_in(d, "d", "t", i, "i", "q", held=held)) == want
+    assert rows(J.quotations_in(d, "d", "t", i.where("false"), "i", "q")) == rows(J.quotations_in(d.where("false"), "d", "t", i, "i", "q")) == []
+
+
+def test_quotations_of_every_length(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab é😀", k=rng.randrange(0, 400))) for _ in range(30)] + ["ab" * 300]
+    quotes = [t[a : a + n] for t in texts for n in (1, 2, 3, 5, 7, 8, 9, 15, 16, 17, 31, 33, 63, 64, 65, 127, 200) for a in [rng.randrange(0, max(1, len(t) - n + 1))]]
+    quotes += [q[:-1] + "z" for q in quotes[::7]]
+    d, i = spark.createDataFrame(list(enumerate(texts)), "d long, t string"), spark.createDataFrame(list(enumerate(quotes)), "i long, q string")
+    want = sorted((a, b) for a, t in enumerate(texts) for b, q in enumerate(quotes) if q and q in t)
+    assert rows(J.quotations_in(d, "d", "t", i, "i", "q")) == want == rows(J.quotations_in(d, "d", "t", i, "i", "q", rows=0))
+
+
+def test_more_quotations_than_are_broadcast(spark):
+    """Numbered passages, each in one of many texts; nothing but counts comes to the driver."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(49)), lambda k: F.concat(F.lit("passage number "), (F.col("id") * 50 + k).cast("string"), F.lit(" ends."))))
+    docs = spark.range(200).select(F.col("id").alias("d"), text.alias("t"))
+    items = spark.range(12_000).select(F.col("id").alias("i"), F.concat(F.lit("passage number "), F.col("id").cast("string"), F.lit(" ends")).alias("q"))
+    found = J.quotations_in(docs, "d", "t", items, "i", "q", rows=100)
+    assert rows(found) == sorted((k // 50, k) for k in range(10_000))
+
+
+def test_passages_share_a_gram_with_their_texts():
+    rng = random.Random(9)
+    for _ in range(300):
+        text = bytes(rng.choices(b"abc", k=rng.randrange(1, 500)))
+        a = rng.randrange(0, len(text))
+        part = text[a : a + rng.randrange(1, 200)]
+        width = grams.width_of(len(part))
+        own = set(grams.grams(part, width).tolist())
+        assert own and own <= set(grams.grams(text, width).tolist())
+    long = bytes(rng.choices(b"abcdefgh", k=3 * grams.STRETCH))
+    for width in grams.GRAMS:
+        for at in (grams.STRETCH - 33, 2 * grams.STRETCH - 1, len(long) - width):
+            assert set(grams.grams(long[at : at + width], width).tolist()) <= set(grams.grams(long, width).tolist())
 
 
 ranges = st.lists(st.tuples(st.integers(0, 30), st.integers(1, 8)), max_size=12)
