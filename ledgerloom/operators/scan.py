@@ -42,15 +42,15 @@ def _whole(fold: Fold, value: str) -> Column:
         case "count":
             return F.count("*")
         case "lag":
-            return F.max_by(F.struct(value), "_rn")
+            return F.max_by(F.struct(value), "_scan_rn")
         case "first" | "lead":
-            return F.min_by(F.struct(value), "_rn")
+            return F.min_by(F.struct(value), "_scan_rn")
     return getattr(F, fold.how)(value)
 
 
 def _carried(fold: Fold, whole: str) -> Column:
     """What comes into a part of a key from the others, over one row a part."""
-    w = Window.partitionBy("_key").orderBy("_part")
+    w = Window.partitionBy("_scan_key").orderBy("_scan_part")
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     match fold.how:
         case "lag" | "lead":
@@ -75,8 +75,8 @@ def _combined(fold: Fold, local: Column, carry: Column, value: str) -> Column:
         case "first":
             return F.when(carry.isNotNull(), carry[value]).otherwise(local)
         case "lag":
-            return F.when(F.col("_rn") == 1, carry[value]).otherwise(local)
-    return F.when(F.col("_rn") == F.col("_rows"), carry[value]).otherwise(local)
+            return F.when(F.col("_scan_rn") == 1, carry[value]).otherwise(local)
+    return F.when(F.col("_scan_rn") == F.col("_scan_rows"), carry[value]).otherwise(local)
 
 
 def running(df: DataFrame, keys: list[str], order: list, folds: dict[str, Fold], hot: int | None = None) -> DataFrame:
@@ -96,24 +96,24 @@ def running(df: DataFrame, keys: list[str], order: list, folds: dict[str, Fold],
 
     if df.count() <= hot:
         return windows(df)
-    counts = cut(df.groupBy(key.alias("_key")).agg(F.count("*").alias("n")).where(F.col("n") > hot))
+    counts = cut(df.groupBy(key.alias("_scan_key")).agg(F.count("*").alias("n")).where(F.col("n") > hot))
     rows = counts.agg(F.sum("n")).first()[0]
     if not rows:
         return windows(df)
     # Of keys over `hot` rows there are at most so many as the table has times `hot` rows.
-    heavy = F.broadcast(counts.select("_key"))
-    keyed = df.withColumn("_key", key)
-    rest = windows(keyed.join(heavy, "_key", "left_anti"))
+    heavy = F.broadcast(counts.select("_scan_key"))
+    keyed = df.withColumn("_scan_key", key)
+    rest = windows(keyed.join(heavy, "_scan_key", "left_anti"))
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * rows // hot))
-    values = {n: f"_v{i}" for i, n in enumerate(folds)}
-    told = keyed.join(heavy, "_key", "left_semi").select("*", *[(f.column if f.column is not None else F.lit(1)).alias(values[n]) for n, f in folds.items()])
-    placed = told.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part", "_key").orderBy(*order)
+    values = {n: f"_scan_v{i}" for i, n in enumerate(folds)}
+    told = keyed.join(heavy, "_scan_key", "left_semi").select("*", *[(f.column if f.column is not None else F.lit(1)).alias(values[n]) for n, f in folds.items()])
+    placed = told.repartitionByRange(parts, *keys, *order).withColumn("_scan_part", F.spark_partition_id())
+    w = Window.partitionBy("_scan_part", "_scan_key").orderBy(*order)
     all_of = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    held = cut(placed.select("*", F.row_number().over(w).alias("_rn"), F.count(F.lit(1)).over(all_of).alias("_rows"), *[_local(f, F.col(values[n]), w).alias(f"_l{values[n]}") for n, f in folds.items()]))
-    ends = held.groupBy("_part", "_key").agg(*[_whole(f, values[n]).alias(f"_w{values[n]}") for n, f in folds.items()])
-    carries = cut(ends.select("_part", "_key", *[_carried(f, f"_w{values[n]}").alias(f"_c{values[n]}") for n, f in folds.items()]))
-    both = held.join(F.broadcast(carries) if carries.count() <= HOT else carries, ["_part", "_key"])
+    held = cut(placed.select("*", F.row_number().over(w).alias("_scan_rn"), F.count(F.lit(1)).over(all_of).alias("_scan_rows"), *[_local(f, F.col(values[n]), w).alias(f"_l{values[n]}") for n, f in folds.items()]))
+    ends = held.groupBy("_scan_part", "_scan_key").agg(*[_whole(f, values[n]).alias(f"_w{values[n]}") for n, f in folds.items()])
+    carries = cut(ends.select("_scan_part", "_scan_key", *[_carried(f, f"_w{values[n]}").alias(f"_c{values[n]}") for n, f in folds.items()]))
+    both = held.join(F.broadcast(carries) if carries.count() <= HOT else carries, ["_scan_part", "_scan_key"])
     return both.select(*names, *[_combined(f, F.col(f"_l{values[n]}"), F.col(f"_c{values[n]}"), values[n]).alias(n) for n, f in folds.items()]).unionByName(rest)
 
 
@@ -131,10 +131,10 @@ def over_last(df: DataFrame, keys: list[str], order: list, sums: dict[str, Colum
 
     if df.count() <= hot:
         return sums_over(df, Window.partitionBy(*keys).orderBy(*order))
-    placed = running(df, keys, order, {"_at": Fold("count", before=True)}, hot)
+    placed = running(df, keys, order, {"_scan_at": Fold("count", before=True)}, hot)
     length = max(hot // 2, n)
-    stretch = F.expr(f"_at div {length}")
-    also = F.when(F.col("_at") % length > length - n, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))
-    dealt = placed.select("*", F.explode(also).alias("_stretch"))
-    told = sums_over(dealt, Window.partitionBy(*keys, "_stretch").orderBy("_at"))
-    return told.where(F.col("_stretch") == stretch).select(*names, "updates", *sums)
+    stretch = F.expr(f"_scan_at div {length}")
+    also = F.when(F.col("_scan_at") % length > length - n, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))
+    dealt = placed.select("*", F.explode(also).alias("_scan_stretch"))
+    told = sums_over(dealt, Window.partitionBy(*keys, "_scan_stretch").orderBy("_scan_at"))
+    return told.where(F.col("_scan_stretch") == stretch).select(*names, "updates", *sums)

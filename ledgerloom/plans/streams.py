@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import event_streams as sources
 from ..sources.scratch import shared
 from ..streaming import events
 from .audit import ORACLES, QUERIES
@@ -46,6 +47,27 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("chunks"), F.sum(F.octet_length("chunk")).alias("bytes"), F.min("arrived").alias("first_us"), F.max("arrived").alias("last_us"))
 
 
+def stream_server_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen files of server-sent events, written from the table and read as a stream of complete lines.
+
+    A file is split between tasks, and a line over 16 bytes or beyond the file's first 20,000 is told as too long."""
+    line = F.when(F.col("event_type") == "error", ": ping").otherwise(F.concat(F.lit("data: "), "props"))
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 16).alias("stream"), "event_id", line.alias("line"))
+    at = shared(spark, "server-events")
+    lines.repartition("stream").sortWithinPartitions("stream", "event_id").select("stream", "line").write.partitionBy("stream").text(f"{at}/files")
+    sources.register(spark)
+    read = spark.readStream.format("event_lines").option("lineLimit", 16).option("streamLimit", 20_000).option("stretch", 16_384).load(f"{at}/files")
+    found = read.select(F.regexp_extract("path", "/stream=([0-9]+)/", 1).cast("long").alias("stream"), "stop", F.try_parse_json(sources.payload()).alias("event"), "too_long").where("too_long or event is not null")
+    told = found.select("stream", "stop", F.try_variant_get("event", "$.k", "long").alias("k"), "too_long")
+    events.run_to_end(told, events.append_to(f"{at}/rows"), f"{at}/checkpoint", "append")
+    return events.committed(spark, f"{at}/rows").select("stream", "stop", "k", "too_long")
+
+
+QUERIES["stream_server_events"] = stream_server_events
+ORACLES["stream_server_events"] = """
+WITH l AS (SELECT user_id % 16 AS stream, event_id, CASE event_type WHEN 'error' THEN ': ping' ELSE 'data: ' || props END AS line FROM events),
+s AS (SELECT *, octet_length(encode(line)) AS size, (sum(octet_length(encode(line)) + 1) OVER (PARTITION BY stream ORDER BY event_id))::BIGINT AS stop FROM l)
+SELECT stream, stop, CASE WHEN size <= 16 AND line LIKE 'data: %' THEN (substr(line, 7) ->> '$.k')::BIGINT END AS k, size > 16 OR stop > 20000 AS too_long FROM s WHERE size > 16 OR stop > 20000 OR line LIKE 'data: %'"""
 QUERIES["stream_chunks"] = stream_chunks
 ORACLES["stream_chunks"] = "SELECT user_id, count(*) AS chunks, sum(octet_length(encode(props)))::BIGINT AS bytes, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM events GROUP BY user_id"
 QUERIES["stream_state"] = stream_state

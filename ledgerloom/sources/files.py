@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import parsed
 from ..operators.rules import Rule, duplicates, violations
+from ..operators.scan import Fold, running
 
 #: Largest source, in bytes.
 SOURCE_LIMIT = 100 << 20
@@ -67,13 +68,30 @@ def framed_lines(chunks: DataFrame, key: str = "path", position: str = "position
     """(key, line, value) of text that arrives in chunks: lines end at newlines, in the order of the chunks.
 
     What stands open at the end is the last line. A line longer than `limit` characters is cut into pieces of
-    that size, each a line, so that no row is larger; empty lines stay. A key's chunks are one task's.
+    that size, each a line, so that no row is larger; empty lines stay. Null chunks are empty.
+
+    A key is never put together: each chunk learns from running values how many lines and characters came before it and where
+    the open line began, and so to which piece of which line its parts belong. Only pieces are joined.
     """
-    whole = chunks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, column))), lambda x: x[column]), "").alias("_all"))
-    lines = F.split("_all", "\n")
-    kept = F.when(F.get(lines, F.size(lines) - 1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    cut = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(x) - 1) / limit), F.lit(0)).cast("int")), lambda i: F.rtrim(F.substring(x, i * limit + 1, F.lit(limit)), F.lit("\r")))
-    return whole.select(key, F.posexplode(F.flatten(F.transform(kept, cut))).alias("line", "value"))
+    told = chunks.select(F.col(key).alias("_key"), F.col(position).alias("_at"), F.coalesce(column, F.lit("")).alias("_text"))
+    told = told.withColumn("_parts", F.split("_text", "\n")).withColumn("_new", (F.size("_parts") - 1).cast("long"))
+    told = running(told, ["_key"], ["_at"], {"_before": Fold("sum", F.length("_text").cast("long"), before=True), "_lines": Fold("sum", F.col("_new"), before=True)})
+    told = told.withColumn("_before", F.coalesce("_before", F.lit(0))).withColumn("_lines", F.coalesce("_lines", F.lit(0)))
+    open_from = F.when(F.col("_new") > 0, F.col("_before") + F.length("_text") - F.length(F.get("_parts", F.col("_new").cast("int"))))
+    told = running(told, ["_key"], ["_at"], {"_open": Fold("max", open_from, before=True)})
+    parts = told.select("_key", "_at", "_lines", "_new", (F.col("_before") - F.coalesce("_open", F.lit(0))).alias("_inside"), F.posexplode("_parts").alias("_k", "_part"))
+    offset, size = F.when(F.col("_k") == 0, F.col("_inside")).otherwise(0), F.length("_part")
+    parts = parts.where((F.col("_k") < F.col("_new")) | (size > 0)).withColumn("_from", offset)
+    # A part without characters only says that its line is there.
+    first = F.when(size > 0, F.floor(F.col("_from") / limit)).otherwise(F.floor(F.greatest(F.col("_from") - 1, F.lit(0)) / limit))
+    last = F.when(size > 0, F.floor((F.col("_from") + size - 1) / limit)).otherwise(first)
+    pieces = parts.select("*", F.explode(F.sequence(first, last)).alias("_piece"))
+    begin, end = F.greatest(F.col("_piece") * limit, F.col("_from")), F.least((F.col("_piece") + 1) * limit, F.col("_from") + size)
+    cut = F.substring(F.col("_part"), (begin - F.col("_from") + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
+    pieces = pieces.select("_key", (F.col("_lines") + F.col("_k")).alias("_line"), "_piece", F.struct("_at", cut.alias("text")).alias("x"))
+    whole = pieces.groupBy("_key", "_line", "_piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), "").alias("value"))
+    numbered = running(whole, ["_key"], ["_line", "_piece"], {"line": Fold("count", before=True)})
+    return numbered.select(F.col("_key").alias(key), "line", F.rtrim("value", F.lit("\r")).alias("value"))
 
 
 # Forms of the index that are kept.
@@ -129,11 +147,10 @@ def server_events(lines: DataFrame, schema: str, column: str = "value", line_lim
     token_limit, more payloads came than that.
     """
     is_data = F.col(column).startswith("data: ")
-    done = F.min(F.when(F.col(column) == "data: [DONE]", F.col("position"))).over(Window.partitionBy("path"))
-    so_far = Window.partitionBy("path").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    size, place = F.octet_length(column), F.sum(is_data.cast("long")).over(so_far)
-    told = lines.withColumn("_done", done).withColumn("_bytes", F.sum(size + 1).over(so_far)).withColumn("_n", place)
-    told = told.where(is_data & (F.col("_done").isNull() | (F.col("position") < F.col("_done"))))
+    size = F.octet_length(column)
+    folds = {"_done": Fold("min", F.when(F.col(column) == "data: [DONE]", F.col("position"))), "_bytes": Fold("sum", (size + 1).cast("long")), "_n": Fold("sum", is_data.cast("long"))}
+    told = running(lines, ["path"], ["position"], folds)
+    told = told.where(is_data & F.col("_done").isNull())
     body = F.substring(F.col(column), F.lit(7), F.length(column))
     over = (size > line_limit) | (F.col("_bytes") > stream_limit)
     return told.select("path", "position", F.from_json(body, schema).alias("event"), (over if token_limit is None else over | (F.col("_n") > token_limit)).alias("too_long"))

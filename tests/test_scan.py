@@ -60,8 +60,8 @@ def test_no_part_has_over_twice_its_share(spark, rows, monkeypatch):
     cut = scan.cut
     monkeypatch.setattr(scan, "cut", lambda df: seen.append(cut(df)) or seen[-1])
     scan.running(rows, ["k"], ["at"], {"n": scan.Fold("count")}, hot=300)
-    held = next(d for d in seen if "_rn" in d.columns)
-    sizes = [r["count"] for r in held.groupBy("_part").count().collect()]
+    held = next(d for d in seen if "_scan_rn" in d.columns)
+    sizes = [r["count"] for r in held.groupBy("_scan_part").count().collect()]
     assert sum(sizes) == 2700 and len(sizes) >= 15 and max(sizes) <= 2 * sum(sizes) / len(sizes)
 
 
