@@ -2,38 +2,40 @@
 
 from __future__ import annotations
 
-import json
-import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from ..functions.canonical import strict_variant
 
 # Kinds and schema of training events.
 KINDS = ("phase", "update", "measurement", "memory", "attempt")
 EVENT_SCHEMA = "training-event-v1"
 
 
-def valid_event(text: str) -> dict | None:
-    """A well-formed event, None for any other line; optional telemetry never fails its reader."""
-    try:
-        event = json.loads(text)
-        seconds = event["attempt_elapsed_seconds"]
-        sound = event["schema_version"] == EVENT_SCHEMA and event["kind"] in KINDS and type(seconds) in (int, float)
-        return event if sound and math.isfinite(seconds) and seconds >= 0 else None
-    except (ValueError, TypeError, KeyError, RecursionError, OverflowError):
-        return None
+#: What a line must be to be an event, each over its variant `v`. A line that keeps all is one.
+RULES = (
+    "v.schema_version = '%s'" % EVENT_SCHEMA,
+    "v.kind IN (%s)" % ", ".join(f"'{k}'" for k in KINDS),
+    "v.seconds_type RLIKE '^(BIGINT|DOUBLE|DECIMAL)'",
+    "v.seconds >= 0 AND v.seconds < double('Infinity')",
+)
+
 
+def events(lines: Column | str) -> Column:
+    """struct(kind, attempt_id, seconds, event) of well-formed events, nulls for other lines: optional telemetry never fails its reader.
 
-@F.pandas_udf(StructType([StructField("kind", StringType()), StructField("attempt_id", StringType()), StructField("seconds", DoubleType()), StructField("event", StringType())]))
-def events(lines: pd.Series) -> pd.DataFrame:
-    """Fields of valid events, nulls for other lines."""
-    found = [valid_event(x or "") for x in lines]
-    rows = [(e["kind"], e.get("attempt_id"), float(e["attempt_elapsed_seconds"]), json.dumps(e, sort_keys=True)) if e else (None,) * 4 for e in found]
-    return pd.DataFrame(rows, columns=["kind", "attempt_id", "seconds", "event"])
+    event is the JSON with sorted keys. A line that repeats a key is none."""
+    text = F.col(lines) if isinstance(lines, str) else lines
+    told = strict_variant(text)
+    seconds = F.try_variant_get(told, "$.attempt_elapsed_seconds", "variant")
+    of = lambda name, kind: F.try_variant_get(told, f"$.{name}", kind)
+    facts = F.struct(of("schema_version", "string").alias("schema_version"), of("kind", "string").alias("kind"), of("attempt_id", "string").alias("attempt_id"), F.schema_of_variant(seconds).alias("seconds_type"), of("attempt_elapsed_seconds", "double").alias("seconds"), F.to_json(told).alias("event"))
+    fits = " AND ".join(f"coalesce({r}, false)" for r in RULES)
+    return F.get(F.call_function("transform", F.array(facts), F.expr(f"v -> named_struct('kind', IF({fits}, v.kind, null), 'attempt_id', IF({fits}, v.attempt_id, null), 'seconds', IF({fits}, v.seconds, null), 'event', IF({fits}, v.event, null))")), F.lit(0))
 
 
 def latest(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -70,6 +72,22 @@ def append_to(path: str) -> Callable[[DataFrame, int], None]:
     return commit
 
 
+def durable_and_shown(kept: str, shown: str, order: list[str], most: int) -> Callable[[DataFrame, int], None]:
+    """A commit to two sinks: `kept` gets every row, the display in `shown` the first `most` of a trigger and the number of those it dropped.
+
+    The display is one row a trigger (lines, shown, dropped) and may lose lines, never the durable sink; both replace themselves when a batch is repeated."""
+
+    def commit(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{kept}/batch={n}")
+        rows = batch.sparkSession.read.parquet(f"{kept}/batch={n}")
+        first = rows.orderBy(*order).limit(most).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in rows.columns if c not in order]))).alias("lines"))
+        total = rows.agg(F.count("*").alias("total"))
+        told = first.join(F.broadcast(total), how="cross").select("lines", F.size("lines").cast("long").alias("shown"), (F.col("total") - F.size("lines")).alias("dropped"))
+        told.write.mode("overwrite").parquet(f"{shown}/batch={n}")
+
+    return commit
+
+
 def committed(spark: SparkSession, path: str) -> DataFrame:
     """All batches that append_to() wrote."""
     return spark.read.option("basePath", path).parquet(path)

@@ -1,8 +1,9 @@
 import json
+from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.streaming import attempts as A
 from ledgerloom.streaming import events as E
 
 
@@ -10,15 +11,51 @@ def line(**changes):
     return json.dumps({"schema_version": "training-event-v1", "kind": "update", "attempt_id": "a", "attempt_elapsed_seconds": 1.5} | changes)
 
 
-@pytest.mark.parametrize("text,ok", [(line(), True), (line(kind="other"), False), (line(attempt_elapsed_seconds=True), False), (line(attempt_elapsed_seconds=-1), False), ("plain", False), ("[1]", False),
-                                     (line(attempt_elapsed_seconds=float("nan")), False), (line(schema_version="v0"), False), ("", False)])
-def test_valid_event(text, ok):
-    assert (E.valid_event(text) is not None) == ok
+LINES = [(line(), True), (line(kind="other"), False), (line(attempt_elapsed_seconds=True), False), (line(attempt_elapsed_seconds=-1), False), ("plain", False), ("[1]", False), (line(attempt_elapsed_seconds=float("nan")), False),
+         (line(schema_version="v0"), False), ("", False), (line(attempt_elapsed_seconds="1"), False), (line(attempt_elapsed_seconds=0), True), (line(attempt_elapsed_seconds=10**30), True), (line(attempt_elapsed_seconds=None), False),
+         (line() + "x", False), (line(kind=3), False), (line(attempt_id=None), True), (None, False), ('{"schema_version": "training-event-v1", "kind": "phase", "attempt_elapsed_seconds": 1e400}', False)]
 
 
 def test_events_never_fail(spark):
-    got = spark.createDataFrame([(line(),), ("junk",), (None,)], "t string").select(E.events("t").alias("e")).select("e.*").collect()
-    assert [(r.kind, r.seconds) for r in got] == [("update", 1.5), (None, None), (None, None)]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LINES)], "i int, t string").select("i", E.events("t").alias("e")).select("i", "e.*").orderBy("i").collect()
+    assert [r.kind is not None for r in got] == [ok for _, ok in LINES] and all((r.event is None) == (r.kind is None) == (r.seconds is None) for r in got)
+    assert json.loads(got[0].event) == json.loads(line()) and (got[0].kind, got[0].attempt_id, got[0].seconds) == ("update", "a", 1.5)
+
+
+def test_attempts_over_restarts_and_silence(spark, tmp_path):
+    def put(rows):
+        told = [(k, datetime(2024, 1, 1) + timedelta(minutes=m), n, kind, *x) for k, m, n, kind, *x in rows]
+        spark.createDataFrame(told, A.EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        stream = spark.readStream.schema(A.EVENT).parquet(f"{tmp_path}/in")
+        with A.large_state(spark):
+            E.run_to_end(A.attempt_state(stream, late="0 seconds"), E.append_to(f"{tmp_path}/out"), f"{tmp_path}/check")
+        found = E.committed(spark, f"{tmp_path}/out")
+        return {r.attempt: r for r in A.newest(found).collect()}, sorted(r.attempt for r in found.where("silent").collect())
+
+    up = lambda k, m, n, step, position, loss: (k, m, n, "update", step, position, 100, loss, 2, None, None, None)
+    put([up(1, 0, 2, 5, 20, 7), up(1, 0, 1, 4, 16, 9), up(1, 1, 3, 3, 12, 1), up(1, 1, 4, 6, 19, 1), up(1, 1, 5, 101, 404, 1), (1, 1, 6, "memory", None, None, None, None, None, 44, None, None), (2, 0, 1, "phase", None, None, None, None, None, None, "saving", None)])
+    states, silent = run()
+    one = states[1]
+    assert (one.seen, one.updates, one.ignored, one.step, one.position, one.loss, one.memory, one.loss_12, one.examples_12) == (6, 2, 3, 5, 20, 7, 44, 32, 4) and states[2].phase == "saving" and silent == []
+    put([up(1, 30, 7 + k, 6 + k, 24 + 4 * k, k) for k in range(14)] + [(1, 31, 30, "attempt", None, None, None, None, None, None, None, "CLEAN_STOP"), (1, 31, 31, "guess", *[None] * 8)])
+    states, silent = run()
+    one = states[1]
+    assert (one.seen, one.updates, one.ignored, one.step, one.status, one.loss_12, one.examples_12) == (22, 16, 4, 19, "CLEAN_STOP", 2 * sum(range(2, 14)), 24)
+    put([(3, 200, 1, "phase", None, None, None, None, None, None, "training", None)])
+    _, silent = run()
+    put([(3, 201, 2, "phase", None, None, None, None, None, None, "training", None)])
+    states, silent = run()
+    assert set(silent) == {1, 2} and states[1].seen == 22 and len(silent) == len(set(silent))
+
+
+def test_two_sinks_and_a_repeated_batch(spark, tmp_path):
+    commit = E.durable_and_shown(f"{tmp_path}/kept", f"{tmp_path}/shown", ["n"], 3)
+    for batch, size in ((0, 5), (0, 5), (1, 2), (2, 0)):
+        commit(spark.range(size).select((F.col("id") + 10 * batch).alias("n"), F.lit("x").alias("t")), batch)
+    assert sorted(r.n for r in E.committed(spark, f"{tmp_path}/kept").collect()) == [0, 1, 2, 3, 4, 10, 11]
+    assert sorted((r.shown, r.dropped, [x.n for x in r.lines]) for r in E.committed(spark, f"{tmp_path}/shown").collect()) == [(0, 0, []), (2, 0, [10, 11]), (3, 2, [0, 1, 2])]
 
 
 def test_state_over_files_and_restart(spark, tmp_path):
