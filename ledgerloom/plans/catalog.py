@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import audit, records, scored, streams, telemetry  # noqa: F401  (each registers its queries)
+from . import audit, histories, records, scored, streams, telemetry  # noqa: F401  (each registers its queries)
 from .audit import ORACLES, QUERIES  # noqa: F401

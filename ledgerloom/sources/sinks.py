@@ -17,7 +17,7 @@ class Exists(FileExistsError):
     """A publication never overwrites."""
 
 
-class _Folder:
+class Folder:
     """Control files and renames on any file system that Spark knows."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -51,11 +51,11 @@ def publish(rows: DataFrame, path: str, split: str = "split", position: str = "p
     rows; a folder that is there already is never replaced. Returns the manifest.
     """
     spark = rows.sparkSession
-    target = _Folder(spark, path)
+    target = Folder(spark, path)
     if target.exists():
         raise Exists(path)
     staged = f"{path}.staged-{uuid.uuid4().hex}"
-    stage = _Folder(spark, staged)
+    stage = Folder(spark, staged)
     try:
         ordered = rows.select(split, position, line).repartitionByRange(split, position).sortWithinPartitions(split, position)
         ordered.select(split, line).write.partitionBy(split).text(staged)
@@ -105,11 +105,11 @@ def publish_once(rows: DataFrame, path: str, texts: dict[str, str], manifest: di
     hash and is put last, before the folder gets its name.
     """
     spark = rows.sparkSession
-    target = _Folder(spark, path)
+    target = Folder(spark, path)
     if target.exists():
         raise Exists(path)
     staged = f"{path}.staged-{uuid.uuid4().hex}"
-    stage = _Folder(spark, staged)
+    stage = Folder(spark, staged)
     sums = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first())
     try:
         rows.select(*columns).write.json(f"{staged}/rows")
@@ -129,25 +129,58 @@ def publish_once(rows: DataFrame, path: str, texts: dict[str, str], manifest: di
 
 def snapshot(spark: SparkSession, texts: dict[str, str], path: str) -> list[dict]:
     """Keeps texts in files of a folder, once: a file that is there is never replaced. Returns path and sha256 of each."""
-    at = _Folder(spark, path)
+    at = Folder(spark, path)
     for name in texts:
-        if _Folder(spark, f"{path}/{name}").exists():
+        if Folder(spark, f"{path}/{name}").exists():
             raise Exists(f"{path}/{name}")
     for name, text in texts.items():
         at.put(name, text)
     return [{"path": name, "sha256": hashlib.sha256(text.encode()).hexdigest()} for name, text in sorted(texts.items())]
 
 
+def put_version(spark: SparkSession, path: str, text: str) -> int:
+    """Adds a text to a control file as its next version, and returns the version's number.
+
+    A version is a file of its own that is created only if it isn't there, so writers never overwrite each other, on any store that can do as
+    much, and nothing is renamed or removed. It begins with the hash of what follows, by which a reader tells one that was left unfinished.
+    """
+    at = Folder(spark, path)
+    at.fs.mkdirs(at.at)
+    told = f"{hashlib.sha256(text.encode()).hexdigest()}\n{text}"
+    number = max(_versions(at), default=0)
+    while True:
+        number += 1
+        try:
+            at.put(f"v{number:012d}", told)
+            return number
+        except Exception as e:  # another writer was first: the next number
+            if "AlreadyExists" not in str(e):
+                raise
+
+
+def _versions(at: Folder) -> list[int]:
+    """Numbers of the versions that are there."""
+    if not at.exists():
+        return []
+    names = [x.getPath().getName() for x in at.fs.listStatus(at.at)]
+    return [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
+
+
+def newest_version(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """Number and text of the newest complete version of a control file; None if there is none. Unfinished ones are passed over."""
+    at = Folder(spark, path)
+    for number in sorted(_versions(at), reverse=True):
+        rows = spark.read.format("binaryFile").load(f"{path}/v{number:012d}").select("content").collect()  # one small file
+        sha, _, body = (bytes(rows[0].content) if rows else b"").partition(b"\n")
+        if hashlib.sha256(body).hexdigest().encode() == sha:
+            return number, body.decode()
+    return None
+
+
 def write_report(report: DataFrame, path: str) -> dict:
-    """Writes a one-row report as JSON text, in place of an earlier one, and returns it."""
+    """Adds a one-row report as the next version of a control file, and returns it; newest_version() reads it."""
     row = report.first().asDict(recursive=True)
-    spark = report.sparkSession
-    at = _Folder(spark, path)
-    fresh = _Folder(spark, f"{path}.new-{uuid.uuid4().hex}")
-    fresh.put("report.json", json.dumps(row, sort_keys=True, default=str))
-    if at.exists():
-        at.remove()
-    fresh.rename(path)
+    put_version(report.sparkSession, path, json.dumps(row, sort_keys=True, default=str))
     return row
 
 

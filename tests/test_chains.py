@@ -66,10 +66,32 @@ def test_publish_test_dataset(spark, tmp_path):
         D.publish_test(rows, f"{tmp_path}/t", none, {})
 
 
-def test_report_replaces_the_last_one(spark, tmp_path):
+def test_reports_are_versions(spark, tmp_path):
+    at = f"{tmp_path}/r"
+    assert K.newest_version(spark, at) is None
     for n in (1, 2):
-        K.write_report(spark.createDataFrame([(n, None)], "targets int, exact int"), f"{tmp_path}/r")
-    assert json.loads((tmp_path / "r" / "report.json").read_text()) == {"exact": None, "targets": 2}
+        K.write_report(spark.createDataFrame([(n, None)], "targets int, exact int"), at)
+    number, text = K.newest_version(spark, at)
+    assert number == 2 and json.loads(text) == {"exact": None, "targets": 2}
+
+
+@pytest.mark.parametrize("left", [b"", b"\n", b"x", b"0" * 64 + b"\n{", b"\xff\xfe"])
+def test_an_unfinished_version_is_passed_over(spark, tmp_path, left):
+    at = tmp_path / "c"
+    K.put_version(spark, str(at), "one")
+    (at / "v000000000002").write_bytes(left)
+    (at / "other").write_text("x")
+    assert K.newest_version(spark, str(at)) == (1, "one")
+    assert K.put_version(spark, str(at), "") == 3 and K.newest_version(spark, str(at)) == (3, "")
+
+
+def test_writers_never_overwrite_each_other(spark, tmp_path, monkeypatch):
+    """Two writers that see the same versions take different numbers."""
+    K.put_version(spark, str(tmp_path / "c"), "first")
+    monkeypatch.setattr(K, "_versions", lambda at: [])
+    assert K.put_version(spark, str(tmp_path / "c"), "second") == 2
+    monkeypatch.undo()
+    assert K.newest_version(spark, str(tmp_path / "c")) == (2, "second")
 
 
 def test_projections(spark):
