@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,10 +171,12 @@ def revealed(fields: DataFrame, drafts: DataFrame, keys: list[str], value: str =
     return both.select(*keys, F.coalesce(F.nullif(F.col(value), F.lit("")), F.col("draft")).alias(value), F.col(value).alias("before"))
 
 
-def retained(selections: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Selections with the content their manifest embeds under their path and hash; null where it has none."""
-    held = manifests.select(F.explode("documents").alias("d")).select(F.col("d.path").alias("source_path"), F.col("d.sha256").alias("source_sha256"), F.col("d.content").alias("content"))
-    return selections.join(held.dropDuplicates(["source_path", "source_sha256"]), ["source_path", "source_sha256"], "left")
+def retained(selections: DataFrame, documents: DataFrame) -> DataFrame:
+    """Selections with the content that a manifest embeds under their path and hash; null where none has it.
+
+    documents: source_path, source_sha256, content, a row for each document of a manifest, so that no manifest is one row.
+    """
+    return selections.join(documents.dropDuplicates(["source_path", "source_sha256"]), ["source_path", "source_sha256"], "left")
 
 
 def rebuilt_differences(saved: DataFrame, rebuilt: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -249,6 +253,20 @@ def chain(records: list[tuple[DataFrame, str, str]]) -> DataFrame:
     return found
 
 
+def chain_problems(records: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """(record, key, rule) of what breaks a publication's chain: records that nothing before them made (unbound), and made ones that none needs (unused).
+
+    records: (name, rows, needs, makes), as chain() takes them. Keys are told as text, each once; a null key is unbound, and makes nothing.
+    """
+    c, parts = F.col, []
+    keys = lambda rows, name: rows.select(c(name).cast("string").alias("key")).distinct()
+    for (before, made, _, makes), (name, rows, needs, _) in zip(records, records[1:]):
+        given, wanted = keys(made, makes), keys(rows, needs)
+        parts.append(wanted.join(given, "key", "left_anti").select(F.lit(name).alias("record"), "key", F.lit("unbound").alias("rule")))
+        parts.append(given.where("key is not null").join(wanted, "key", "left_anti").select(F.lit(before).alias("record"), "key", F.lit("unused").alias("rule")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def decision_problems(decisions: DataFrame, answers: DataFrame, cells: DataFrame, quotes: DataFrame) -> DataFrame:
     """(id, rule) of review decisions.
 

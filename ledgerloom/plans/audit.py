@@ -186,6 +186,42 @@ def block_cells(t):
     return found.select("page_id", "block_index", F.col("b.error").isNull().alias("whole"), F.col("b.source_slice_sha256").alias("slice_sha256"), cell["text"].alias("shown"), cell["end_byte"].alias("end_byte"), F.col("b.line_end").alias("line_end"))
 
 
+_INNER = """p AS (SELECT page_id, octet_length(encode(url)) AS n, unnest(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)) AS c, generate_subscripts(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), 1) - 1 AS block_index, replace(url, '&', '&amp;') AS u FROM pages)"""
+
+
+def _inner(t):
+    """What stands in every paragraph, with its page's address as markup."""
+    found = t("pages").select("page_id", F.replace("url", F.lit("&"), F.lit("&amp;")).alias("u"), F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), 1)).alias("i", "c"))
+    return found.select("page_id", F.col("i").cast("long").alias("block_index"), "u", "c")
+
+
+@query(f"""WITH {_INNER}, k AS (SELECT *, 4 + 19 + octet_length(encode(c)) + 5 AS one, octet_length(encode(u)) AS us FROM p WHERE page_id IS NOT NULL),
+r AS (SELECT page_id, block_index, unnest([0, 1, 2]) AS cell_index, unnest([CASE WHEN block_index % 4 = 3 THEN NULL ELSE {_SHOWN} END, replace(u, '&amp;', '&'), '']) AS shown, unnest(['2', NULL, NULL]) AS colspan, unnest([NULL, '3', NULL]) AS rowspan,
+  unnest([4, one, one + 16 + us + 5]) AS start_byte, unnest([one, one + 16 + us + 5, one + 16 + us + 5 + 9]) AS end_byte FROM k WHERE block_index % 4 <> 3)
+SELECT page_id, block_index, NULL AS error, cell_index, shown, colspan, rowspan, start_byte::BIGINT AS start_byte, end_byte::BIGINT AS end_byte FROM r
+UNION ALL SELECT page_id, block_index, '<tr> inside <td>', NULL, NULL, NULL, NULL, NULL, NULL FROM k WHERE block_index % 4 = 3""")
+def row_cells(t):
+    """A table row for every paragraph: its text over two columns, the page's address over three rows, and an empty cell; every fourth holds a row within a cell and is refused."""
+    told = F.concat(F.lit('<tr><td colspan="2"   >'), "c", F.when(F.col("block_index") % 4 == 3, F.lit("<tr></td>")).otherwise("</td>"), F.lit("<th rowspan='3'>"), "u", F.lit("</th><td></td></tr>\n"))
+    raw = F.col("row").cast("binary")
+    found = _inner(t).withColumn("row", told).withColumn("b", blocks(raw, F.lit(0).cast("long"), F.octet_length(raw).cast("long"), F.lit("row"), F.lit("utf-8")))
+    refused = F.when(F.col("b.error").isNotNull(), "<tr> inside <td>")
+    cells = found.select("page_id", "block_index", refused.alias("error"), F.posexplode_outer("b.cells").alias("cell_index", "x"))
+    return cells.select("page_id", "block_index", "error", "cell_index", F.col("x.text").alias("shown"), "x.colspan", "x.rowspan", "x.start_byte", "x.end_byte")
+
+
+@query(f"""WITH {_INNER} SELECT page_id, block_index, block_index % 3 <> 2 AS held, CASE WHEN block_index % 3 <> 2 THEN {_SHOWN} END AS shown, CASE WHEN block_index % 3 <> 2 THEN (block_index % 3 + 1)::VARCHAR END AS rowspan,
+  CASE WHEN block_index % 3 <> 2 THEN 3::BIGINT END AS start_byte, CASE WHEN block_index % 3 <> 2 THEN (3 + 14 + octet_length(encode(c)) + 5)::BIGINT END AS end_byte FROM p""")
+def lone_cells(t):
+    """A cell without its row for every paragraph, after three bytes that are not of it; every third has no whole number of rows and is refused."""
+    span = F.when(F.col("block_index") % 3 == 2, F.lit("0")).otherwise((F.col("block_index") % 3 + 1).cast("string"))
+    raw = F.col("cell").cast("binary")
+    found = _inner(t).withColumn("cell", F.concat(F.lit("abc<th rowspan="), span, F.lit(">"), "c", F.lit("</th>")))
+    found = found.withColumn("b", blocks(raw, F.lit(3).cast("long"), F.octet_length(raw).cast("long"), F.lit("cell"), F.lit("utf-8")))
+    x = F.get("b.cells", F.lit(0))
+    return found.select("page_id", "block_index", F.col("b.error").isNull().alias("held"), x["text"].alias("shown"), x["rowspan"].alias("rowspan"), x["start_byte"].alias("start_byte"), x["end_byte"].alias("end_byte"))
+
+
 @query(f"""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<p>.*?</p>')) AS c, generate_subscripts(regexp_extract_all(html, '(?s)<p>.*?</p>'), 1) - 1 AS block_index FROM pages)
 SELECT page_id, block_index, {_SHOWN} AS visible FROM p""")
 def visible_text(t):

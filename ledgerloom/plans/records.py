@@ -196,26 +196,32 @@ def protocol_checks(t):
 _ACCESSION = "lpad(o_custkey::VARCHAR, 10, '0') || '-' || right(year(o_orderdate)::VARCHAR, 2) || '-' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0')"
 
 
-@query(f"""WITH o AS (SELECT o_orderkey AS id, o_custkey, o_orderkey % 7 AS k, {_ACCESSION} AS accession FROM orders), n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
-SELECT id, 'storage' AS rule FROM o WHERE k = 1 UNION ALL SELECT id, 'not_admitted' FROM o WHERE k IN (1, 2) UNION ALL SELECT id, 'year' FROM o WHERE k = 3 AND accession NOT LIKE '%-99-%' UNION ALL SELECT id, 'independence' FROM o WHERE k = 4
-UNION ALL SELECT id, 'known_before' FROM o WHERE o_custkey < 100 UNION ALL SELECT id, 'not_distinct' FROM o JOIN n USING (o_custkey) WHERE n > 1 UNION ALL SELECT id, 'not_admitted' FROM o WHERE k = 3""")
+@query(f"""WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey END AS cik, o_orderkey % 7 AS k, year(o_orderdate) IN (1995, 1997) AS formed, o_orderkey % 11 AS e, {_ACCESSION} AS accession FROM orders), n AS (SELECT cik, count(*) AS n FROM o GROUP BY 1)
+SELECT id, 'storage' AS rule FROM o WHERE k = 1 UNION ALL SELECT id, 'not_admitted' FROM o WHERE k IN (1, 2, 3) OR cik IS NULL UNION ALL SELECT id, 'year' FROM o WHERE k = 3 AND accession NOT LIKE '%-99-%' UNION ALL SELECT id, 'independence' FROM o WHERE k = 4
+UNION ALL SELECT id, 'known_before' FROM o WHERE cik < 100 UNION ALL SELECT id, 'not_distinct' FROM o JOIN n USING (cik) WHERE n > 1 UNION ALL SELECT id, 'identity' FROM o WHERE cik IS NULL
+UNION ALL SELECT id, 'no_evidence' FROM o WHERE k <> 3 AND formed AND e IN (1, 2) UNION ALL SELECT id, 'evidence_absent' FROM o WHERE k <> 3 AND formed AND e IN (3, 4)""")
 def eligibility(t):
-    """Orders as test selections of their customer: some stored elsewhere, from another year, or of a customer known before."""
-    k = c("o_orderkey") % 7
+    """Orders as test selections of their customer: some stored elsewhere, from another year, of a customer known before or of none.
+
+    Two years are of the standardized form: there some have no evidence, or evidence that their cells don't hold."""
+    k, e = c("o_orderkey") % 7, c("o_orderkey") % 11
     year = F.year("o_orderdate").cast("string")
     accession = F.concat(F.lpad(c("o_custkey").cast("string"), 10, "0"), F.lit("-"), F.right(year, F.lit(2)), F.lit("-"), F.lpad((c("o_orderkey") % 1000000).cast("string"), 6, "0"))
     o = t("orders").withColumn("accession", accession).withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    path, key = F.concat(F.lit("data/raw/test/"), "o_orderkey"), c("o_custkey").cast("string")
+    path, key = F.concat(F.lit("data/raw/test/"), "o_orderkey"), F.when(c("o_orderkey") % 13 != 0, c("o_custkey").cast("string"))
     locations = F.array(F.struct("accession", c("day").alias("filing_date"), F.lit("u").alias("sec_url"), key.alias("cik")))
     inventory = o.select(path.alias("path"), c("o_orderkey").cast("string").alias("sha256"), locations.alias("locations"))
+    # Evidence in another case and with other spaces than in the cell; absent evidence; an empty one; none.
+    said = F.concat(F.lit(" \n"), F.lower("o_orderpriority"))
+    evidence = F.when(e == 2, F.array().cast("array<string>")).when(e == 3, F.array(said, F.lit("nowhere"))).when(e == 4, F.array(F.lit(" "))).otherwise(F.array(said, F.lit("Order")))
     selections = o.select(
         c("o_orderkey").cast("string").alias("packet_id"), F.lit("test").alias("split"), "accession", c("o_orderkey").cast("string").alias("group_id"), F.when(k == 1, "data/raw/x").otherwise(path).alias("source_path"), c("o_orderkey").cast("string").alias("source_sha256"),
-        F.when(k == 2, "v").otherwise("u").alias("source_url"), key.alias("cik"), F.when(k == 3, F.lit("2099-01-01")).otherwise(c("day")).alias("filing_date"), F.lit(False).alias("standardized_format"), F.lit(None).cast("array<string>").alias("evidence"),
+        F.when(k == 2, "v").otherwise("u").alias("source_url"), key.alias("cik"), F.when(k == 3, F.lit("2099-01-01")).otherwise(c("day")).alias("filing_date"), (e != 1).alias("standardized_format"), evidence.alias("evidence"),
         F.when(k == 4, "").otherwise("ok").alias("independence_review"),
     )
     prior = t("customer").where("c_custkey < 100").select(F.lit("cik").alias("kind"), c("c_custkey").cast("string").alias("key"))
-    cells = t("documents").where("false").select(c("lang").alias("packet_id"), "text")
-    return datasets.eligibility_problems(selections, inventory, prior, cells, []).select(c("packet_id").cast("long").alias("id"), "rule")
+    cells = o.select(c("o_orderkey").cast("string").alias("packet_id"), F.explode(F.array(F.lit("an  order"), F.concat(F.lit("Its priority:\t"), "o_orderpriority"))).alias("text"))
+    return datasets.eligibility_problems(selections, inventory, prior, cells, [1995, 1997]).select(c("packet_id").cast("long").alias("id"), "rule")
 
 
 @query("""WITH s AS (SELECT s_suppkey::VARCHAR AS id, s_nationkey AS f, s_suppkey % 4 AS k FROM supplier), n AS (SELECT f, count(*) AS n FROM s GROUP BY f)
@@ -562,8 +568,8 @@ def retained_documents(t):
     """Selections with the content that manifests embed, by path and hash; some have another hash."""
     docs = t("documents").select("doc_id", F.concat_ws("/", "source", "doc_id").alias("source_path"), F.sha2("text", 256).alias("h"), "text", "n_chars")
     selections = docs.select("doc_id", "source_path", F.when(c("n_chars") % 3 > 0, c("h")).otherwise("z").alias("source_sha256"))
-    manifests = docs.groupBy(F.substring_index("source_path", "/", 1)).agg(F.collect_list(F.struct(c("source_path").alias("path"), c("h").alias("sha256"), c("text").cast("binary").alias("content"))).alias("documents"))
-    return runs.retained(selections, manifests).select("doc_id", F.sha2("content", 256).alias("content_sha256"))
+    held = docs.select("source_path", c("h").alias("source_sha256"), c("text").cast("binary").alias("content"))
+    return runs.retained(selections, held).select("doc_id", F.sha2("content", 256).alias("content_sha256"))
 
 
 # Sources and sinks: written into the shared folder and read again.

@@ -252,6 +252,15 @@ def publication_chain(t):
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_custkey", "c_nationkey", "n_name")
 
 
+@query("""SELECT 'labels' AS record, doc_id::VARCHAR AS key, 'unused' AS rule FROM (SELECT DISTINCT doc_id FROM labels) l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)
+UNION ALL SELECT 'documents', d.doc_id::VARCHAR, 'unbound' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+UNION ALL SELECT 'pages', k::VARCHAR, 'unbound' FROM (SELECT DISTINCT page_id * 2 AS k FROM pages) p WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = k) UNION ALL SELECT 'documents', doc_id::VARCHAR, 'unused' FROM documents d WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.page_id * 2 = d.doc_id)""")
+def publication_breaks(t):
+    """Labels, documents bound to them, and pages bound to every second document: what is unbound, and what nothing needs."""
+    pages = t("pages").select((F.col("page_id") * 2).alias("document"))
+    return runs.chain_problems([("labels", t("labels"), "", "doc_id"), ("documents", t("documents"), "doc_id", "doc_id"), ("pages", pages, "document", "document")])
+
+
 @query("""WITH a AS (SELECT lang, quality, count(*) AS n FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL), b AS (SELECT lang, toxic AS quality, count(*) AS n FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL)
 SELECT *, 'before' AS side, 1::BIGINT AS copies FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'after', 1 FROM (FROM b EXCEPT FROM a)""")
 def state_diff(t):

@@ -42,6 +42,14 @@ def test_refused(text, kind):
         M.block(text.encode(), 0, len(text), kind)
 
 
+@pytest.mark.parametrize("markup,text", [
+    ("a<br>b<BR/>c", "a b c"), ("a<p>b</p>c<li>d", "a b c d"), ("a<b>b</b><span title='x>y'>c</span>", "abc"), ("&lt;b&gt; &amp;amp; &#65;&nbsp;x", "<b> &amp; A x"), ("a<!-- <td> -->b<!DOCTYPE x>c<?pi?>d", "abcd"),
+    ("1 < 2 > 0 & x<", "1 < 2 > 0 & x<"), ("<o:p>a</o:p><p:x>b", "ab"), ("</td>a</br>b", "ab"), ("", ""), ("\x1ca\x85b", "a b"), ("<a href=x", "<a href=x"),
+])
+def test_visible(markup, text):
+    assert M.visible(markup) == text
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([(" a\x1c b \x85c ",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(T.collapse(F.col("t"))).collect()] == ["a b c", "", None]

@@ -91,11 +91,17 @@ def test_review_history(spark):
     f = spark.createDataFrame([("a", ""), ("b", "mine"), ("c", None)], "field string, value string")
     d = spark.createDataFrame([("a", "d1"), ("b", "d2")], "field string, value string")
     assert rows(U.revealed(f, d, ["field"])) == [("a", "d1", ""), ("b", "mine", "mine"), ("c", None, None)]
-    m = spark.createDataFrame([([("p", "h", bytearray(b"x"))],)], "documents array<struct<path:string,sha256:string,content:binary>>")
+    m = spark.createDataFrame([("p", "h", bytearray(b"x")), ("p", "h", bytearray(b"x")), ("q", "i", None)], "source_path string, source_sha256 string, content binary")
     s = spark.createDataFrame([(1, "p", "h"), (2, "p", "i")], "id int, source_path string, source_sha256 string")
     assert {r.id: r.content for r in U.retained(s, m).collect()} == {1: bytearray(b"x"), 2: None}
 
 
+def test_breaks_of_a_chain(spark):
+    a, b, c = (spark.createDataFrame(x, "needs string, makes string") for x in ([(None, "1"), (None, "2"), (None, "2"), (None, None)], [("1", "x"), ("1", "y"), ("3", "z"), (None, "w")], [("x", None), ("v", None)]))
+    got = sorted(map(str, (tuple(r) for r in U.chain_problems([("a", a, "needs", "makes"), ("b", b, "needs", "makes"), ("c", c, "needs", "makes")]).collect())))
+    assert got == sorted(map(str, [("b", "3", "unbound"), ("b", None, "unbound"), ("a", "2", "unused"), ("c", "v", "unbound"), ("b", "w", "unused"), ("b", "y", "unused"), ("b", "z", "unused")]))
+
+
 @pytest.mark.parametrize("status", U.TERMINAL)
 def test_terminal_and_interrupted_are_apart(status):
     assert status not in U.INTERRUPTED
