@@ -224,7 +224,9 @@ def _block(known: Unigrams, shards: int, texts: list[bytes]) -> _Block:
     buckets = known.buckets(hashes)
     part = np.zeros(len(v), np.uint16)
     split = np.flatnonzero(buckets[v] > 1)
-    part[split] = _mix(hashes[u[split]]) % buckets[v[split]].astype(np.uint64)
+    # Before a text's first word stands nothing that could tell its parts apart, so there the word itself does.
+    left = np.where(v[split] == start, w[split], u[split])
+    part[split] = _mix(hashes[left]) % buckets[v[split]].astype(np.uint64)
     shard = (_mix(hashes) % np.uint64(shards)).astype(np.int64)[v]
     shard[split] = (_mix(_mix(hashes[v[split]]) + part[split]) % np.uint64(shards)).astype(np.int64)
     return _Block(hashes, ranks, sizes, u, v, w, doc, part, split, shard)
@@ -385,12 +387,13 @@ def _spread(starts: np.ndarray, n: int) -> np.ndarray:
 class Trie:
     """Levels over one shard's training trigrams: contexts v, words w after v, contexts u before v, words w after u v.
 
+    Contexts that are `alone` have no u before them: a text's start, after which a word is as likely as after v.
     Every level is an Elias-Fano sequence of context-relative keys: a child's word, moved by its
     context's place times the number of words, or, below u v, its rank among the words after v, moved
     by a running sum of such ranks. Probabilities and back-off weights are one-byte codes.
     """
 
-    def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, contexts: int, words: int, unigram: np.ndarray, split: tuple[np.ndarray, ...] | None = None):
+    def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, contexts: int, words: int, unigram: np.ndarray, split: tuple[np.ndarray, ...] | None = None, alone: np.ndarray | None = None):
         """v, u, w: distinct trigrams, sorted; n: their counts.
 
         split: of contexts whose trigrams are elsewhere too, sorted: which, their counts and numbers of followers
@@ -406,9 +409,10 @@ class Trie:
         is_split[np.searchsorted(heads, whole)] = True
         n_v = np.bincount(of_v, n, len(heads)).astype(np.int64)
         n_v[is_split] = whole_n
-        s = _starts(v, u)
-        of_uv, n_uv, types_uv = _spread(s, size), add(n, s), np.diff(np.append(s, size))
-        context, above = of_v[s] * words + u[s], of_v[s]
+        third = np.flatnonzero(~alone[v]) if alone is not None else np.arange(size)
+        s = _starts(v[third], u[third])
+        of_uv, n_uv, types_uv = _spread(s, len(third)), add(n[third], s), np.diff(np.append(s, len(third)))
+        context, above = of_v[third][s] * words + u[third][s], of_v[third][s]
         own = ~is_split[of_v]
         key, key_n = of_v[own] * words + w[own], n[own]
         order = np.argsort(key)
@@ -417,7 +421,8 @@ class Trie:
         pair, n_vw = np.concatenate((key[s], np.searchsorted(heads, pv) * words + pw)), np.concatenate((add(key_n, s), pn))
         order = np.argsort(pair)
         pair, n_vw = pair[order], n_vw[order]
-        of_vw = np.searchsorted(pair, of_v * words + w)
+        of_v, n = of_v[third], n[third]
+        of_vw = np.searchsorted(pair, of_v * words + w[third])
         del key, key_n, order, own
         up = pair // words
         held_v = np.bincount(up, minlength=len(heads))
@@ -536,6 +541,7 @@ def _score_shards(known: Unigrams, levels: int = LEVELS):
         # A trie for every k-th context: its arrays stay in the processor's caches.
         k = max(1, len(v) // levels)
         share = v % k
+        is_start = np.flatnonzero(~is_word)
         for j in range(k):
             own = np.flatnonzero(share == j)
             su, sv, sw = u[own], v[own] // k, w[own]
@@ -548,13 +554,15 @@ def _score_shards(known: Unigrams, levels: int = LEVELS):
             n = np.add.reduceat(train[own].astype(np.int64), s)
             qv, qu, qw = sv[s], su[s], sw[s]
             t = np.flatnonzero(n)
-            trie = Trie(qv[t], qu[t], qw[t], n[t], len(word) // k + 1, len(words), unigram, whole(j, k))
+            alone = np.zeros(len(word) // k + 1, bool)
+            alone[is_start[is_start % k == j] // k] = True
+            trie = Trie(qv[t], qu[t], qw[t], n[t], len(word) // k + 1, len(words), unigram, whole(j, k), alone)
             sums[0] += np.bincount(text[own], np.repeat(trie.score(qv, qu, qw, log_unigram), copies), texts)
         some = np.bincount(text, minlength=texts) > 0
         for r in rows:
             a, b = r["texts"]
             docs = np.flatnonzero(some[a:b])
-            yield (r["block"], None, None, None, _shrink(docs), sums[0][a:b][docs].astype(np.float32).tobytes(), sums[1][a:b][docs].tobytes(), _shrink(sums[2][a:b][docs].astype(np.int64)))
+            yield (r["block"], None, None, None, _shrink(docs), sums[0][a:b][docs].tobytes(), sums[1][a:b][docs].tobytes(), _shrink(sums[2][a:b][docs].astype(np.int64)))
 
     def run(batches):
         held: dict[int, list[dict]] = {}
@@ -593,7 +601,7 @@ def _assemble(log_total: float, texts: int):
             if r["doc"] is None:
                 continue
             doc = _grow(r["doc"])
-            score[doc] += np.frombuffer(r["score"], np.float32)
+            score[doc] += np.frombuffer(r["score"], np.float64)
             base[doc] += np.frombuffer(r["base"], np.float64)
             known[doc] += _grow(r["known"])
         train = np.unpackbits(np.frombuffer(head["train"], np.uint8), count=n).astype(bool)
@@ -617,7 +625,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     does. Every n-gram of every training text counts, nothing is pruned, and `exact`, `bucket`, `shard` and
     `levels` change only what travels where. Memory of a task is one block of texts (BLOCK bytes, a longer text alone)
     or one shard: about `shard` tokens, and those of a context word that is not split (`bucket`, or the last listed
-    word's count). A pair (u, v) is not split further.
+    word's count). A pair (u, v) is not split further; a text's first word has no pair before it, only the start, whose words are dealt out by themselves.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(training, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     lean(docs.sparkSession)

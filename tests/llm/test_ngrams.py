@@ -64,7 +64,7 @@ def brute(rows, train):
         total = 0.0
         for u, v, w in grams(i):
             p = p1(w)
-            for c, d in ((c2.get(v), N.D2), (c3.get((u, v)), N.D3)):
+            for c, d in ((c2.get(v), N.D2), (c3.get((u, v)) if v != "start" else None, N.D3)):
                 if c:
                     s = sum(c.values())
                     p = max(c[w] - d, 0) / s + d * len(c) / s * p
@@ -112,6 +112,15 @@ def test_lists_and_splits_change_nothing(spark):
         assert max(abs(a[4] - b[4]) / a[1] for a, b in zip(got, plain)) < 0.03
 
 
+def test_first_words_are_no_hot_pair(spark):
+    """Of texts that begin with many words, the parts of the start share the first words; a word stays in one part."""
+    known = N.Unigrams(10_000, 500, 5_000, np.sort(N._hashes([b"w0"])), np.array([900]), bucket=100)
+    b = N._block(known, 64, [b"w%d rest" % (k % 300) for k in range(3000)])
+    first = np.flatnonzero(b.hashes[b.v] == np.uint64(N.START))
+    assert len(first) == 3000 and len(np.unique(b.part[first])) > 40 and np.bincount(b.shard[first]).max() < 300
+    assert len({(w, p) for w, p in zip(b.w[first].tolist(), b.part[first].tolist())}) == 300
+
+
 def test_no_training_and_empty(spark):
     none = N.score(spark.createDataFrame([(1, "a b", "x", "y", "z")], SCHEMA), F.lit(False)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in none] == [(3, 0, 0, 0.0)]
