@@ -15,6 +15,7 @@ from . import holdout, runs
 from . import packets as packets_of
 from .answers import messages, roles_hold
 from .joins import supported
+from ..sources.scratch import cut
 from .labels import AVAILABILITY, CONTRACT, label_problems, quotations
 from .rules import duplicates, require_empty, violations
 
@@ -163,12 +164,11 @@ def name_clashes(files: DataFrame, path: str = "path") -> DataFrame:
     return files.groupBy(casefold(path).alias("folded")).agg(F.count_distinct(path).alias("names")).where("names > 1")
 
 
-def accepted(approvals: DataFrame, packets: DataFrame) -> DataFrame:
-    """Packets in the order in which an approval names them, with their position in their split."""
+def accepted(named: DataFrame, packets: DataFrame) -> DataFrame:
+    """Packets in the order in which an approval names them (place, packet_id), with their position in their split."""
     from .ordered import positions
 
-    ids = approvals.select(F.posexplode("packet_ids").alias("place", "packet_id"))
-    return positions(ids.join(packets, "packet_id"), ["split"], ["place"])
+    return positions(named.select("place", "packet_id").join(packets, "packet_id"), ["split"], ["place"])
 
 
 def review_template(pending: DataFrame) -> DataFrame:
@@ -269,21 +269,21 @@ def publish_packets(packets: DataFrame, prompt: str, path: str, problems: DataFr
     return publish_once(packets, path, {"system-prompt.txt": prompt}, manifest or {"schema": "packet-set-v1"}, ["packet_id", "target_id", "model_input"])
 
 
-def accepted_rows(packets: DataFrame, review: DataFrame, approvals: DataFrame, prompt: str) -> tuple[DataFrame, DataFrame]:
+def accepted_rows(packets: DataFrame, review: DataFrame, approvals: DataFrame, named: DataFrame, prompt: str) -> tuple[DataFrame, DataFrame]:
     """Rows of an accepted dataset, and what forbids them: (id, rule).
 
     packets: packet_id, split, model_input, cells array, rebuilt_binding; review: packet_id, reviewed,
-    input_binding, label (JSON); approvals as acceptance_problems() takes them. Rows: packet_id, split, position,
+    input_binding, label (JSON); approvals and named as acceptance_problems() takes them. Rows: packet_id, split, position,
     row (JSON of three messages), row_sha256; positions follow the approval's order in each split.
     """
     both = packets.join(review, "packet_id", "left")
-    gate = runs.acceptance_problems(approvals, both).select(F.col("approval_id").cast("string").alias("id"), "rule")
-    chosen = approvals.select(F.explode("packet_ids").alias("packet_id")).distinct()
-    named = both.join(chosen, "packet_id", "left_semi")
-    label = named.select(F.col("packet_id").alias("id"), F.explode(label_problems(F.col("label"))).alias("p")).select("id", F.concat(F.lit("label_"), F.col("p.rule")).alias("rule"))
-    quotes = quotations(named, "packet_id", "label").join(named.select("packet_id", "cells"), "packet_id")
+    gate = runs.acceptance_problems(approvals, named, both).select(F.col("approval_id").cast("string").alias("id"), "rule")
+    # Four uses, one computation.
+    chosen = cut(both.join(named.select("packet_id").distinct(), "packet_id", "left_semi"))
+    label = chosen.select(F.col("packet_id").alias("id"), F.explode(label_problems(F.col("label"))).alias("p")).select("id", F.concat(F.lit("label_"), F.col("p.rule")).alias("rule"))
+    quotes = quotations(chosen, "packet_id", "label").join(chosen.select("packet_id", "cells"), "packet_id")
     loose = quotes.where(~F.coalesce(supported(F.col("quote"), F.col("cells")), F.lit(False))).select(F.col("packet_id").alias("id"), F.lit("unsupported_quotation").alias("rule"))
-    placed = accepted(approvals, named)
+    placed = accepted(named, chosen)
     said = messages(F.lit(prompt), F.col("model_input"), F.col("label"))
     row = parsed(F.to_json(F.struct(said.alias("messages"))), "row")
     rows = placed.select("packet_id", "split", "position", row.alias("r")).select("packet_id", "split", "position", F.col("r.canonical").alias("row"), F.col("r.sha256").alias("row_sha256"))

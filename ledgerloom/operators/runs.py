@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import random
 from collections.abc import Iterator
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,21 +19,29 @@ INTERRUPTED = ("TIME_LIMIT", "HOST_MEMORY_LIMIT", "USER_STOP")
 MEMORY = ("allocated_bytes", "reserved_bytes", "peak_allocated_bytes", "peak_reserved_bytes", "free_device_bytes")
 
 
-def acceptance_problems(approvals: DataFrame, packets: DataFrame) -> DataFrame:
+def named_packets(approvals: DataFrame, key: str = "approval_id", ids: str = "packet_ids") -> DataFrame:
+    """(approval_id, place, packet_id): the packets that approvals name in a list, a row each."""
+    return approvals.select(key, F.posexplode(ids).alias("place", "packet_id"))
+
+
+def acceptance_problems(approvals: DataFrame, named: DataFrame, packets: DataFrame) -> DataFrame:
     """(approval_id, rule) of approvals that do not accept just what was reviewed.
 
-    approvals: approval_id, decision, export_sha256, review_sha256, reviewer, accepted_at, packet_ids
-    array; packets: packet_id, reviewed, input_binding, rebuilt_binding.
+    approvals: approval_id, decision, export_sha256, review_sha256, reviewer, accepted_at; named: as
+    named_packets() gives them, so that an approval of any size is no one row; packets: packet_id, reviewed, input_binding, rebuilt_binding.
     """
     c = F.col
+    times = named.groupBy("approval_id", "packet_id").agg(F.count("*").alias("times"))
+    sizes = times.groupBy("approval_id").agg(F.max("times").alias("most"))
     own = F.array_compact(F.array(
         F.when(~c("decision").eqNullSafe(F.lit("ACCEPTED")), F.lit("not_accepted")), F.when(~c("export_sha256").eqNullSafe(c("review_sha256")), F.lit("review_changed")),
         F.when(F.coalesce(c("reviewer"), F.lit("")) == "", F.lit("no_reviewer")), F.when(F.try_to_date("accepted_at", "yyyy-MM-dd").isNull(), F.lit("no_date")),
-        F.when(F.coalesce(F.size("packet_ids"), F.lit(0)) < 1, F.lit("no_packets")), F.when(F.size(F.array_distinct("packet_ids")) < F.size("packet_ids"), F.lit("packet_twice")),
+        F.when(c("most").isNull(), F.lit("no_packets")), F.when(c("most") > 1, F.lit("packet_twice")),
     ))
-    each = approvals.select("approval_id", F.explode("packet_ids").alias("packet_id")).join(packets, "packet_id", "left")
+    told = approvals.join(sizes, "approval_id", "left").select("approval_id", F.explode(own).alias("rule"))
+    each = times.join(packets, "packet_id", "left")
     state = F.when(c("input_binding").isNull(), "unknown_packet").when(~F.coalesce(c("reviewed"), F.lit(False)), "not_reviewed").when(~c("input_binding").eqNullSafe(c("rebuilt_binding")), "binding_changed")
-    return approvals.select("approval_id", F.explode(own).alias("rule")).unionByName(each.select("approval_id", state.alias("rule")).where("rule is not null").distinct())
+    return told.unionByName(each.select("approval_id", state.alias("rule")).where("rule is not null").distinct())
 
 
 def protocol_rules(version: str, scorer: str) -> list[Rule]:

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, text
 from ..operators import answers, datasets, holdout, ordered, packets, rules, runs
+from ..operators.scan import Fold, running
 from ..sources import files, sinks
+from ..sources.scratch import shared
 from ..streaming import events as event_streams
 from .audit import query
-from ..sources.scratch import shared
 
 c = F.col
 
@@ -172,14 +173,14 @@ UNION ALL SELECT DISTINCT source, 'not_reviewed' FROM p WHERE lang = 'de' UNION
 def acceptance_gate(t):
     """An approval for each source, which names its first document twice."""
     docs = t("documents")
-    ids = F.array_sort(F.collect_list("doc_id"))
-    n = F.size("ids")
-    approvals = docs.groupBy("source").agg(ids.alias("ids")).select(
-        c("source").alias("approval_id"), F.lit("ACCEPTED").alias("decision"), F.lit("h").alias("export_sha256"), F.when(n % 2 == 0, "x").otherwise("h").alias("review_sha256"), F.when(n % 3 == 0, "").otherwise("me").alias("reviewer"),
-        F.lit("2024-02-29").alias("accepted_at"), F.transform(F.concat("ids", F.slice("ids", 1, 1)), lambda x: x.cast("string")).alias("packet_ids"),
+    n = c("n")
+    approvals = docs.groupBy("source").agg(F.count("*").alias("n")).select(
+        c("source").alias("approval_id"), F.lit("ACCEPTED").alias("decision"), F.lit("h").alias("export_sha256"), F.when(n % 2 == 0, "x").otherwise("h").alias("review_sha256"), F.when(n % 3 == 0, "").otherwise("me").alias("reviewer"), F.lit("2024-02-29").alias("accepted_at"),
     )
+    one = lambda df: df.select(c("source").alias("approval_id"), c("doc_id").alias("place"), c("doc_id").cast("string").alias("packet_id"))
+    named = one(docs).unionByName(one(docs.groupBy("source").agg(F.min("doc_id").alias("doc_id"))))
     packs = docs.select(c("doc_id").cast("string").alias("packet_id"), (c("lang") != "de").alias("reviewed"), F.lit("b").alias("input_binding"), F.when(c("n_chars") % 7 == 0, "z").otherwise("b").alias("rebuilt_binding"))
-    return runs.acceptance_problems(approvals, packs)
+    return runs.acceptance_problems(approvals, named, packs)
 
 
 @query("""WITH p AS (SELECT c_custkey AS id, c_nationkey % 3 AS a, c_nationkey % 2 AS b, c_nationkey % 5 AS n FROM customer)
@@ -305,10 +306,9 @@ def packets_rebuilt(t):
 @query("""SELECT d.source || ':' || doc_id AS packet_id, lang AS split, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) - 1 AS position FROM documents d""")
 def accepted_order(t):
     """Documents in the order in which one approval names them: backwards."""
-    ids = t("documents").groupBy(F.lit(1)).agg(F.sort_array(F.collect_list(F.struct("doc_id", "source")), asc=False).alias("x"))
-    approvals = ids.select(F.transform("x", lambda r: F.concat(r["source"], F.lit(":"), r["doc_id"])).alias("packet_ids"))
+    named = t("documents").select((-c("doc_id")).alias("place"), F.concat_ws(":", "source", "doc_id").alias("packet_id"))
     packs = t("documents").select(F.concat_ws(":", "source", "doc_id").alias("packet_id"), c("lang").alias("split"))
-    return datasets.accepted(approvals, packs).drop("place")
+    return datasets.accepted(named, packs).drop("place")
 
 
 @query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE p_name || p_partkey END AS path, p_partkey % 10 <> 4 AS complete FROM part), n AS (SELECT lower(path) AS f, count(DISTINCT path) AS n FROM p GROUP BY 1)
@@ -618,8 +618,8 @@ def ordered_answers(t):
     at = shared(spark, "answers")
     sinks.ordered_lines(rows, at, "place", "line")
     lines = files.numbered_lines(spark, at)
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = lines.groupBy("path").agg(F.count("*").alias("n")).select("path", before.alias("before"))  # a row for each file
+    files_of = lines.groupBy("path").agg(F.count("*").alias("n")).withColumn("all", F.lit(1))  # a row for each file, scanned in parts if they are many
+    counts = running(files_of, ["all"], ["path"], {"before": Fold("sum", c("n"), before=True)}).select("path", F.coalesce("before", F.lit(0)).alias("before"))
     return lines.join(counts, "path").select((c("before") + c("position")).alias("position"), c("value").cast("long").alias("event_id"))
 
 
@@ -662,9 +662,9 @@ def accepted_dataset(t):
 
     docs = t("documents").select(c("doc_id").cast("string").alias("packet_id"), "doc_id", c("lang").alias("split"), c("source").alias("model_input"), F.array(F.when(c("lang") == "es", F.lit("none")).otherwise(c("source"))).alias("cells"), F.lit("b").alias("rebuilt_binding"), "source", "lang")
     review = docs.select("packet_id", (c("lang") != "de").alias("reviewed"), F.lit("b").alias("input_binding"), label(issuer_name=filled(c("source"), c("source"))).alias("label"))
-    ids = docs.where("lang <> 'fr'").groupBy(F.lit(1)).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    approvals = ids.select(F.lit(1).alias("approval_id"), F.lit("ACCEPTED").alias("decision"), F.lit("h").alias("export_sha256"), F.lit("h").alias("review_sha256"), F.lit("me").alias("reviewer"), F.lit("2024-01-01").alias("accepted_at"), F.transform("ids", lambda x: x.cast("string")).alias("packet_ids"))
-    rows, problems = datasets.accepted_rows(docs.drop("source", "lang", "doc_id"), review, approvals, "prompt")
+    named = docs.where("lang <> 'fr'").select(F.lit(1).alias("approval_id"), c("doc_id").alias("place"), "packet_id")
+    approvals = t("documents").sparkSession.createDataFrame([(1, "ACCEPTED", "h", "h", "me", "2024-01-01")], "approval_id int, decision string, export_sha256 string, review_sha256 string, reviewer string, accepted_at string")
+    rows, problems = datasets.accepted_rows(docs.drop("source", "lang", "doc_id"), review, approvals, named, "prompt")
     told = problems.select(c("id").alias("packet_id"), F.lit("-").alias("split"), F.lit(0).cast("long").alias("position"), "rule")
     return rows.select("packet_id", "split", "position", F.lit("-").alias("rule")).unionByName(told)
 

@@ -85,8 +85,8 @@ def test_imports(spark):
 
 def test_acceptance_order_and_reviews(spark):
     packets = spark.createDataFrame([("p", "training"), ("q", "development"), ("r", "training")], "packet_id string, split string")
-    approvals = spark.createDataFrame([(["r", "q", "p"],)], "packet_ids array<string>")
-    assert rows(D.accepted(approvals, packets).select("packet_id", "position")) == [("p", 1), ("q", 0), ("r", 0)]
+    named = spark.createDataFrame([(0, "r"), (1, "q"), (2, "p")], "place long, packet_id string")
+    assert rows(D.accepted(named, packets).select("packet_id", "position")) == [("p", 1), ("q", 0), ("r", 0)]
     t = D.review_template(spark.createDataFrame([("c1", "b1")], "id string, answer_binding string")).first()
     assert (t.id, t.binding, t.subject_equivalent, t.quotation_errors) == ("c1", "b1", None, [])
     b = D.packet_binding({"b": 1, "a": "é"}, "v", "m")

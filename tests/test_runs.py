@@ -20,7 +20,8 @@ def test_acceptance(spark):
     schema = "approval_id int, decision string, export_sha256 string, review_sha256 string, reviewer string, accepted_at string, packet_ids array<string>"
     good = (1, "ACCEPTED", "h", "h", "me", "2024-02-29", ["p"])
     bad = [good, (2, None, "h", "i", "", "2024-2-29", []), (3, *good[1:6], ["p", "p", "q", "r", "z"])]
-    got = rows(U.acceptance_problems(spark.createDataFrame(bad, schema), packets))
+    approvals = spark.createDataFrame(bad, schema)
+    got = rows(U.acceptance_problems(approvals, U.named_packets(approvals), packets))
     assert got == [(2, x) for x in ("no_date", "no_packets", "no_reviewer", "not_accepted", "review_changed")] + [(3, x) for x in ("binding_changed", "not_reviewed", "packet_twice", "unknown_packet")]
 
 
