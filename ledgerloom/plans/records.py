@@ -594,6 +594,19 @@ def published_lines(t):
     return found.select("split", "position", F.sha2("value", 256).alias("value_sha256"), c("p.ok").alias("ok"))
 
 
+@query(f"WITH {_ROWS} SELECT split, count(*) AS rows, 'test-dataset-v1' AS schema, sha256('who and when') AS approval_sha256, 'how' AS preparation FROM r GROUP BY split")
+def published_test(t):
+    """Turns published as a test dataset with the texts that it rests on; what its manifest then says."""
+    lines = _turn_lines(t)
+    spark = lines.sparkSession
+    at = shared(spark, "test")
+    datasets.publish_test(lines, at, lines.where("position < 0").select(c("split").alias("id"), c("row").alias("rule")), {"approval": "who and when", "preparation": "how"})
+    told = spark.read.text(f"{at}/manifest.json", wholetext=True)
+    kind = "schema string, files map<string,struct<rows:bigint>>, acceptance map<string,struct<content:string,sha256:string>>"
+    m = told.select(F.from_json("value", kind).alias("m")).select("m.*")
+    return m.select(F.explode("files").alias("split", "f"), "schema", c("acceptance")["approval"]["sha256"].alias("approval_sha256"), c("acceptance")["preparation"]["content"].alias("preparation")).select("split", c("f.rows").alias("rows"), "schema", "approval_sha256", "preparation")
+
+
 @query(f"WITH {_ROWS} SELECT count(*) AS lines, sum(octet_length(encode(value)) + 1)::BIGINT AS bytes, 3::BIGINT AS folders, count(*) FILTER (WHERE turn = 1) AS broken, 0::BIGINT AS wrong_hashes FROM r")
 def file_audit(t):
     """Published files by their bytes, against a manifest made of their own hashes and line counts."""

@@ -191,6 +191,42 @@ def wording_equivalences(t):
     return scoring.equivalence_problems(decisions, cases, _cells(t))
 
 
+@query("""WITH d AS (SELECT doc_id, doc_id % 4 AS k, coalesce(length(text), 0) > 0 AS told, contains(string_split(text, chr(10))[1], left(text, 5)) AS held,
+  trim(regexp_replace(left(text, 5), '[\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+', ' ', 'g')) = trim(regexp_replace(left(text, 4), '[\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+', ' ', 'g')) AS alike FROM documents)
+SELECT doc_id AS id, CASE WHEN told THEN 'SCORED' ELSE 'INVALID' END AS state, CASE WHEN told THEN k <> 3 AND (alike OR (k = 0 AND held)) END AS correct FROM d""")
+def equivalence_scores(t):
+    """Cases of OTHER whose answer words it otherwise, evaluated with the reviewers' sound decisions; three of four documents have none that holds."""
+    k = F.col("id") % 4
+    docs = t("documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(5)).alias("w"), F.left("text", F.lit(4)).alias("v"))
+    voted = lambda value, raw: label(participation=filled(value, F.col(raw)))
+    cases = docs.select("id", voted(F.lit("OTHER"), "w").alias("reference"), voted(F.when(k == 3, "VOTED").otherwise("OTHER"), "v").alias("answer"), F.lit("r").alias("reference_binding"), F.lit("a").alias("answer_binding"))
+    at = "fields.participation"
+    decisions = docs.select(
+        "id", F.lit(at).alias("reference_field_path"), F.when(k == 2, "fields.ticker").otherwise(at).alias("prediction_field_path"), F.lit(0).alias("block_index"), F.lit(0).alias("cell_index"), F.lit("c").alias("column"),
+        F.col("w").alias("passage"), F.lit("why").alias("reason"), F.lit("r").alias("reference_sha256"), F.when(k == 1, "z").otherwise("a").alias("answer_sha256"),
+    )
+    swaps = scoring.accepted_swaps(decisions, cases, _cells(t))
+    answers = cases.select("id", F.lit("COMPLETE").alias("status"), F.col("answer").alias("text"))
+    decided = docs.select("id", F.lit(False).alias("same_subject"))
+    states, _, _ = scoring.evaluate(cases.select("id", "reference", F.array(F.lit("")).alias("cells")), answers, decided, swaps=swaps)
+    return states.select("id", "state", F.col("score.correct").alias("correct"))
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 5 AS k, to_json(lang)::VARCHAR AS l, to_json(source)::VARCHAR AS s FROM documents)
+SELECT doc_id, 'label' AS path, sha256('{"fields": {' || array_to_string(list_transform(['@@'], lambda n: '"' || n || '": ' || CASE n WHEN 'ticker' THEN '{"value": ' || l || ', "raw_text": null, "availability": "PRESENT", "origin": "EXTRACTED"}'
+  WHEN 'issuer_name' THEN '{"value": ' || s || ', "raw_text": ' || s || ', "availability": "PRESENT", "origin": "EXTRACTED"}' ELSE '{"value": null, "raw_text": null, "availability": "ABSENT_IN_CONTEXT", "origin": null}' END), ', ') || '}}') AS rule FROM d WHERE k IN (0, 4)
+UNION ALL SELECT doc_id, 'ticker', 'json' FROM d WHERE k = 1 UNION ALL SELECT doc_id, 'fields', 'keys' FROM d WHERE k = 2 UNION ALL SELECT doc_id, 'ticker', 'unknown_availability' FROM d WHERE k = 3""".replace("@@", "', '".join(CONTRACT)))
+def review_labels(t):
+    """Labels as edited texts, some spoilt, spelled again: the label's hash, or what is wrong."""
+    k = F.col("doc_id") % 5
+    told = label(ticker=filled(F.col("lang")), issuer_name=filled(F.col("source"), F.col("source")))
+    fields = labels.review_fields(t("documents").select("doc_id", told.alias("label")), "doc_id", "label")
+    ticker = F.col("field") == "ticker"
+    spoilt = fields.where(~(ticker & (k == 2))).withColumn("value", F.when(ticker & (k == 1), '"').otherwise(F.col("value"))).withColumn("availability", F.when(ticker & (k == 3), "MAYBE").otherwise(F.col("availability")))
+    good, wrong = labels.from_review(spoilt, "doc_id")
+    return good.select("doc_id", F.lit("label").alias("path"), F.sha2("label", 256).alias("rule")).unionByName(wrong)
+
+
 _DECIDED = """k AS (SELECT doc_id AS id, max(quality) AS q, max(toxic) AS x FROM labels GROUP BY doc_id), n AS (SELECT doc_id AS id, length(lang) % 2 AS q, 0 AS x FROM documents)"""
 
 
