@@ -207,7 +207,9 @@ def eligibility(t):
     Two years are of the standardized form: there some have no evidence, or evidence that their cells don't hold."""
     k, e = c("o_orderkey") % 7, c("o_orderkey") % 11
     year = F.year("o_orderdate").cast("string")
-    accession = F.concat(F.lpad(c("o_custkey").cast("string"), 10, "0"), F.lit("-"), F.right(year, F.lit(2)), F.lit("-"), F.lpad((c("o_orderkey") % 1000000).cast("string"), 6, "0"))
+    # All digits but the year's are the order's number: no two orders share an accession, so that only customers are not distinct.
+    number = F.lpad(c("o_orderkey").cast("string"), 16, "0")
+    accession = F.when(c("o_custkey").isNotNull(), F.concat(F.left(number, F.lit(10)), F.lit("-"), F.right(year, F.lit(2)), F.lit("-"), F.right(number, F.lit(6))))
     o = t("orders").withColumn("accession", accession).withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
     path, key = F.concat(F.lit("data/raw/test/"), "o_orderkey"), F.when(c("o_orderkey") % 13 != 0, c("o_custkey").cast("string"))
     locations = F.array(F.struct("accession", c("day").alias("filing_date"), F.lit("u").alias("sec_url"), key.alias("cik")))
