@@ -338,7 +338,7 @@ def candidate_keys(t):
 @query("""SELECT p_partkey, p_partkey % 3 = 0 AND length(p_partkey::VARCHAR) <= 6 AS accession, p_partkey % 4 <> 1 AS portable, p_partkey % 5 NOT IN (1, 2) AS relative FROM part""")
 def name_forms(t):
     k = c("p_partkey")
-    number = F.lpad(k.cast("string"), 6, "0")
+    number = F.lpad(k.cast("string"), F.greatest(F.length(k.cast("string")), F.lit(6)), "0")  # a longer number is not cut
     accession = F.when(k % 3 == 0, F.concat(F.lit("0000000001-24-"), number)).otherwise(F.concat(F.lit("1-24-"), number))
     name = F.when(k % 4 == 1, F.lit("con.txt")).otherwise(F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".htm")))
     path = F.when(k % 5 == 1, F.lit("/a")).when(k % 5 == 2, F.lit("a/../b")).otherwise("a..b/c")

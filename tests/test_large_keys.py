@@ -20,6 +20,11 @@ def differs(spark, at, name, **tables):
     return [r for r in got if r not in want], [r for r in want if r not in got]
 
 
+def test_name_forms_of_long_numbers(spark, tmp_path):
+    parts = [(k, "large ring") for k in (0, 12, 999_999, 1_000_002, 1_000_003, 12_000_000)]
+    assert differs(spark, tmp_path, "name_forms", part=("p_partkey long, p_name string", parts)) == ([], [])
+
+
 def test_orders_alike_in_their_last_digits_have_their_own_accession(spark, tmp_path):
     """Of two orders of a customer in a year, 3,000,000 apart, the one without a registrant shares nothing with the other."""
     day = datetime.datetime(1996, 5, 1)
