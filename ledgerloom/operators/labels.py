@@ -438,31 +438,39 @@ def field_at(label: Column, path: Column) -> Column:
 def review_fields(labels: DataFrame, key: str, label: str) -> DataFrame:
     """(key, field, value, raw_text, availability, origin, evidence_input, note): editable texts of each field of
     valid labels; values and wordings are JSON without spaces, a null origin is empty."""
-    m = F.try_variant_get(F.try_parse_json(label), "$.fields", "map<string,variant>")
-    each = labels.select(key, F.explode(F.array(*map(F.lit, CONTRACT))).alias("field"), m.alias("m")).select(key, "field", F.try_variant_get(F.col("m")[F.col("field")], "$", "map<string,variant>").alias("f"))
+    # The label is read once, before its fields become rows.
+    names, n = ", ".join(f"'{x}'" for x in CONTRACT), next(_fresh)
+    parts = _of(F.try_parse_json(label), lambda v: _let(f"try_variant_get({v}, '$.fields', 'map<string,variant>')", lambda m: f"transform(array({names}), {n} -> named_struct('field', {n}, 'f', {_members(f'{m}[{n}]')}))"))
+    each = labels.select(key, F.explode(parts).alias("x")).select(key, "x.field", "x.f")
     told = lambda name: F.to_json(F.col("f")[name])
     text = lambda name: F.coalesce(F.try_variant_get(F.col("f")[name], "$", "string"), F.lit(""))
     return each.select(key, "field", told("value").alias("value"), told("raw_text").alias("raw_text"), text("availability").alias("availability"), text("origin").alias("origin"), F.lit("").alias("evidence_input"), F.lit("").alias("note"))
 
 
-def from_review(fields: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """The labels that edited texts spell, (key, label), and what is wrong with others, (key, path, rule).
+def review_results(fields: DataFrame, key: str) -> DataFrame:
+    """(key, label, faults): what edited texts spell, a row for each key; the label is null where there is a fault.
 
     fields: key, field, value, raw_text, availability, origin, as review_fields() tells them. Values and wordings are strict
     JSON, an empty origin is none. A field that is told twice, is missing or is none of the contract, and a text that is no JSON, are faults.
     """
     quoted = lambda c: json_quoted(F.col(c))
-    json_of = lambda c: F.to_json(strict_variant(F.col(c)))
-    spelled = F.concat(
-        F.lit('{"value": '), json_of("value"), F.lit(', "raw_text": '), json_of("raw_text"), F.lit(', "availability": '), F.coalesce(quoted("availability"), F.lit("null")),
-        F.lit(', "origin": '), F.when(F.coalesce(F.col("origin"), F.lit("")) == "", "null").otherwise(quoted("origin")), F.lit("}"),
-    )
+    json_of = lambda c: F.when(F.col(c) == "null", "null").otherwise(F.to_json(strict_variant(F.col(c))))
+    state = F.when(F.col("availability").isin(*AVAILABILITY), F.concat(F.lit('"'), F.col("availability"), F.lit('"'))).otherwise(F.coalesce(quoted("availability"), F.lit("null")))
+    origin = F.when(F.coalesce(F.col("origin"), F.lit("")) == "", "null").when(F.col("origin").isin(*ORIGINS), F.concat(F.lit('"'), F.col("origin"), F.lit('"'))).otherwise(quoted("origin"))
+    spelled = F.concat(F.lit('{"value": '), json_of("value"), F.lit(', "raw_text": '), json_of("raw_text"), F.lit(', "availability": '), state, F.lit(', "origin": '), origin, F.lit("}"))
     place = F.coalesce(F.array_position(F.array(*map(F.lit, CONTRACT)), F.col("field")), F.lit(0))
-    each = fields.select(key, place.alias("place"), F.col("field"), F.concat(quoted("field"), F.lit(": "), spelled).alias("told"))
-    unread = each.where("told is null").select(key, F.coalesce("field", F.lit("fields")).alias("path"), F.lit("json").alias("rule"))
-    whole = F.concat(F.lit('{"fields": {'), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "field", "told"))), lambda x: x["told"]), ", "), F.lit("}}"))
-    labels = each.groupBy(key).agg(whole.alias("label"), F.bool_or(F.col("told").isNull()).alias("unread")).where("not unread").select(key, "label")
+    name = F.when(place > 0, F.concat(F.lit('"'), F.col("field"), F.lit('"'))).otherwise(quoted("field"))
+    each = fields.select(key, F.struct(place.alias("place"), "field", F.concat(name, F.lit(": "), spelled).alias("told")).alias("x"))
+    unread = F.collect_list(F.when(F.col("x.told").isNull(), F.struct(F.coalesce("x.field", F.lit("fields")).alias("path"), F.lit("json").alias("rule"))))
+    whole = F.concat(F.lit('{"fields": {'), F.array_join(F.sort_array(F.collect_list("x"))["told"], ", "), F.lit("}}"))
+    told = each.groupBy(key).agg(whole.alias("label"), unread.alias("unread"))
+    faults = F.when(F.size("unread") > 0, F.col("unread")).otherwise(label_problems(F.col("label")))
     # A generated row keeps the problems from being looked for twice.
-    found = labels.select(key, "label", F.explode(F.array(label_problems(F.col("label")))).alias("p"))
-    wrong = found.select(key, F.explode("p").alias("p")).select(key, "p.path", "p.rule")
-    return found.where(F.size("p") == 0).select(key, "label"), unread.unionByName(wrong)
+    found = told.select(key, "label", F.explode(F.array(faults)).alias("faults"))
+    return found.select(key, F.when(F.size("faults") == 0, F.col("label")).alias("label"), "faults")
+
+
+def from_review(fields: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The labels that edited texts spell, (key, label), and what is wrong with others, (key, path, rule), of review_results()."""
+    found = review_results(fields, key)
+    return found.where("label is not null").select(key, "label"), found.select(key, F.explode("faults").alias("p")).select(key, "p.path", "p.rule")

@@ -223,8 +223,9 @@ def review_labels(t):
     fields = labels.review_fields(t("documents").select("doc_id", told.alias("label")), "doc_id", "label")
     ticker = F.col("field") == "ticker"
     spoilt = fields.where(~(ticker & (k == 2))).withColumn("value", F.when(ticker & (k == 1), '"').otherwise(F.col("value"))).withColumn("availability", F.when(ticker & (k == 3), "MAYBE").otherwise(F.col("availability")))
-    good, wrong = labels.from_review(spoilt, "doc_id")
-    return good.select("doc_id", F.lit("label").alias("path"), F.sha2("label", 256).alias("rule")).unionByName(wrong)
+    found = labels.review_results(spoilt, "doc_id")
+    sound = F.struct(F.lit("label").alias("path"), F.sha2("label", 256).alias("rule"))
+    return found.select("doc_id", F.explode(F.when(F.col("label").isNotNull(), F.array(sound)).otherwise(F.col("faults"))).alias("p")).select("doc_id", "p.path", "p.rule")
 
 
 _DECIDED = """k AS (SELECT doc_id AS id, max(quality) AS q, max(toxic) AS x FROM labels GROUP BY doc_id), n AS (SELECT doc_id AS id, length(lang) % 2 AS q, 0 AS x FROM documents)"""
