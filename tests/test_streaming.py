@@ -1,4 +1,5 @@
 import json
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -50,6 +51,37 @@ def test_attempts_over_restarts_and_silence(spark, tmp_path):
     assert set(silent) == {1, 2} and states[1].seen == 22 and len(silent) == len(set(silent))
 
 
+def test_attempts_in_another_zone_with_large_numbers(spark, tmp_path):
+    """Timers follow instants, not the session's clock; numbers beside nulls keep all digits; unknown keys, times and counters are told."""
+    large, none = (1 << 53) + 1, [None] * 8
+    up = lambda k, at, n, step, loss, examples=1: (k, at, n, "update", step, 4 * large, large, loss, examples, None, None, None)
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    rows = [up(1, at(0), 1, 5, large), up(1, at(0), 2, 6, None), (1, at(0), 3, "memory", None, None, None, None, None, large, None, None), (1, at(0), 4, "phase", *none),
+            up(2, at(0), 1, 5, 3, None), (2, at(0), 2, "memory", None, None, None, None, None, 8, None, None), (2, at(0), 3, "memory", *none), (2, at(0), None, "attempt", *none[:-1], "LAST"), (2, at(0), large, "attempt", *none[:-1], "FIRST"),
+            (None, at(0), 1, None, *none), (None, None, 2, "update", *none), (4, None, 1, "phase", *none[:-2], "saving", None), (5, at(50), 1, "phase", *none[:-2], "saving", None)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.createDataFrame(rows, A.EVENT).coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        with A.large_state(spark):
+            E.run_to_end(A.attempt_state(spark.readStream.schema(A.EVENT).parquet(f"{tmp_path}/in"), late="0 seconds"), E.append_to(f"{tmp_path}/out"), f"{tmp_path}/check")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    found = E.committed(spark, f"{tmp_path}/out")
+    told = {r.attempt: tuple(r)[1:-2] for r in A.newest(found).collect()}
+    assert told == {1: (4, 2, 0, 6, 4 * large, None, large, None, None, large, 1), 2: (5, 1, 0, 5, 4 * large, 3, None, None, "LAST", 0, 0), None: (2, 0, 2, *[None] * 6, 0, 0),
+                    4: (1, 0, 0, None, None, None, None, "saving", None, 0, 0), 5: (1, 0, 0, None, None, None, None, "saving", None, 0, 0)}
+    assert {r.attempt for r in found.where("silent").collect()} == {1, 2, 4, None}
+
+
+def test_attempts_hand_their_state_on_with_their_rows(spark, tmp_path):
+    """No attempt asks the store by itself, and Python gets four columns: each column of each attempt is a cost of its own."""
+    spark.createDataFrame([], A.EVENT).write.parquet(f"{tmp_path}/in")
+    told = A.attempt_state(spark.readStream.schema(A.EVENT).parquet(f"{tmp_path}/in"))._jdf.queryExecution().analyzed().toString()
+    sent = re.search(r"FlatMapGroupsInPandasWithState \w+\(([^)]*)\)", told)
+    assert sent and [c.split("#")[0].strip() for c in sent[1].split(",")] == ["attempt", "at", "numbers", "text"]
+
+
 def test_two_sinks_and_a_repeated_batch(spark, tmp_path):
     commit = E.durable_and_shown(f"{tmp_path}/kept", f"{tmp_path}/shown", ["n"], 3)
     for batch, size in ((0, 5), (0, 5), (1, 2), (2, 0)):
